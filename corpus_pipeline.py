@@ -1,28 +1,73 @@
-"""The corpus pipeline: five stages from raw documents to packed training rows."""
+"""The corpus pipeline: five stages from raw documents to packed training rows.
+
+Each stage takes the rows that the one before kept. All but the last return the columns of documents; the last
+returns the packing of the kept texts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftmark.llm.common import table
+from driftmark.llm.common import Scratch, table
+from driftmark.llm.minhash import near_duplicates
+from driftmark.llm.packing import pack_documents, token_lengths
 from driftmark.llm.quality_rules import quality_rules
+from driftmark.llm.ranker import fit, score
+from driftmark.llm.substring_dedup import cut_text, repeated_spans
+
+#: A path to a tokenizer file; packing counts its tokens.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs that verdicts(doc_id, kept) keeps, with all their columns."""
-    return docs.join(verdicts.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept(id), null ids included, with all their columns."""
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_rules(docs))
+    return _keep(docs, quality_rules(docs).filter("kept").select(F.col("doc_id").alias("id")))
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model is fitted on labelled rows of the whole table: the rules before have removed most of label 0."""
+    model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _keep(docs, score(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("id")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id; documents without words stay."""
+    return _keep(docs, near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")))
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; n_chars follows. Every document stays, if with an empty text."""
+    return cut_text(docs, repeated_spans(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text have nothing to pack."""
+    texts = docs.filter(F.length("text") > 0)
+    return pack_documents(token_lengths(texts, TOKENIZER))
+
 
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("quality classifier", quality_classifier_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", suffix_dedup_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES = [("quality rules", quality_rules_stage)]
+#: Robust estimates, ranking and signatures have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared folder and read by the next."""
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{number}")
     return docs

@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftmark.llm.common import table
+from driftmark.llm.embed_lsh import lattice_duplicates
+from driftmark.llm.license_scan import license_scan
 from driftmark.llm.minhash import near_duplicates
 from driftmark.llm.quality_rules import quality_rules
 from driftmark.llm.packing import pack_documents, token_lengths
 from driftmark.llm.ranker import fit, score
+from driftmark.llm.sp_fst import encoding_digest
 from driftmark.llm.substring_dedup import repeated_spans
 from driftmark.llm.token_store import token_file_digest
+from driftmark.llm.wrapper import extract_main_text
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +33,22 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_lattice_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), length=400).drop("starts", "ends")
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
@@ -42,6 +58,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}

@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -318,3 +319,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"),
     )
+
+
+def cut_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with the byte ranges of spans(doc_id, n_removed, starts, ends) cut out of their texts.
+
+    A range may end within a character: bytes of a character that lost a part are dropped with it, so that the text
+    stays valid. A column `chars_col`, if there is one, gets the new number of code points. All rows and columns
+    stay; rows that repeat an id must repeat its text.
+    """
+    ranges = spans.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "starts", "ends").dropDuplicates(["_id"])
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for text, a, b in zip(texts, starts, ends, strict=True):
+            if a is not None and text is not None:
+                raw = text.encode()
+                parts = (raw[x:y] for x, y in zip([0, *b], [*a, len(raw)], strict=True))
+                text = b"".join(p.decode(errors="ignore").encode() for p in parts).decode()
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    joined = docs.join(ranges, docs[id_col].eqNullSafe(ranges["_id"]), "left")
+    changed = joined.withColumn(text_col, F.when(F.col("starts").isNull(), F.col(text_col)).otherwise(without(text_col, "starts", "ends")))
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        changed = changed.withColumn(chars_col, F.when(F.col("starts").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(kind)))
+    return changed.select(*docs.columns)
