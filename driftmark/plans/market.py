@@ -47,6 +47,14 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder, for plans that read it several times."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder; in a temporary one where none is set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftmark-")
@@ -371,13 +379,8 @@ def f5_mean_volume(spark, sf_dir):
 def _swing(spark: SparkSession, sf_dir: str, start: int | None = None, inclusive: bool = False):
     """Bars, raw and filtered extrema, moves and everything else that samples are made of, cut from the lineage once."""
     bars = aligned_bars(spark, sf_dir)
-    path = shared_path(spark, "bars")
-    bars.repartition("ticker").write.parquet(path)
-    bars = spark.read.parquet(path)
-    raw = extrema.raw_extrema(extrema.segment_extrema(bars))
-    path = shared_path(spark, "extrema")
-    raw.write.parquet(path)
-    raw = spark.read.parquet(path)
+    bars = saved(bars.repartition("ticker"), "bars")
+    raw = saved(extrema.raw_extrema(extrema.segment_extrema(bars)), "extrema")
     kept = extrema.spaced(raw)
     moves = extrema.transitions(kept, bars, start)
     return bars, raw, kept, moves
@@ -390,12 +393,12 @@ def _macro_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = macro.rate_feature(m, 0.455).join(cal.select("idx", "month"), "idx").select(F.concat("series_id", F.lit(" rate")).alias("series_id"), "month", "value")
     yearly = macro.yearly_change(m.filter("series_id like '1%'")).select(F.lit("yearly").alias("series_id"), "month", "value")
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED rate", "5-LOW rate", "index", "yearly"]
-    return macro.macro_windows(macro.assembled(m.unionByName(rates).unionByName(vix).unionByName(yearly), cal, names))
+    return saved(macro.macro_windows(macro.assembled(m.unionByName(rates).unionByName(vix).unionByName(yearly), cal, names)), "macro")
 
 
 def sample_table(spark: SparkSession, sf_dir: str, inclusive: bool = False) -> DataFrame:
     bars, raw, kept, moves = _swing(spark, sf_dir)
-    vectors = series.trailing_vectors(series.pair_series(bars))
+    vectors = saved(series.trailing_vectors(series.pair_series(bars)), "vectors")
     return features.samples(moves, bars, kept, extrema.mean_spacing(bars, raw), vectors, _macro_windows(spark, sf_dir), BASE_YEAR, inclusive)
 
 
@@ -419,7 +422,7 @@ def f10_current_rows(spark, sf_dir):
 
 def current_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, raw, kept, _ = _swing(spark, sf_dir)
-    vectors = series.trailing_vectors(series.pair_series(bars))
+    vectors = saved(series.trailing_vectors(series.pair_series(bars)), "vectors")
     # The price tables outlast the monthly ones: the newest macro window stands for later months.
     m = _macro_windows(spark, sf_dir)
     newest = m.agg(F.max_by("macro", "idx").alias("macro"), F.max("idx").alias("last"))
@@ -721,16 +724,14 @@ def k6_intervals(spark, sf_dir):
 
 def predicted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with a prediction, an id, and the side of the history boundary they fall on."""
-    s = sample_table(spark, sf_dir)
-    path = shared_path(spark, "samples")
-    s.write.parquet(path)
-    s = spark.read.parquet(path)
+    s = saved(sample_table(spark, sf_dir), "samples")
     arrays = stats.as_arrays(stats.mean_std(stats.partial_moments(s)))
     weights = model.made_weights(spark, 1)
     keep = ["ticker", "extremum_date", "duration", "target"]
     z = model.score(stats.standardised(s, arrays), weights, keep).withColumnRenamed("prediction", "point").drop("checkpoint", "target")
     key = F.xxhash64("ticker", "extremum_date", "duration")
-    return s.join(z, ["ticker", "extremum_date", "duration"]).select(key.alias("id"), "ticker", "extremum_date", "features", F.col("target").alias("actual"), (F.col("point") * 10 + 10).alias("point"))
+    out = s.join(z, ["ticker", "extremum_date", "duration"]).select(key.alias("id"), "ticker", "extremum_date", "features", F.col("target").alias("actual"), (F.col("point") * 10 + 10).alias("point"))
+    return saved(out, "predicted")
 
 
 @query()
@@ -797,12 +798,12 @@ def q7_exclusions(spark, sf_dir):
 def w2_ranking(spark, sf_dir):
     """Current rows, scored, bounded by their nearest past cases, ranked."""
     past = predicted_samples(spark, sf_dir)
-    now = current_of(spark, sf_dir).filter("reason is null")
+    now = saved(current_of(spark, sf_dir).filter("reason is null"), "current")
     arrays = stats.as_arrays(stats.mean_std(stats.partial_moments(past)))
     point = model.score(stats.standardised(now, arrays), model.made_weights(spark, 1), ["ticker"]).select("ticker", (F.col("prediction") * 10 + 10).alias("point"))
     now = now.join(point, "ticker").withColumn("query", F.xxhash64("ticker"))
     old = past.select("id", "features", "actual", "point")
-    cases = calibrate.calibration_set(old, old.limit(0)).withColumn("case", F.col("id"))
+    cases = saved(calibrate.calibration_set(old, old.limit(0)).withColumn("case", F.col("id")), "cases")
     scales = calibrate.robust_scales(cases)
     asked = now.withColumns({"descriptor": calibrate.descriptors(), "group": calibrate.duration_class(F.col("duration"))})
     asked = calibrate.scaled(asked, scales)
@@ -817,16 +818,11 @@ def w2_ranking(spark, sf_dir):
 @query()
 def w1_checkpoints(spark, sf_dir):
     """Holdout samples under seven checkpoints, all metrics, by dataset."""
-    s = sample_table(spark, sf_dir)
-    path = shared_path(spark, "samples")
-    s.write.parquet(path)
-    s = spark.read.parquet(path).withColumn("dataset", F.when(F.col("extremum_date") < HISTORY, "original").otherwise("holdout"))
+    s = saved(sample_table(spark, sf_dir), "samples").withColumn("dataset", F.when(F.col("extremum_date") < HISTORY, "original").otherwise("holdout"))
     arrays = stats.as_arrays(stats.mean_std(stats.partial_moments(s)))
     z = stats.standardised(s.withColumn("group", F.concat_ws("|", "ticker", "extremum_date", "next_date")), arrays)
     scored = model.score(z, model.made_weights(spark, 7), ["dataset", "group", "target"]).withColumnRenamed("target", "actual")
-    path = shared_path(spark, "scored")
-    scored.write.parquet(path)
-    scored = spark.read.parquet(path)
+    scored = saved(scored, "scored")
     out = stats.metrics(scored, "dataset", "checkpoint").join(stats.weighted_metrics(scored, "dataset", "checkpoint"), ["dataset", "checkpoint"])
     return out.select("dataset", "checkpoint", "samples", "transitions", *(r(c, 4).alias(c) for c in ("pearson", "spearman", "direction", "rmse", "mae", "r_squared", "weighted_rmse", "weighted_direction")))
 
