@@ -10,6 +10,7 @@ whole shingle multisets.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from driftmark.llm.common import Scratch, connected_components
 from driftmark.llm.hashing import U, mix, shingles
 
-#: Cumulative probabilities of 0, 1, 2, ... darts in a cell of area 1.
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+#: Darts in a cell of area 1, by the upper 16 bits of its hash: Poisson numbers of mean 1.
+_POISSON = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)]), (np.arange(1 << 16) + 0.5) / (1 << 16), side="right")
 _UNIT = 2.0**-53
 
 
@@ -49,18 +50,20 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int, seed: int =
             cells = int(math.ceil(bound * width))
             at = mix(np.arange(cells, dtype=U) + U(((seed << 8) + level) << 32))
             cell = mix(own[:, None] ^ at[None, :])
-            count = np.searchsorted(_POISSON, _uniform(cell).ravel(), side="right")
+            cell = cell.ravel()
+            count = _POISSON[cell >> U(48)]
             where = np.repeat(np.arange(count.size), count)
             turn = np.arange(where.size) - np.repeat(np.cumsum(count) - count, count)
-            dart = mix(cell.ravel()[where] + (turn + 1).astype(U) * U(0x9E3779B97F4A7C15))
+            dart = mix(cell[where] + (turn + 1).astype(U) * U(0x9E3779B97F4A7C15))
             rank = (where % cells + _uniform(mix(dart ^ U(0x5851F42D4C957F2D)))) / width
-            place = low + _uniform(mix(dart ^ U(0x14057B7EF767814F))) * width
-            hit = (place < most[where // cells]) & (rank <= bound)
+            hit = rank <= bound
+            if most.min() < high:  # else all of every cell lies under the weights
+                hit &= low + _uniform(mix(dart ^ U(0x14057B7EF767814F))) * width < most[where // cells]
             ids.append(dart[hit])
             ranks.append(rank[hit])
             low, high, level = high, high * 2, level + 1
         dart, rank = np.concatenate(ids), np.concatenate(ranks)
-        late = np.argsort(-rank, kind="stable")
+        late = np.argsort(rank)[::-1]
         signature = np.zeros(k, U)
         full = np.zeros(k, bool)
         slot = (dart[late] >> U(32)).astype(np.int64) % k
@@ -79,29 +82,49 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+#: Bits of each dart that a sketch keeps.
+SKETCH_BITS = 4
+
+
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS of every coordinate, as bit planes of 64-bit words."""
+    padded = np.zeros(-(-len(signature) // 64) * 64, U)
+    padded[: len(signature)] = mix(signature)
+    planes = [np.packbits(((padded >> U(b)) & U(1)).astype(np.uint8)).view(U) for b in range(SKETCH_BITS)]
+    return np.concatenate(planes)
+
+
+def most_mismatches(k: int, threshold: float, sigmas: float = 4.0) -> int:
+    """Coordinates in which the sketches of a pair of that similarity differ, `sigmas` deviations up."""
+    p = (1 - threshold) * (1 - 2.0**-SKETCH_BITS)
+    return math.ceil(k * p + sigmas * math.sqrt(k * p * (1 - p)))
+
+
 def weighted_set(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles((text or "").encode(), width), return_counts=True)
 
 
 def _sign(width: int, bands: int, rows: int, seed: int):
-    """(id, text) to (id, size, c1, c2, keys): c1 and c2 are equal for equal multisets; no keys without words."""
+    """(id, text) to (id, size, c1, c2, keys, sketch): c1 and c2 are equal for equal multisets; no keys without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, c1, c2, keys = [], [], [], []
+            size, c1, c2, keys, drawn = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 elements, counts = weighted_set(text, width)
                 size.append(int(counts.sum()))
                 if not len(elements):
-                    c1.append(None), c2.append(None), keys.append(None)
+                    c1.append(None), c2.append(None), keys.append(None), drawn.append(None)
                     continue
                 each = mix(elements + counts.astype(U) * U(0xD6E8FEB86659FD93))
                 c1.append(int(each.sum().astype(np.int64)))
                 c2.append(int(mix(each ^ U(0xA0761D6478BD642F)).sum().astype(np.int64)))
-                keys.append(band_keys(dart_minhash(elements, counts.astype(float), bands * rows, seed), rows).view(np.int64))
+                signature = dart_minhash(elements, counts.astype(float), bands * rows, seed)
+                keys.append(band_keys(signature, rows).view(np.int64))
+                drawn.append(sketch(signature).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "size", "c1", "c2", "keys"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in (size, c1, c2)), *(pa.array(c, pa.list_(pa.int64())) for c in (keys, drawn))],
+                names=["id", "size", "c1", "c2", "keys", "sketch"],
             )
 
     return run
@@ -149,16 +172,17 @@ def near_duplicates(
     text_col: str = "text",
     threshold: float = 0.8,
     width: int = 5,
-    bands: int = 40,
-    rows: int = 6,
+    bands: int = 56,
+    rows: int = 8,
     seed: int = 1,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest id reachable by links), kept (doc_id = class_id).
 
     A link joins two documents whose weighted Jaccard index is at least `threshold`; at 0.8 a pair is missed by
-    all bands with probability under 1e-5. Equal multisets form one class before banding. In each bucket every
+    all bands with probability under 4e-5. Equal multisets form one class before banding. In each bucket every
     document meets the smallest id; then, in buckets that still hold several components, the documents outside
-    the first one's component meet the members of other components. No bucket or partner is capped.
+    the first one's component meet the members of other components, where sketches of their whole signatures do
+    not rule a link out (four standard deviations). No bucket or partner is capped.
 
     Texts shorter than `width` words are one shingle; texts without words, null ones included, and rows with a
     null id link with nothing and are kept. Repeated rows fall in one class; rows that repeat an id stand or
@@ -166,14 +190,14 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = picked.mapInArrow(_sign(width, bands, rows, seed), "id long, size long, c1 long, c2 long, keys array<long>")
+    signed = picked.mapInArrow(_sign(width, bands, rows, seed), "id long, size long, c1 long, c2 long, keys array<long>, sketch array<long>")
     signed = scratch.save(signed, "signed")
     usable = signed.filter("id is not null and c1 is not null")
     copies = scratch.save(usable.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "copies")
     # Rows of one multiset carry equal keys, so the representative's keys are those of its own row.
     members = usable.select("id", "c1", "c2").join(copies, ["c1", "c2"]).select("id", "rep")
     reps = usable.join(copies.select(F.col("rep").alias("id"), "c1", "c2"), ["id", "c1", "c2"])
-    reps = scratch.save(reps.select("id", "size", "keys"), "reps")
+    reps = scratch.save(reps.select("id", "size", "keys", "sketch"), "reps")
 
     buckets = reps.select("id", "size", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("center"), F.min_by("size", "id").alias("center_size"), F.max("id").alias("last"))
@@ -192,15 +216,24 @@ def near_duplicates(
     labelled = scratch.save(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.min_by("part", "id").alias("home"))
     mixed = scratch.save(mixed.filter("p0 <> p1").select("key", "home"), "mixed")
-    there = scratch.save(labelled.join(mixed, "key"), "there")
-    outside = there.filter("part <> home").select("key", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("part").alias("px"))
-    rest = there.filter("id <> center").select("key", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("part").alias("py"), "home")
-    met = outside.join(rest, "key").filter(
-        (F.col("px") != F.col("py")) & fits(F.col("sx"), F.col("sy")) & ((F.col("py") == F.col("home")) | (F.col("x") < F.col("y")))
+    there = labelled.join(mixed, "key").join(reps.select("id", "keys", "sketch"), "id")
+    side = lambda n, keep: there.filter(keep).select("key", "home", *(F.col(c).alias(f"{c}{n}") for c in ("id", "size", "part", "keys", "sketch")))
+    x, y = side(1, "part <> home"), side(2, "id <> center").drop("home")
+    planes = -(-bands * rows // 64)
+    differ = F.lit(0)
+    for i in range(planes):
+        bits = [F.col("sketch1")[i + planes * b].bitwiseXOR(F.col("sketch2")[i + planes * b]) for b in range(SKETCH_BITS)]
+        differ = differ + F.bit_count(functools.reduce(lambda a, b: a.bitwiseOR(b), bits))
+    met = x.join(y, "key").filter(
+        ((F.col("part2") == F.col("home")) | ((F.col("id1") < F.col("id2")) & (F.col("part1") != F.col("part2"))))
+        & fits(F.col("size1"), F.col("size2"))
+        & (differ <= most_mismatches(bands * rows, threshold))
+        # Of the buckets that two documents share, the first one speaks.
+        & (F.expr("element_at(filter(zip_with(keys1, keys2, (a, b) -> if(a = b, a, null)), k -> k IS NOT NULL), 1)") == F.col("key"))
     )
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
     more = _linked(scratch, picked, scratch.save(met, "met"), width, threshold, "links2")
-    scratch.drop("inside", "labelled", "there", "mixed", "shared")
+    scratch.drop("inside", "labelled", "mixed", "shared")
     parts = connected_components(scratch, scratch.save(links.union(more), "links"))
 
     classes = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
