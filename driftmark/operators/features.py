@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftmark.functions import kernels
 from driftmark.operators.clean import finite
@@ -84,7 +85,7 @@ def quarter_slopes(prices: Column, steps: Column) -> list[Column]:
 
 
 def _bend(longer: bool):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())  # a type object: names need a session
     def value(legs: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else kernels.peakiness(np.asarray(x, float), longer) for x in legs], dtype="float64")
 

@@ -498,11 +498,11 @@ def m7_monthly_mean(spark, sf_dir):
 
 @query(
     f"""WITH {MONTHLY}, {_CAL}, w AS (SELECT idx, max(CASE WHEN series_id = '1-URGENT' THEN value END) AS a, max(CASE WHEN series_id = '2-HIGH' THEN value END) AS b FROM monthly JOIN idx USING (month) GROUP BY idx HAVING a IS NOT NULL AND b IS NOT NULL)
-SELECT idx, round(sum(a + b + idx) OVER f, 4) AS total FROM w WINDOW f AS (ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) QUALIFY min(idx) OVER f = idx - 5"""
+SELECT idx, round(sum(a + b + idx) OVER f, 2) AS total FROM w WINDOW f AS (ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) QUALIFY min(idx) OVER f = idx - 5"""
 )
 def m9_macro_windows(spark, sf_dir):
     months = macro.assembled(src.monthly_series(spark, sf_dir), calendar_of(spark), ["1-URGENT", "2-HIGH"])
-    return macro.macro_windows(months).select("idx", r(F.aggregate("macro", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return macro.macro_windows(months).select("idx", r(F.aggregate("macro", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
 @query(f"WITH {MOVES} SELECT m.ticker, this, (year(date) - 1995) * 12 + month(date) - 2 AS idx FROM moves m JOIN bars b ON b.ticker = m.ticker AND b.pos = this")
