@@ -9,7 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+HERE = str(Path(__file__).resolve().parent)
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("PYTHONPATH"))))  # for Spark's Python workers
 from driftmark.plans import market  # noqa: E402
 
 HEADLINE = ["c5_align_benchmark", "r4_savgol", "r6_trailing_vectors", "e3_raw_extrema", "e7_transitions", "f2_beta", "f8_samples", "n3_standardised", "v1_metrics", "k5_nearest", "q6_ranked", "w1_checkpoints"]
