@@ -80,24 +80,37 @@ def _table(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in arrays.values()], names=list(arrays))
 
 
-def _emit(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    if parts:
-        yield _table({k: np.concatenate([x[k] for x in parts]) for k in parts[0]})
+def _gathered(parts: Iterator[dict[str, np.ndarray]], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Documents' columns as batches of about `rows` rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part["k1"])
+        if n >= rows:
+            yield _table({k: np.concatenate([x[k] for x in held]) for k in part})
+            held, n = [], 0
+    if n:
+        yield _table({k: np.concatenate([x[k] for x in held]) for k in held[0]})
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _keyed(k1: int, k2: int, n: int) -> dict[str, np.ndarray]:
+    return {"k1": np.full(n, k1, np.int64), "k2": np.full(n, k2, np.int64)}
 
 
 def _run_rows(length: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                if len(raw) >= length:
-                    first, n, place, gram, h1, h2 = runs(raw, length)
-                    key = {"k1": np.full(len(first), k1, np.int64), "k2": np.full(len(first), k2, np.int64)}
-                    parts.append(key | {"first": first, "n": n, "place": place, "core": gram, "h1": h1, "h2": h2})
-            yield from _emit(parts)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for k1, k2, text in _documents(batches):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            if len(raw) >= length:
+                first, n, place, gram, h1, h2 = runs(raw, length)
+                yield _keyed(k1, k2, len(first)) | {"first": first, "n": n, "place": place, "core": gram, "h1": h1, "h2": h2}
 
-    return go
+    return lambda batches: _gathered(each(batches))
 
 
 def block_rows(raw: np.ndarray, first: np.ndarray, n: np.ndarray, place: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -130,42 +143,28 @@ def long_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, number: int)
 
 
 def _block_rows(length: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for k1, k2, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                three = np.array([(x["first"], x["n"], x["place"]) for x in found], np.int64).reshape(-1, 3)
-                rows = block_rows(raw, *three.T, length)
-                parts.append({"k1": np.full(len(rows["n"]), k1, np.int64), "k2": np.full(len(rows["n"]), k2, np.int64)} | rows)
-            yield from _emit(parts)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for k1, k2, text, found in _documents(batches):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            three = np.array([(x["first"], x["n"], x["place"]) for x in found], np.int64).reshape(-1, 3)
+            rows = block_rows(raw, *three.T, length)
+            yield _keyed(k1, k2, len(rows["n"])) | rows
 
-    return go
+    return lambda batches: _gathered(each(batches))
 
 
 def _suffix_rows(length: int):
     """Windows as suffixes of three tokens: the hash of the leading gram, then two hashes of the whole window."""
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for k1, k2, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                first, n = (np.array([x[c] for x in found], np.int64) for c in ("first", "n"))
-                at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                parts.append(
-                    {
-                        "k1": np.full(len(at), k1, np.int64),
-                        "k2": np.full(len(at), k2, np.int64),
-                        "at": at,
-                        "t0": long_spans(raw, at, at + GRAM, 0),
-                        "t1": long_spans(raw, at, at + length, 0),
-                        "t2": long_spans(raw, at, at + length, 1),
-                    }
-                )
-            yield from _emit(parts)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for k1, k2, text, found in _documents(batches):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            first, n = (np.array([x[c] for x in found], np.int64) for c in ("first", "n"))
+            at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
+            tokens = {"t0": long_spans(raw, at, at + GRAM, 0), "t1": long_spans(raw, at, at + length, 0), "t2": long_spans(raw, at, at + length, 1)}
+            yield _keyed(k1, k2, len(at)) | {"at": at} | tokens
 
-    return go
+    return lambda batches: _gathered(each(batches))
 
 
 def multikey_quicksort(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
