@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmark.sources.shared import saved
+
 
 # --- moments ---
 
@@ -58,8 +60,8 @@ def draw(below: Column, *on: Column | str | int) -> Column:
 
 def ranked_rows(df: DataFrame, *order: str) -> DataFrame:
     """row_id from 0 in the given order: ranks inside range partitions plus the sizes of those before, so that no
-    task holds the whole."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    task holds the whole. The partitions are written down, since their numbers are read twice."""
+    parts = saved(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -101,12 +103,12 @@ def average_ranks(df: DataFrame, col: str, *keys: str) -> DataFrame:
     """(keys, col, rank): ties share their mean rank. Counts per value are summed up over value ranges, each with the
     size of those before, so that a group of any size is spread over tasks."""
     counts = df.groupBy(*keys, col).agg(F.count("*").alias("c"))
-    parts = counts.repartitionByRange(*keys, col).withColumn("_p", F.spark_partition_id())
+    parts = saved(counts.repartitionByRange(*keys, col).withColumn("_p", F.spark_partition_id()), "ranges")
     sums = parts.groupBy(*keys, "_p").agg(F.sum("c").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(*keys, "_p", before.alias("_b"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "_p").orderBy(col))
-    out = parts.withColumn("_u", upto).join(F.broadcast(offsets), [*keys, "_p"])
+    out = parts.withColumn("_u", upto).join(offsets, [*keys, "_p"])
     return out.select(*keys, col, (F.col("_b") + F.col("_u") - (F.col("c") - 1) / 2).alias("rank"))
 
 

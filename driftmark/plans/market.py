@@ -6,8 +6,6 @@ DuckDB's dialect where SQL can say it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from driftmark.functions.kernels import savgol_matrix
 from driftmark.operators import calibrate, clean, extrema, features, macro, model, rank, series, stats
 from driftmark.sources import market as src
+from driftmark.sources.shared import saved, shared_path
 from driftmark.streaming import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,20 +46,6 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder, for plans that read it several times."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; in a temporary one where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftmark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- tables that several queries start from ---
 
 _OHLC = """CAST(l_shipdate AS DATE) AS date,
