@@ -166,6 +166,7 @@ def quality_rules(
     min_group: int = 50,
     max_steps: int = 8,
     tolerance: float = 0.01,
+    broadcast_groups: int = 50_000,
     min_words: int = 20,
     repeat_percent: int = 30,
 ) -> DataFrame:
@@ -196,7 +197,8 @@ def quality_rules(
         F.when(F.col("own"), text(F.col("source"))).otherwise("*").alias("g2"),
     )
     groups = scratch.save(groups, "groups")
-    rows = base.withColumns({"k1": text(F.col("lang")), "k2": text(F.col("source"))}).join(groups, ["k1", "k2"], "left")
+    small = F.broadcast if groups.count() <= broadcast_groups else lambda df: df
+    rows = base.withColumns({"k1": text(F.col("lang")), "k2": text(F.col("source"))}).join(small(groups), ["k1", "k2"], "left")
     rows = scratch.save(rows.drop("k1", "k2"), "rows")
     stats = rows.filter("f0 is not null").select("g1", "g2", *(f"f{i}" for i in range(N_STATS)))
 
@@ -207,9 +209,9 @@ def quality_rules(
     start += [(1 / spread(i) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS]
     params = scratch.save(mid.select("g1", "g2", F.lit(None).cast("double").alias("logdet"), *start), "params0")
     for step in range(1, max_steps + 1):
-        near = stats.join(params, ["g1", "g2"]).withColumn("d2", _distance())
+        near = stats.join(small(params), ["g1", "g2"]).withColumn("d2", _distance())
         limit = near.groupBy("g1", "g2").agg(F.percentile_approx("d2", h, 2000).alias("limit"))
-        half = near.join(limit, ["g1", "g2"]).filter("d2 <= limit")
+        half = near.join(small(limit), ["g1", "g2"]).filter("d2 <= limit")
         now = scratch.save(_moments(half).mapInPandas(_invert(floor), _PARAMS), f"params{step}")
         was = params.select("g1", "g2", F.col("logdet").alias("old"))
         moved = now.join(was, ["g1", "g2"]).filter(F.coalesce(F.abs(F.col("logdet") - F.col("old")) > tolerance, F.lit(True)))
@@ -218,10 +220,10 @@ def quality_rules(
             break
 
     # Scale so that the median squared distance is that of a normal sample.
-    scale = stats.join(params, ["g1", "g2"]).withColumn("d2", _distance())
+    scale = stats.join(small(params), ["g1", "g2"]).withColumn("d2", _distance())
     scale = scale.groupBy("g1", "g2").agg(F.percentile_approx("d2", 0.5, 2000).alias("median"), F.count("*").alias("members"))
     final = scratch.save(params.join(scale, ["g1", "g2"]), "final")
-    judged = rows.join(final, ["g1", "g2"], "left")
+    judged = rows.join(small(final), ["g1", "g2"], "left")
     known = F.col("members") >= min_group
     distance = F.when(known, F.sqrt(F.greatest(_distance(), F.lit(0.0)) * CHI2_MEDIAN / F.greatest("median", F.lit(1e-12))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
