@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,7 +119,9 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(ids) // 4 + 1 for ids in encoder(tokenizer_path).encode(batch.column(1).to_pylist())]
+            words = encoder(tokenizer_path)
+            width = np.dtype(words.kind).itemsize
+            n = [len(ids) // width + 1 for ids in words.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))

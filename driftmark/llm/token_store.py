@@ -10,6 +10,8 @@ Both tables are Parquet, so that any store Spark can reach will do.
 from __future__ import annotations
 
 import os
+import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,30 +34,81 @@ _LOW = U(1 << 31)
 _HEAD = struct.Struct("<4sQIII")  # magic, symbols, lanes, checkpoint steps, words
 
 
+#: Latin letters that NFC and lower case keep one letter each, with or without marks of punctuation behind them.
+_LATIN = re.compile("([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([%s]*)" % re.escape(string.punctuation))
+_MARKS = string.punctuation.encode()
+
+
 class WordEncoder:
     """ids of texts by the tokenizers library, whose pieces never cross ASCII white space: each distinct word is
-    encoded once and remembered, up to `remember` words."""
+    encoded once and remembered, up to `remember` words. Plain words are encoded many to a text and told apart by
+    the pieces that end a word, if the model marks those."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values(), default=0) + 1
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(size, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+
+    def _encode_each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._encode_each(words)
+        raw, width = ids.tobytes(), ids.itemsize
+        stops = (stops * width).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, plain, rest = self.known, [], []
+        for raw in new:
+            low = raw.lower()
+            stem = low.rstrip(_MARKS)
+            if self.ends is None:
+                rest.append(raw)
+            elif stem.isalpha():  # ASCII letters
+                plain.append((raw, stem, low[len(stem) :]))
+            elif m := _LATIN.fullmatch(raw.decode()):
+                stem = m[1].lower().encode()
+                plain.append((raw, stem, m[2].encode()))
+            else:
+                rest.append(raw)
+        tails = {tail for _, _, tail in plain if tail}.difference(known)
+        rest += tails.difference(rest)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            known.update(zip(part, self._encode_each([w.decode() for w in part]), strict=True))
+        stems = list({stem for _, stem, _ in plain}.difference(known))
+        for i in range(0, len(stems), 2000):
+            part = stems[i : i + 2000]
+            known.update(zip(part, self._encode_plain([w.decode() for w in part]), strict=True))
+        known.update((raw, known[stem] + known[tail] if tail else known[stem]) for raw, stem, tail in plain)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, with the end id appended."""
-        tail = b"" if end is None else struct.pack("<I", end)
+        """Each text's ids as little-endian unsigned integers (2 bytes each for vocabularies up to 65,536, else 4), with
+        the end id appended."""
+        tail = b"" if end is None else np.array([end], self.kind).tobytes()
         for at in range(0, len(texts), 500):
             words = [(t or "").encode().split() for t in texts[at : at + 500]]
             if len(self.known) > self.remember:
                 self.known.clear()
             new = list(set().union(*words).difference(self.known))
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+            if new:
+                self._learn(new)
             for row in words:
                 yield b"".join(map(self.known.__getitem__, row)) + tail
 
@@ -153,7 +206,7 @@ class Coder:
 
 
 def tokenized(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, with the end id."""
+    """(doc_id, ids): ids as little-endian unsigned integers of WordEncoder's kind, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,16 +217,19 @@ def tokenized(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text
     return picked.mapInArrow(run, "doc_id long, ids binary")
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            now = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(now) > len(total):
-                total = np.pad(total, (0, len(now) - len(total)))
-            total[: len(now)] += now
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+def _tally(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                now = np.bincount(np.frombuffer(b"".join(batch.column(0)[at : at + 1000].to_pylist()), kind))
+                if len(now) > len(total):
+                    total = np.pad(total, (0, len(now) - len(total)))
+                total[: len(now)] += now
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    return run
 
 
 def _coder(spark: SparkSession, table: DataFrame) -> Coder | None:
@@ -186,10 +242,10 @@ def _coder(spark: SparkSession, table: DataFrame) -> Coder | None:
     return Coder(f)
 
 
-def write_store(tokens: DataFrame, path: str, scratch: Scratch) -> None:
-    """Write tokens(doc_id, ids as 32-bit integers) in ascending doc_id (null first; equal ids by content)."""
+def write_store(tokens: DataFrame, path: str, kind: str = "<u4") -> None:
+    """Write tokens(doc_id, ids as integers of that kind) in ascending doc_id (null first; equal ids by content)."""
     spark = tokens.sparkSession
-    counts = tokens.select("ids").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = tokens.select("ids").mapInArrow(_tally(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
     dense[counts["id"]] = counts["n"]
     frequency = scaled(dense)
@@ -201,10 +257,11 @@ def write_store(tokens: DataFrame, path: str, scratch: Scratch) -> None:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, number, start = Coder(shared.value), TaskContext.get().partitionId(), 0, 0
         docs, parts, held = [], [], 0
+        width = np.dtype(kind).itemsize
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            sizes = [len(p) // 4 for p in parts]
+            ids = np.frombuffer(b"".join(parts), kind)
+            sizes = [len(p) // width for p in parts]
             row = [[shard], [number], [start], [docs], [sizes], [coder.encode(ids)]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=_BLOCK_NAMES)
@@ -213,7 +270,7 @@ def write_store(tokens: DataFrame, path: str, scratch: Scratch) -> None:
             for i, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(i)
                 parts.append(ids)
-                held += len(ids) // 4
+                held += len(ids) // width
                 if held >= BLOCK:
                     yield close()
                     number, start = number + 1, start + held
@@ -274,7 +331,7 @@ def token_file_digest(docs: DataFrame, tokenizer_path: str, end: int = 1, id_col
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-store")
     tokens = scratch.save(tokenized(docs, tokenizer_path, end, id_col, text_col), "tokens")
-    write_store(tokens, scratch.path("store"), scratch)
+    write_store(tokens, scratch.path("store"), encoder(tokenizer_path).kind)
     scratch.drop("tokens")
     read = digest(read_store(spark, scratch.path("store"))).join(shard_starts(spark, scratch.path("store")), "shard")
     return read.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
