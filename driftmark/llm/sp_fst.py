@@ -12,9 +12,11 @@ Weights of runs of spaces tie, so those are merged outright.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +60,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes | float]]:
 
 
 class Transducer:
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 400_000):
         with open(path, "rb") as f:
             raw = f.read()
         self.pieces: list[tuple[str, float, int]] = []
@@ -164,7 +166,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.joints) > 4_000_000:
+            if len(self.joints) > 500_000:
                 self.joints.clear()
             self.joints[left, right] = found
         return found
@@ -308,7 +310,22 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_crc32, decoded_sha256 (of the text decoded from the ids)."""
-    both = decode_pieces(encode_pieces(docs, model_path, id_col, text_col), model_path)
-    size = (F.octet_length("ids") / 4).cast("long")
-    return both.select("doc_id", size.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+    """One row per row of docs: doc_id, n_tokens, ids_crc32, decoded_sha256 (of the text decoded from the ids).
+
+    Texts are encoded and decoded in one pass, so that a core runs one Python worker, with one set of tables.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine(model_path)
+        names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"]
+        for batch in batches:
+            sizes, sums, digests = [], [], []
+            for i in range(batch.num_rows):
+                raw = m.encode_bytes(batch.column(1)[i].as_py())
+                sizes.append(len(raw) // 4)
+                sums.append(zlib.crc32(raw))
+                digests.append(hashlib.sha256(m.decode(np.frombuffer(raw, "<u4").tolist()).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(digests, pa.string())], names=names)
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
+    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
