@@ -21,29 +21,41 @@ from driftmark.llm.substring_dedup import cut_text, repeated_spans
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept(id), null ids included, with all their columns."""
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a key of each row's own in _row, written: doc_id may be null or repeated, so it tells no rows apart."""
+    return Scratch(spark, "pipeline-rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The numbered rows whose _row is in kept(id), without that column."""
+    return rows.join(kept, rows["_row"] == kept["id"], "left_semi").drop("_row")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_rules(docs).filter("kept").select(F.col("doc_id").alias("id")))
+    rows = _numbered(spark, docs)
+    return _keep(rows, quality_rules(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("id")))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model is fitted on labelled rows of the whole table: the rules before have removed most of label 0."""
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _keep(docs, score(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("id")))
+    rows = _numbered(spark, docs)
+    return _keep(rows, score(rows, model, id_col="_row").filter("predicted = 1").select(F.col("doc_id").alias("id")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; documents without words stay."""
-    return _keep(docs, near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")))
+    """One row of each group stays, the one with the smallest doc_id, null ids last; documents without words stay."""
+    rows = _numbered(spark, docs)
+    classes = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(first.alias("first"))
+    return _keep(rows, kept.select(F.col("first._row").alias("id")))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; n_chars follows. Every document stays, if with an empty text."""
-    return cut_text(docs, repeated_spans(docs))
+    rows = _numbered(spark, docs)
+    return cut_text(rows, repeated_spans(rows, id_col="_row"), id_col="_row").drop("_row")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

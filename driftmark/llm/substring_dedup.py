@@ -325,7 +325,7 @@ def cut_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
 
     A range may end within a character: bytes of a character that lost a part are dropped with it, so that the text
     stays valid. A column `chars_col`, if there is one, gets the new number of code points. All rows and columns
-    stay; rows that repeat an id must repeat its text.
+    stay; rows that repeat an id, null ids included, must repeat its text: give a key of the rows where they may not.
     """
     ranges = spans.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "starts", "ends").dropDuplicates(["_id"])
 

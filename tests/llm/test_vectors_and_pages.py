@@ -110,3 +110,27 @@ def test_pipeline_on_awkward_rows(spark):
         docs = spark.createDataFrame(some, schema)
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, sf).count() <= len(some)
+
+
+def test_pipeline_on_repeated_and_null_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    clean = spark.read.parquet(f"{sf}/documents.parquet")
+    schema = clean.schema
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        clean = stage(spark, clean, sf)
+    picked = []
+    for r in clean.filter("length(text) > 1000").orderBy("doc_id").collect():
+        if not any(r["text"][i : i + 60] in p["text"] for p in picked for i in range(0, len(r["text"]) - 60, 30)):
+            picked.append(r)
+    a, b, c, d = picked[:4]
+    null = lambda r, text: (None, text, r["lang"], r["source"], len(text))
+    # Two rows of one id, two null-id copies, and a null-id text that shares a passage with another document.
+    rows = [tuple(a), tuple(a), null(b, b["text"]), null(b, b["text"]), null(c, c["text"] + " " + d["text"][:600]), tuple(d)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, sf)
+    cut = [(r["doc_id"], r["text"].strip()) for r in docs.collect()]
+    want = [(a["doc_id"], a["text"]), (None, b["text"]), (None, c["text"]), (d["doc_id"], d["text"][600:])]
+    assert sorted(cut, key=str) == sorted(((i, t.strip()) for i, t in want), key=str)
+    packed = corpus_pipeline.packing_stage(spark, docs, sf).filter("start = 0").collect()
+    assert sorted(str(r["doc_id"]) for r in packed) == sorted(str(i) for i, _ in want)
