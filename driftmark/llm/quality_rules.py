@@ -3,8 +3,9 @@
 A document fails when it breaks a base rule, or when its vector of transformed statistics lies far from
 the minimum-covariance-determinant (MCD) estimate of its language and source. The estimate is found by
 concentration steps that are plain Spark aggregations: each step takes, in every group, the share ``h`` of
-rows nearest to the present centre, and re-estimates mean and covariance from them. No group is ever
-gathered in one task; what a step keeps is one row of moments per group.
+vectors nearest to the present centre, and re-estimates mean and covariance from them. Equal vectors of a group
+count once, so that copies of one text are not taken for the bulk of it. No group is ever gathered in one task;
+what a step keeps is one row of moments per group.
 """
 
 from __future__ import annotations
@@ -172,10 +173,10 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: base counts, base_failed, robust distance, kept.
 
-    h: share of a group's rows that the estimate rests on. cutoff: largest distance kept, in robust standard
-    deviations; at 10 only gross outliers go. floor: variance added on every axis. min_group: a language and
-    source with fewer rows is estimated with the language's other small groups, and if those are too few with
-    all such rows; below that no distance is known and the base rules decide alone.
+    h: share of a group's different vectors that the estimate rests on. cutoff: largest distance kept, in robust
+    standard deviations; at 10 only gross outliers go. floor: variance added on every axis. min_group: a language
+    and source with fewer different vectors is estimated with the language's other small groups, and if those are
+    too few with all such rows; below that no distance is known and the base rules decide alone.
 
     Null language or source is a group of its own; null or wordless text counts 0 words and fails; repeated
     rows and repeated ids each give their row; an empty table gives no rows; other columns are not read.
@@ -186,7 +187,9 @@ def quality_rules(
     base = scratch.save(picked.mapInArrow(_measure, BASE_SCHEMA), "base")
 
     # The group that each language and source is estimated in.
-    sizes = base.filter("f0 is not null").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    vector = [f"f{i}" for i in range(N_STATS)]
+    distinct = scratch.save(base.filter("f0 is not null").select("lang", "source", *vector).distinct(), "distinct")
+    sizes = distinct.groupBy("lang", "source").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("own", F.col("n") >= min_group)
     pooled = sizes.filter("not own").groupBy("lang").agg(F.sum("n").alias("pool"))
     text = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))  # noqa: E731  null and "" stay apart
@@ -198,9 +201,9 @@ def quality_rules(
     )
     groups = scratch.save(groups, "groups")
     small = F.broadcast if groups.count() <= broadcast_groups else lambda df: df
-    rows = base.withColumns({"k1": text(F.col("lang")), "k2": text(F.col("source"))}).join(small(groups), ["k1", "k2"], "left")
-    rows = scratch.save(rows.drop("k1", "k2"), "rows")
-    stats = rows.filter("f0 is not null").select("g1", "g2", *(f"f{i}" for i in range(N_STATS)))
+    grouped = lambda df: df.withColumns({"k1": text(F.col("lang")), "k2": text(F.col("source"))}).join(small(groups), ["k1", "k2"], "left")
+    rows = scratch.save(grouped(base).drop("k1", "k2"), "rows")
+    stats = scratch.save(grouped(distinct).select("g1", "g2", *vector).distinct(), "stats")
 
     # Start: coordinatewise medians and scales; then concentration steps until no determinant falls any more.
     mid = stats.groupBy("g1", "g2").agg(*(F.percentile_approx(f"f{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(N_STATS)))

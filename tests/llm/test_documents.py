@@ -64,6 +64,15 @@ def test_quality_rules_reject_outliers_and_keep_clean(spark):
     assert quality_rules.quality_rules(table(spark, [])).count() == 0
 
 
+def test_quality_rules_keep_ordinary_documents_beside_copies(spark):
+    rng = random.Random(12)
+    ordinary = [(2 * i, prose(rng, rng.randint(60, 200)).capitalize() + ".") for i in range(100)]
+    copy = prose(rng, 120).capitalize() + "."
+    junk = [(600, " ".join(w + "###" for w in prose(rng, 100).split()))]
+    rows = quality_rules.quality_rules(table(spark, ordinary + junk + [(1000 + 2 * i, copy) for i in range(400)])).collect()
+    assert len(rows) == 501 and {r["doc_id"] for r in rows if not r["kept"]} == {600}
+
+
 def weighted(text, width=5):
     words = (text or "").split()
     n = min(width, len(words))
