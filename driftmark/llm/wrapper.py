@@ -26,6 +26,8 @@ from driftmark.llm.common import Scratch
 #: and words in class, id and role that mark what is not the article (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video textarea select button title".split())
+#: Elements that may stand in a head; any other one ends a head that has no end tag.
+IN_HEAD = frozenset("head base basefont bgsound link meta script style template title noscript".split())
 APART = frozenset("nav footer aside form dialog menu".split())
 BLOCKS = frozenset(
     "html body main article section nav header footer aside form dialog menu div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption "
@@ -64,13 +66,13 @@ class PageParser(HTMLParser):
         self.part, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.handle_endtag("head")
         if self.unseen:
             if tag in UNSEEN and tag not in VOID:
                 self.stack.append((tag, *self.stack[-1][1:]))
                 self.unseen += 1
             return
-        if tag == "body" and self.stack[-1][0] == "head":
-            self.handle_endtag("head")
         if tag in UNSEEN:
             self.part.append(" ")
             self.stack.append((tag, *self.stack[-1][1:]))
@@ -135,6 +137,8 @@ class PageParser(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self.handle_endtag("head")
         if not self.unseen:
             self.part.append(data)
             if self.links:

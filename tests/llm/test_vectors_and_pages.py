@@ -70,6 +70,13 @@ def test_pages(spark):
     assert wrapper.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_pages_without_an_end_of_head():
+    texts = lambda html: [b[1] for b in wrapper.parse_page(html)[1]]
+    head = "<html><head><meta charset=utf-8><title>t</title><script>x<y</script>"
+    for body in ("<body><p>One<p>Two", "<p>One<p>Two", "<body>One<p>Two</body></html>", "One<p>Two", "<span>One</span><p>Two"):
+        assert texts(head + body) == texts(head + "</head>" + body) == ["One", "Two"]
+
+
 def test_tree_matching():
     a = [(0, "r"), (1, "a"), (2, "x"), (1, "b"), (1, "c")]
     b = [(0, "r"), (1, "b"), (1, "a"), (2, "x"), (2, "y"), (1, "c")]
