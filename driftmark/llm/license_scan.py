@@ -1,13 +1,15 @@
 """License scan by conditional compression.
 
-A block that speaks of licensing is compressed by itself and with each template as a raw Zstandard dictionary.
-Templates are ranked by how much smaller the block gets; the winners are confirmed by their exact differences in
-wording, so that one license is not taken for another that differs in a version or a clause.
+In a block that speaks of licensing, windows of a few template lengths are confirmed by their exact differences in
+wording, so that one license is not taken for another that differs in a version or a clause. The matched wording is
+compressed by itself and with its template as a raw Zstandard dictionary; where matches overlap, the one that saves
+most bytes wins. What stands around a notice has no part in it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -17,6 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_FREE = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+    "the Free Software Foundation{} of the License"
+)
 #: Notices as they are published by their authors (fixed values).
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -42,6 +48,23 @@ TEMPLATES = {
     "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-Rights-Reserved": "All rights reserved.",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "Apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at"
+    ),
+    "GPL-2.0-header": _FREE.format("program", "", "; either version 2"),
+    "GPL-3.0-header": _FREE.format("program", "", ", either version 3"),
+    "LGPL-2.1-header": _FREE.format("library", "Lesser ", "; either version 2.1"),
+    "LGPL-3.0-header": _FREE.format("library", "Lesser ", ", either version 3"),
+    "AGPL-3.0-header": _FREE.format("program", "Affero ", ", either version 3"),
+    **{
+        f"CC-{code}-4.0-header": f"This work is licensed under a Creative Commons {name} 4.0 International License."
+        for code, name in {
+            "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+            "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+        }.items()
+    },
 }
 #: Words whose presence in a line makes it a candidate (fixed values).
 CUES = re.compile(
@@ -50,7 +73,13 @@ CUES = re.compile(
     re.IGNORECASE,
 )
 #: Words that tell licenses apart; they must agree exactly (fixed values).
-TELLING = frozenset("nc nd sa lesser affero mit apache gnu mozilla cc0 cc by".split())
+TELLING = frozenset("nc nd sa lesser affero mit apache gnu mozilla cc0 cc by attribution sharealike noncommercial noderivatives".split())
+#: What may follow a notice and make it another one: a clause or a version that hangs on it, no year and no new sentence.
+BEHIND = re.compile(
+    r"(?:[ \t]*[-/][ \t]*|[ \t]+)(?:nc|nd|sa|sharealike|noncommercial|noderivatives)\b|[ \t,]*\(?v(?:er(?:sion)?)?\.?[ \t]*\d|[ \t-]+\d+\.\d",
+    re.IGNORECASE,
+)
+_YEAR = re.compile(r"(?:19|20)\d\d")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -59,7 +88,7 @@ def words(text: str) -> list[str]:
 
 
 def _telling(found: list[str]) -> set[str]:
-    return {w for w in found if w in TELLING or any(c.isdigit() for c in w)}
+    return {w for w in found if w in TELLING or any(c.isdigit() for c in w) and not _YEAR.fullmatch(w)}
 
 
 def blocks(text: str | None, reach: int = 400) -> Iterator[tuple[int, str]]:
@@ -107,27 +136,46 @@ class Scanner:
         }
         self.find = lru_cache(maxsize=50_000)(self._find)
 
+    def _matches(self, name: str, block: str, spans: list[tuple[int, int]], mine: list[str], low: int, high: int, least: float, share: float) -> tuple | None:
+        """(bytes saved, license, first word, end word, size reduction, missing, added) of a template in the words low to high of a block."""
+        want = self.words[name]
+        same = [m for m in SequenceMatcher(None, want, mine[low:high], autojunk=False).get_matching_blocks() if m.size]
+        matched = sum(m.size for m in same)
+        if not same or matched < share * len(want):
+            return None
+        low, high = low + same[0].b, low + same[-1].b + same[-1].size
+        # Words inside the match, and what hangs on its end, tell the license as well.
+        inside, wanted = _telling(mine[low:high]), _telling(want)
+        if inside != wanted or BEHIND.match(block, spans[high - 1][1]):
+            return None
+        raw = block[spans[low][0] : spans[high - 1][1]].encode()
+        alone, given = len(self.plain.compress(raw)), len(self.given[name].compress(raw))
+        if alone - given < least * alone:
+            return None
+        return alone - given, name, low, high, 1 - given / alone, len(want) - matched, high - low - matched
+
     def _find(self, block: str, least: float, share: float) -> tuple[tuple[str, float, int, int, bool], ...]:
-        """(license, size reduction, missing words, changed or added words, exact) of the confirmed templates, by reduction."""
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        found, mine, taken = [], words(block), set()
-        for gain, name in ranked:
-            if gain < least:
-                break
-            want = self.words[name]
-            same = [m for m in SequenceMatcher(None, want, mine, autojunk=False).get_matching_blocks() if m.size]
-            matched = sum(m.size for m in same)
-            if not same or matched < share * len(want):
-                continue
-            low, high = same[0].b, same[-1].b + same[-1].size
-            # Words of the block inside the match, and right behind it, tell the license as well.
-            if _telling(want) - _telling(mine[low:high]) or _telling(mine[low : high + 2]) - _telling(want) or taken & set(range(low, high)):
+        """(license, size reduction, missing words, changed or added words, exact) of the confirmed templates, by bytes saved."""
+        at = [m.span() for m in _WORD.finditer(block)]
+        mine = [block[a:b].lower() for a, b in at]
+        every, matches = Counter(mine), set()
+        for name, want in self.words.items():
+            n, need = len(want), Counter(want)
+            # A window that lacks the words cannot match; windows overlap so that each span of 2 n words is in one.
+            enough = lambda have: sum((need & have).values()) >= share * n
+            if not enough(every):
                 continue
-            taken |= set(range(low, high))
-            added = high - low - matched
-            found.append((name, gain, len(want) - matched, added, matched == len(want) and not added))
+            found = []
+            for low in range(0, max(1, len(mine) - n + 1), n):
+                if enough(Counter(mine[low : low + 3 * n])):
+                    found.append(self._matches(name, block, at, mine, low, low + 3 * n, least, share))
+            # Wording that is spread wider than that.
+            matches |= set(filter(None, found)) or set(filter(None, [self._matches(name, block, at, mine, 0, len(mine), least, share)]))
+        found, taken = [], set()
+        for _, name, low, high, gain, missing, added in sorted(matches, key=lambda x: (-x[0], x[6], x[1:])):
+            if taken.isdisjoint(range(low, high)):
+                taken |= set(range(low, high))
+                found.append((name, gain, missing, added, not missing and not added))
         return tuple(found)
 
 
@@ -139,8 +187,8 @@ def license_scan(
 ) -> DataFrame:
     """One row per finding: doc_id, start (code point offset of the block), license, reduction, n_missing, n_added, exact, block.
 
-    least: smallest size reduction of a winner; share: part of a template's words that must stand in the block in
-    order. Null and empty texts have no findings; repeated rows repeat theirs; a null id stays null; other
+    least: smallest size reduction of the matched wording; share: part of a template's words that must stand in it in
+    order. A notice that stands in a block twice gives two rows. Null and empty texts have no findings; repeated rows repeat theirs; a null id stays null; other
     columns are not read; an empty table gives no rows.
     """
     templates = dict(TEMPLATES if templates is None else templates)

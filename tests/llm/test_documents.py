@@ -158,6 +158,18 @@ def test_license_scan(spark):
     assert license_scan.license_scan(table(spark, [])).count() == 0
 
 
+def test_license_scan_within_natural_lines(spark):
+    t, rng = license_scan.TEMPLATES, random.Random(13)
+    short = ["MIT", "CC-BY-4.0", "All-Rights-Reserved", "Apache-2.0", "GPL-3.0"]
+    rows = [(i, f"{prose(rng, n)} {t[k]} {prose(rng, n)}") for n in (8, 60, 300) for i, k in enumerate(short, 10 * n)]
+    want = {(i, k) for n in (8, 60, 300) for i, k in enumerate(short, 10 * n)}
+    rows += [(1, "Released under the MIT License. 2021 Foo"), (2, "All rights reserved. Copyright 2019"), (3, "All rights reserved 2020"), (4, "Released under the MIT License, version 2")]
+    rows += [(5, t["CC-BY-4.0"] + " 3 items"), (6, "Licensed under CC BY 4.0-NC"), (7, t["Apache-2.0-header"] + " http://www.apache.org/licenses/LICENSE-2.0")]
+    want |= {(1, "MIT"), (2, "All-Rights-Reserved"), (3, "All-Rights-Reserved"), (5, "CC-BY-4.0"), (7, "Apache-2.0-header")}
+    got = license_scan.license_scan(table(spark, rows)).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == want and all(r["exact"] for r in got)
+
+
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
