@@ -3,7 +3,8 @@
 Every page is parsed once to text blocks and a skeleton, the tree of its structural elements with runs of equal
 siblings as one node. The commonest skeleton of a host is its wrapper; every other skeleton of the host is aligned
 with it by simple tree matching. A wrapper node whose text hardly changes over the host's different pages is
-template, one whose text varies is a slot; slots outside menus, adverts and the like are the content. Trees are
+template, one whose text varies is a slot; slots are the content. Names of containers (menus, adverts and the like)
+and shares of links are weighed only after that. Trees are
 aligned once per host and skeleton, and texts are counted by map-side combined aggregation, so that a host with a
 third of all pages is no different from others.
 """
@@ -40,29 +41,36 @@ MARKS = frozenset(
     "disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay "
     "widget widgets toolbar pagination pager skip search contentinfo complementary copyright".split()
 )
+#: Words that may stand beside those in a name that marks a container by itself (fixed values).
+BESIDE = frozenset("box block area wrap wrapper container slot unit list inner outer left right top bottom site global primary secondary section group bar".split())
 #: A deeper node counts as part of its ancestor at this depth.
 DEPTH = 60
 _WORDS = re.compile(r"[a-z]+")
 
 
 class PageParser(HTMLParser):
-    """Collects blocks as (node, dropped, in main, text, characters in links)."""
+    """Collects blocks as (node, dropped, in main, text, characters in links, marks).
+
+    A mark is a number of a container about the block whose name speaks against it: above 0 where a whole name is
+    made of such words, below 0 where a name only contains one. It drops nothing yet.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[int, str]] = [(0, "page")]  # depth and label in page order, before folding
-        self.stack: list[tuple[str, int, bool, bool]] = [("page", 0, False, False)]  # tag, node, dropped, main
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("page", 0, False, False, ())]  # tag, node, dropped, main, marks
+        self.marked = 0
         self.unseen = 0
         self.links = 0
         self.part: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[int, bool, bool, str, int]] = []
+        self.blocks: list[tuple[int, bool, bool, str, int, tuple[int, ...]]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.part).split())
         if text:
-            _, node, dropped, main = self.stack[-1]
-            self.blocks.append((node, dropped, main, text, self.linked))
+            _, node, dropped, main, marks = self.stack[-1]
+            self.blocks.append((node, dropped, main, text, self.linked, marks))
         self.part, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -90,20 +98,25 @@ class PageParser(HTMLParser):
             self._close({"li"} if tag == "li" else {"tr"} if tag == "tr" else {"dt", "dd"}, {"ul", "ol", "dl", "table", "menu", "div", "article"})
         self.flush()
         self.links = 0
-        _, node, dropped, main = self.stack[-1]
+        _, node, dropped, main, marks = self.stack[-1]
         got = {k: v or "" for k, v in attrs}
-        name = " ".join((got.get("class", ""), got.get("id", ""), got.get("role", ""))).lower()
-        marked = not MARKS.isdisjoint(_WORDS.findall(name))
         # A header inside an article holds its headline; one outside is the page's.
-        apart = tag in APART or (tag == "header" and not main) or (marked and tag not in ("body", "html", "main"))
+        apart = tag in APART or (tag == "header" and not main)
+        names = [_WORDS.findall(x) for x in " ".join((got.get("class", ""), got.get("id", ""), got.get("role", ""))).lower().split()]
+        against = MARKS - {"header"} if main else MARKS
+        weak = tag not in ("body", "html", "main") and any(not against.isdisjoint(x) for x in names)
+        strong = weak and any(not against.isdisjoint(x) and against.union(BESIDE).issuperset(x) for x in names)
+        if weak:
+            self.marked += 1
+            marks = (*marks, self.marked if strong else -self.marked)
         hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-        main = main or ((tag in ("article", "main") or got.get("role") == "main") and not dropped and not apart)
+        main = main or ((tag in ("article", "main") or got.get("role") == "main") and not dropped and not apart and not strong)
         if tag != "hr":
             depth = self.nodes[node][0] + 1
             if depth <= DEPTH:
                 self.nodes.append((depth, tag + "." + ".".join(sorted(set(got.get("class", "").split()))) if got.get("class") else tag))
                 node = len(self.nodes) - 1
-            self.stack.append((tag, node, dropped or apart or hidden, main))
+            self.stack.append((tag, node, dropped or apart or hidden, main, marks))
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -194,22 +207,36 @@ def _fold(nodes: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], list[int
     return out, place
 
 
-def parse_page(html: str | None) -> tuple[str, list[tuple[int, str]], list[tuple[int, str]], bool]:
-    """(skeleton, content blocks, other blocks, is there a marked article?), blocks as (skeleton node, text)."""
+def parse_page(html: str | None) -> tuple[str, list[tuple[int, str, int, tuple[int, ...]]], list[tuple[int, str, int, tuple[int, ...]]], bool]:
+    """(skeleton, content blocks, other blocks, is there a marked article?), blocks as (skeleton node, text, characters in links, marks)."""
     parser = PageParser()
     parser.feed(html or "")
     parser.close()
     parser.flush()
     nodes, place = _fold(parser.nodes)
     skeleton = "\n".join(f"{d} {label}" for d, label in nodes)
-    main = any(m and not dropped for _, dropped, m, _, _ in parser.blocks)
+    main = any(m and not dropped for _, dropped, m, *_ in parser.blocks)
     content, rest = [], []
-    for node, dropped, in_main, text, linked in parser.blocks:
-        good = not dropped and (in_main if main else 2 * linked <= len(text))
-        (content if good else rest).append((place[node], text))
+    for node, dropped, in_main, text, linked, marks in parser.blocks:
+        (content if not dropped and (in_main or not main) else rest).append((place[node], text, linked, marks))
     return skeleton, content, rest, main
 
 
+def main_text(blocks: list[dict], template: set[tuple[int, int]], repeating: set[int]) -> str:
+    """The text of the blocks that vary. Link-rich ones go where their node repeats over pages; marked containers go,
+    those with a weak mark if link-rich, unless they hold over half of what varies."""
+    live = [b for b in blocks if (b["node"], b["said"]) not in template and not (b["rich"] and b["node"] in repeating)]
+    total = sum(len(b["text"]) for b in live)
+    size: dict[int, list[int]] = {}
+    for b in live:
+        for m in b["marks"]:
+            held = size.setdefault(m, [0, 0])
+            held[0] += len(b["text"])
+            held[1] += b["linked"]
+    gone = {m for m, (n, linked) in size.items() if 2 * n <= total and (m > 0 or 2 * linked > n)}
+    return "\n\n".join(b["text"] for b in live if gone.isdisjoint(b["marks"]))
+
+
 def simple_tree_matching(a: list[tuple[int, str]], b: list[tuple[int, str]], most_cells: int = 1_000_000) -> dict[int, int]:
     """The largest order- and ancestor-preserving matching of two trees with equal roots: nodes of a to nodes of b.
 
@@ -280,17 +307,18 @@ def simple_tree_matching(a: list[tuple[int, str]], b: list[tuple[int, str]], mos
     return out
 
 
-_BLOCK = pa.struct([("node", pa.int32()), ("said", pa.int64()), ("text", pa.string())])
+_BLOCK = pa.struct([("node", pa.int32()), ("said", pa.int64()), ("text", pa.string()), ("rich", pa.bool_()), ("linked", pa.int32()), ("marks", pa.list_(pa.int32()))])
+_BLOCKS = "blocks array<struct<node:int,said:bigint,text:string,rich:boolean,linked:int,marks:array<int>>>"
 
 
-def _said(content: list[tuple[int, str]], main: bool) -> list[int]:
+def _said(content: list[tuple], main: bool) -> list[int]:
     """What is compared over pages. In a marked article a block can only be template with all of its node, so that a
     line that recurs between others stays; without one, each block stands for itself."""
     whole: dict[int, str] = {}
     if main:
-        for node, text in content:
+        for node, text, *_ in content:
             whole[node] = f"{whole.get(node, '')}\n{text}"
-    texts = (whole[node] if main else text for node, text in content)
+    texts = (whole[node] if main else text for node, text, *_ in content)
     return [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
 
 
@@ -300,7 +328,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html in batch.column(3).to_pylist():
             skeleton, content, _, main = parse_page(html)
             skeletons.append(skeleton)
-            blocks.append([{"node": n, "said": k, "text": t} for (n, t), k in zip(content, _said(content, main), strict=True)])
+            said = zip(content, _said(content, main), strict=True)
+            blocks.append([{"node": n, "said": k, "text": t, "rich": not main and 2 * a > len(t), "linked": a, "marks": m} for (n, t, a, m), k in said])
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(skeletons), pa.array(blocks, pa.list_(_BLOCK))], names=["page_id", "url", "host", "skeleton", "blocks"])
 
 
@@ -321,6 +350,14 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["host", "shape", "node", "slot"])
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blocks, template, repeating = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        known = [{(t["node"], t["said"]) for t in x or []} for x in template]
+        texts = [main_text(b, t, set(r or [])) for b, t, r in zip(blocks, known, repeating, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
 def extract_main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = 0.8, least_pages: int = 5
 ) -> DataFrame:
@@ -334,7 +371,7 @@ def extract_main_text(
     scratch = Scratch(pages.sparkSession, "wrapper")
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST"))), F.lit(""))
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    parsed = picked.mapInArrow(_parsed, "page_id long, url string, host string, skeleton string, blocks array<struct<node:int,said:bigint,text:string>>")
+    parsed = picked.mapInArrow(_parsed, f"page_id long, url string, host string, skeleton string, {_BLOCKS}")
     parsed = scratch.save(parsed.withColumn("shape", F.xxhash64("skeleton")), "parsed")
 
     shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("skeleton").alias("skeleton"))
@@ -344,18 +381,22 @@ def extract_main_text(
     aligned = scratch.save(aligned, "aligned")
 
     # Copies of a page count once: else a host of copies would be all template.
-    texts = F.expr("array_distinct(transform(blocks, b -> struct(b.node AS node, b.said AS said)))")
+    texts = F.expr("array_distinct(transform(blocks, b -> struct(b.node AS node, b.said AS said, b.rich AS rich)))")
     shown = parsed.select("host", "shape", texts.alias("said")).groupBy("host", "shape", "said").agg(F.lit(1).alias("one"))
     pages_ = shown.groupBy("host", "shape").agg(F.count("*").alias("pages"))
     total = aligned.join(pages_, ["host", "shape"]).groupBy("host", "slot").agg(F.sum("pages").alias("all"))
-    shown = scratch.save(shown.select("host", "shape", F.explode("said").alias("x")).select("host", "shape", "x.node", "x.said"), "shown")
-    counts = shown.join(aligned, ["host", "shape", "node"]).groupBy("host", "slot", "said").agg(F.count("*").alias("n"))
+    shown = scratch.save(shown.select("host", "shape", F.explode("said").alias("x")).select("host", "shape", "x.node", "x.said", "x.rich"), "shown")
+    counts = shown.join(aligned, ["host", "shape", "node"]).groupBy("host", "slot", "said").agg(F.count("*").alias("n"), F.bool_or("rich").alias("rich"))
+    counts = scratch.save(counts, "counts")
+    # Slots most of whose link-rich showings say what another page of the host says there too.
+    again = counts.filter("rich").groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("same")).filter("2 * same > n")
     fixed = counts.filter(F.col("n") >= least_pages).join(total, ["host", "slot"]).filter(F.col("n") >= constant * F.col("all"))
     mark = F.collect_set(F.struct("node", "said")).alias("template")
     template = aligned.join(fixed.select("host", "slot", "said"), ["host", "slot"]).groupBy("host", "shape").agg(mark)
     template = scratch.save(template, "template")
+    repeating = aligned.join(again.select("host", "slot"), ["host", "slot"]).groupBy("host", "shape").agg(F.collect_set("node").alias("repeating"))
+    repeating = scratch.save(repeating, "repeating")
 
-    out = parsed.select("page_id", "url", "host", "shape", "blocks").join(template, ["host", "shape"], "left")
-    slot = "b -> template IS NULL OR NOT array_contains(template, struct(b.node AS node, b.said AS said))"
-    out = out.select("page_id", "url", F.expr(f"array_join(transform(filter(blocks, {slot}), b -> b.text), '\\n\\n')").alias("text"))
+    out = parsed.select("page_id", "url", "host", "shape", "blocks").join(template, ["host", "shape"], "left").join(repeating, ["host", "shape"], "left")
+    out = out.select("page_id", "url", "blocks", "template", "repeating").mapInArrow(_texts, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -77,6 +77,21 @@ def test_pages_without_an_end_of_head():
         assert texts(head + body) == texts(head + "</head>" + body) == ["One", "Two"]
 
 
+def test_pages_keep_varying_slots_whatever_their_names(spark):
+    words = lambda i: " ".join(f"word{i}x{j}" for j in range(30))
+    rows = []
+    for i in range(6):
+        body = f"<header class='post-header'><h1>Title {i}</h1></header><p>{words(i)}</p><section id='search-algorithms'><p>Section {i}</p></section><div class='comments'><p>nice {i}</p></div>"
+        rows.append((i, f"http://a.example/{i}", f"<body><div class='layout has-sidebar'><article class='post comments-open'>{body}</article></div>"))
+        refs = f"<ul><li><a href='x'>Reference {i}</a></li></ul>"
+        rows.append((10 + i, f"http://b.example/{i}", f"<body><div class='layout has-sidebar'><p>{words(i)}</p>{refs}</div><div><p><a href='y'>More {i % 2}</a></p></div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(df).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\n\n{words(i)}\n\nSection {i}"
+        assert got[10 + i] == f"{words(i)}\n\nReference {i}"
+
+
 def test_tree_matching():
     a = [(0, "r"), (1, "a"), (2, "x"), (1, "b"), (1, "c")]
     b = [(0, "r"), (1, "b"), (1, "a"), (2, "x"), (2, "y"), (1, "c")]
