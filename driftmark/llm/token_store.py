@@ -9,6 +9,8 @@ Both tables are Parquet, so that any store Spark can reach will do.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 import string
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,82 +38,121 @@ _HEAD = struct.Struct("<4sQIII")  # magic, symbols, lanes, checkpoint steps, wor
 
 
 #: Latin letters that NFC and lower case keep one letter each, with or without marks of punctuation behind them.
-_LATIN = re.compile("([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([%s]*)" % re.escape(string.punctuation))
-_MARKS = string.punctuation.encode()
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ɏ"
+_PLAIN = "^[%s]+[%s]*$" % (_LETTERS, re.escape(string.punctuation))
+_LOWER = "".join(sorted({c.lower() for c in map(chr, range(0x41, 0x250)) if re.fullmatch(f"[{_LETTERS}]", c)}))
+#: The settings under which words part at ASCII white space and a plain word is one stem and one run of marks: any
+#: other tokenizer file encodes whole texts.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _word_rules(path: str) -> bool:
+    """Is the file's tokenizer one whose plain words can be learnt by stem and marks?"""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    normal = (told.get("normalizer") or {}).get("normalizers", [])
+    parts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = told.get("model") or {}
+    return (
+        [n["type"] for n in normal] == _NORMALIZERS
+        and normal[1]["pattern"] == {"Regex": r"\s+"}
+        and normal[1]["content"] == " "
+        and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+        and parts[0]["pattern"] == {"Regex": _SPLIT}
+        and parts[0]["invert"]
+        and not parts[1]["add_prefix_space"]
+        and not parts[1]["use_regex"]
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and told.get("post_processor") is None
+        and not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in told.get("added_tokens", []))
+    )
+
+
+def _lists(parts: list[list[int]], kind: str) -> pa.ListArray:
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    ids = np.fromiter(itertools.chain.from_iterable(parts), np.dtype(kind), int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
 
 class WordEncoder:
-    """ids of texts by the tokenizers library, whose pieces never cross ASCII white space: each distinct word is
-    encoded once and remembered, up to `remember` words. Plain words are encoded many to a text and told apart by
-    the pieces that end a word, if the model marks those."""
+    """ids of texts by the tokenizers library, a batch of texts at a time.
 
-    def __init__(self, path: str, remember: int = 500_000):
+    Under _word_rules no piece crosses ASCII white space, so each distinct word of a batch is encoded once: plain words
+    by the library's BPE model, once for each distinct stem and run of marks, others by the whole tokenizer. Nothing is
+    kept from batch to batch.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
-        self.known: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        size = max(vocabulary.values(), default=0) + 1
+        size = max(self.tokenizer.get_vocab().values(), default=0) + 1
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = None
-        if suffix:
-            self.ends = np.zeros(size, bool)
-            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-
-    def _encode_each(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words) or stops[-1] != len(ids):
-            return self._encode_each(words)
-        raw, width = ids.tobytes(), ids.itemsize
-        stops = (stops * width).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        known, plain, rest = self.known, [], []
-        for raw in new:
-            low = raw.lower()
-            stem = low.rstrip(_MARKS)
-            if self.ends is None:
-                rest.append(raw)
-            elif stem.isalpha():  # ASCII letters
-                plain.append((raw, stem, low[len(stem) :]))
-            elif m := _LATIN.fullmatch(raw.decode()):
-                stem = m[1].lower().encode()
-                plain.append((raw, stem, m[2].encode()))
-            else:
-                rest.append(raw)
-        tails = {tail for _, _, tail in plain if tail}.difference(known)
-        rest += tails.difference(rest)
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            known.update(zip(part, self._encode_each([w.decode() for w in part]), strict=True))
-        stems = list({stem for _, stem, _ in plain}.difference(known))
-        for i in range(0, len(stems), 2000):
-            part = stems[i : i + 2000]
-            known.update(zip(part, self._encode_plain([w.decode() for w in part]), strict=True))
-        known.update((raw, known[stem] + known[tail] if tail else known[stem]) for raw, stem, tail in plain)
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> Iterator[bytes]:
+        self.by_word = _word_rules(path)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _LOWER if not c.isascii()}
+
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, parts: list[str]) -> list[list[int]]:
+        """ids of stems and runs of marks, in lower case: one word each to the model."""
+        model = self.tokenizer.model.tokenize
+        return [[t.id for t in model(p if p.isascii() else p.translate(self.bytes))] if p else [] for p in parts]
+
+    def _words(self, words: pa.Array, end: int | None) -> pa.ListArray:
+        """The ids of each distinct word, and as a last list the end id."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        low = pc.utf8_lower(words.filter(plain))
+        stem = pc.utf8_rtrim(low, string.punctuation).dictionary_encode()
+        tail = pc.utf8_ltrim(low, _LOWER).dictionary_encode()
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        stems, tails = stem.dictionary.to_pylist(), tail.dictionary.to_pylist()
+        parts = _lists([*self._plain(stems), *self._plain(tails), *self._each(rest), [], [] if end is None else [end]], self.kind)
+        # Two parts for each word, then the word's ids are those of both.
+        yes = plain.to_numpy(zero_copy_only=False)
+        none = len(parts) - 2
+        pair = np.full((len(words) + 1, 2), none, np.int64)
+        pair[:-1][yes, 0] = stem.indices.to_numpy()
+        pair[:-1][yes, 1] = tail.indices.to_numpy() + len(stems)
+        pair[:-1][~yes, 0] = np.arange(len(rest)) + len(stems) + len(tails)
+        pair[-1, 0] = none + 1
+        both = parts.take(pa.array(pair.ravel()))
+        return pa.ListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.values)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.BinaryArray:
         """Each text's ids as little-endian unsigned integers (2 bytes each for vocabularies up to 65,536, else 4), with
-        the end id appended."""
-        tail = b"" if end is None else np.array([end], self.kind).tobytes()
-        for at in range(0, len(texts), 500):
-            words = [(t or "").encode().split() for t in texts[at : at + 500]]
-            if len(self.known) > self.remember:
-                self.known.clear()
-            new = list(set().union(*words).difference(self.known))
-            if new:
-                self._learn(new)
-            for row in words:
-                yield b"".join(map(self.known.__getitem__, row)) + tail
+        the end id appended; a null text counts as empty."""
+        texts = pc.fill_null(texts, "")
+        tail = [] if end is None else [end]
+        if not self.by_word:
+            lists = _lists([ids + tail for ids in self._each(texts.to_pylist())], self.kind)
+            offsets = lists.offsets.to_numpy()
+        else:
+            words = pc.ascii_split_whitespace(texts)
+            coded = words.values.dictionary_encode()
+            known = self._words(coded.dictionary, end)
+            ends = words.offsets.to_numpy()[1:]
+            codes = np.insert(coded.indices.to_numpy(), ends, len(known) - 1)
+            lists = known.take(pa.array(codes))
+            offsets = np.concatenate((lists.offsets.to_numpy()[:1], lists.offsets.to_numpy()[ends + np.arange(1, len(ends) + 1)]))
+        width = np.dtype(self.kind).itemsize
+        raw = lists.values.to_numpy().view(np.uint8)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def chunks(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, pa.Array]]:
+    """(place, texts) of about `most` bytes each, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -210,8 +252,9 @@ def tokenized(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = list(encoder(path).encode(batch.column(1).to_pylist(), end))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for at, texts in chunks(batch.column(1)):
+                ids = encoder(path).encode(texts, end)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], names=["doc_id", "ids"])
 
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return picked.mapInArrow(run, "doc_id long, ids binary")
@@ -243,7 +286,7 @@ def _coder(spark: SparkSession, table: DataFrame) -> Coder | None:
 
 
 def write_store(tokens: DataFrame, path: str, kind: str = "<u4") -> None:
-    """Write tokens(doc_id, ids as integers of that kind) in ascending doc_id (null first; equal ids by content)."""
+    """Write tokens(doc_id, ids as integers of that kind) in ascending doc_id (null first; rows of one id by a hash of their ids)."""
     spark = tokens.sparkSession
     counts = tokens.select("ids").mapInArrow(_tally(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
@@ -278,7 +321,9 @@ def write_store(tokens: DataFrame, path: str, kind: str = "<u4") -> None:
         if docs:
             yield close()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # The hash deals rows without an id, or of one id, over several shards.
+    salted = tokens.withColumn("salt", F.xxhash64("ids"))
+    ordered = salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt", "ids").drop("salt")
     ordered.mapInArrow(blocks, _BLOCK_SCHEMA).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -326,7 +371,7 @@ def token_file_digest(docs: DataFrame, tokenizer_path: str, end: int = 1, id_col
     """Encode every text, write the store, read it back; one row per row of docs: doc_id, start, n_tokens, ids_crc32.
 
     Null texts have the end id alone. Null ids come first in the order; rows that repeat an id stand side by side,
-    in the order of their ids' bytes. Other columns are not read; an empty table gives an empty store.
+    in an order of their ids' hash. Other columns are not read; an empty table gives an empty store.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-store")

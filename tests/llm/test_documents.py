@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -185,8 +186,27 @@ def test_word_encoder_is_the_tokenizer():
 
     tokenizer, mine = Tokenizer.from_file(WORDS), token_store.WordEncoder(WORDS)
     texts = mixed_texts()
-    for text, raw in zip(texts, mine.encode(texts, 1)):
-        assert np.frombuffer(raw, mine.kind).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    letters = [chr(c) for c in range(0x41, 0x250)]
+    texts += letters + ["x" + c for c in letters] + [c + "x,'." for c in letters] + [" a  b ", "a's", "<|endoftext|>a", "a<|", "e\u0301 e\u0301x", "a\x1cb\x85c"]
+    assert mine.by_word
+    for by_word in (True, False):
+        mine.by_word = by_word
+        for at, part in token_store.chunks(pa.array(texts), 500):
+            for text, raw in zip(texts[at:], mine.encode(part, 1).to_pylist()):
+                assert np.frombuffer(raw, mine.kind).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    assert len(mine.encode(pa.array([], pa.string()), 1)) == 0
+
+
+def test_other_tokenizer_files_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(WORDS)
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    mine = token_store.WordEncoder(str(tmp_path / "other.json"))
+    assert not mine.by_word
+    for text, raw in zip(mixed_texts(), mine.encode(pa.array(mixed_texts())).to_pylist()):
+        assert np.frombuffer(raw, mine.kind).tolist() == other.encode(text or "", add_special_tokens=False).ids
 
 
 def test_rans_blocks():
@@ -235,13 +255,24 @@ def test_pieces_are_the_library_s(spark):
 
 
 def naive_best_fit(lengths, capacities, least):
-    bins = []
-    for n in sorted(lengths, reverse=True):
+    """Bins as [capacity, contents]; least None: open at the least cost per token, as the pieces left would fill the bin."""
+    bins, left = [], sorted(lengths, reverse=True)
+    while left:
+        n = left.pop(0)
         fits = [b for b in bins if b[0] - b[1] >= n]
         if fits:
             min(fits, key=lambda b: b[0] - b[1])[1] += n
-        else:
+        elif least:
             bins.append([next(c for c in capacities if c >= max(n, least)), n])
+        else:
+            prices = []
+            for c in capacities:
+                if c >= n:
+                    used = n
+                    for x in left:
+                        used += x if used + x <= c else 0
+                    prices.append((packing.training_cost(next(d for d in capacities if d >= used)) / used, c))
+            bins.append([min(prices)[1], n])
     return sorted(b[1] for b in bins)
 
 
@@ -249,32 +280,43 @@ def test_best_fit_against_a_plain_version():
     rng = random.Random(6)
     for _ in range(20):
         lengths = [rng.randint(1, 64) for _ in range(60)]
-        for least in (16, 32, 64):
+        for least in (None, 16, 32, 64):
             bins, offsets, used = packing.best_fit(lengths, (16, 32, 64), least)
             assert sum(used) == sum(lengths) and max(used) <= 64
             assert sum(used) == sum(naive_best_fit(lengths, (16, 32, 64), least))
             assert abs(len(used) - len(naive_best_fit(lengths, (16, 32, 64), least))) <= 1
+    # Lengths that fill small bins wholly and large ones badly: opening by cost finds what no one least length does.
+    mixed = [500] * 40 + [2040, 2040] * 10 + [3000, 1090] * 20
+    cost = lambda bins: sum(map(packing.training_cost, bins))
+    assert cost(packing.pack(mixed)[2]) <= min(cost([next(c for c in packing.CAPACITIES if c >= u) for u in packing.best_fit(mixed, packing.CAPACITIES, x)[2]]) for x in packing.CAPACITIES)
 
 
 def test_packing_keeps_every_token(spark):
-    rng = random.Random(8)
-    rows = [(i, rng.choice([1, 5, 700, 4096, 4097, rng.randint(1, 3000)])) for i in range(300)] + [(300, 50_000), (301, None), (302, 0), (None, 9), (5, 77)]
-    df = spark.createDataFrame([(i, n, 1, 2) for i, n in rows], "doc_id long, n_tokens long, bin_id long, start long")
-    got = packing.pack_documents(df, group_size=100).collect()
-    total, bins = Counter(), {}
-    for r in got:
-        total[r["doc_id"]] += r["n_tokens"]
-        if r["bin_id"] is not None:
-            bins.setdefault(r["bin_id"], []).append(r)
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(WORDS), random.Random(8)
+    rows = [(i, prose(rng, rng.choice([1, 5, 300, 1500, rng.randint(1, 900)]))) for i in range(80)] + AWKWARD + [(5, "five again"), (7, rows7 := "seven"), (7, rows7)]
+    bins = packing.packed_sequences(table(spark, rows), WORDS, group_size=40)
+    got, trained = bins.collect(), {r["bin_id"]: r for r in packing.training_rows(bins).collect()}
+    pieces = Counter()
+    for b in got:
+        ids, at = np.frombuffer(b["ids"], "<u2"), 0
+        assert sum(b["sizes"]) == len(ids) and b["capacity"] == next(c for c in packing.CAPACITIES if c >= len(ids))
+        row = trained[b["bin_id"]]
+        assert row["ids"][: len(ids)] == ids.tolist() and len(row["ids"]) == b["capacity"] == len(row["segment_ids"]) and not any(row["segment_ids"][len(ids) :])
+        for turn, (i, start, n) in enumerate(zip(b["doc_ids"], b["starts"], b["sizes"])):
+            assert row["segment_ids"][at : at + n] == [turn + 1] * n and row["position_ids"][at : at + n] == list(range(n))
+            pieces[i, start, tuple(ids[at : at + n].tolist())] += 1
+            at += n
     want = Counter()
-    for i, n in rows:
-        want[i] += n or 0
-    assert +total == +want and {r["doc_id"] for r in got} == {i for i, _ in rows}
-    for pieces in bins.values():
-        capacity, at = pieces[0]["capacity"], 0
-        for p in sorted(pieces, key=lambda p: p["bin_offset"]):
-            assert p["bin_offset"] == at and p["capacity"] == capacity
-            at += p["n_tokens"]
-        assert capacity == next(c for c in packing.CAPACITIES if c >= at)
-    assert sum(n for n in want.values()) / sum(p[0]["capacity"] for p in bins.values()) > 0.9
-    assert packing.pack_documents(df.limit(0)).count() == 0
+    for i, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        want.update((i, s, tuple(ids[s : s + 4096])) for s in range(0, len(ids), 4096))
+    assert pieces == want
+    digest = packing.pack_documents(table(spark, rows), WORDS, group_size=40).collect()
+    assert Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in digest) == Counter((i, s, zlib.crc32(np.array(x, "<u2").tobytes())) for i, s, x in want.elements())
+    held = {}
+    for r in sorted(digest, key=lambda r: r["bin_offset"]):
+        assert r["bin_offset"] == held.get(r["bin_id"], 0)
+        held[r["bin_id"]] = r["bin_offset"] + r["n_tokens"]
+    assert packing.pack_documents(table(spark, []), WORDS).count() == 0
