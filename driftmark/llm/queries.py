@@ -12,7 +12,7 @@ from driftmark.llm.embed_lsh import lattice_duplicates
 from driftmark.llm.license_scan import license_scan
 from driftmark.llm.minhash import near_duplicates
 from driftmark.llm.quality_rules import quality_rules
-from driftmark.llm.packing import pack_documents, token_lengths
+from driftmark.llm.packing import pack_documents
 from driftmark.llm.ranker import fit, score
 from driftmark.llm.sp_fst import encoding_digest
 from driftmark.llm.substring_dedup import repeated_spans
@@ -54,8 +54,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pack_documents(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
