@@ -1,5 +1,6 @@
 """Operators on documents against brute-force versions, and on awkward input."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -251,9 +252,50 @@ def test_pieces_are_the_library_s(spark):
         ids = np.frombuffer(r["ids"], "<u4").tolist()
         assert ids == library.encode(rows[r["doc_id"]][1] or "")
         assert r["text"] == library.decode(ids) == (rows[r["doc_id"]][1] or "").replace("▁", " ")
+    rows += AWKWARD + [(None, "lost again"), (3, rows[3][1]), (3, rows[3][1])]
+    digest = sp_fst.encoding_digest(table(spark, rows), PIECES).collect()
+    want = []
+    for i, text in rows:
+        ids = library.encode(text or "")
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256((text or "").replace("▁", " ").encode()).hexdigest()))
+    assert Counter(map(tuple, digest)) == Counter(want)
     assert sp_fst.encoding_digest(table(spark, []), PIECES).count() == 0
 
 
+def test_pieces_on_the_test_documents(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id % 10 = 3").toPandas()
+    ids = sp_fst.machine(PIECES).encode(pa.array(docs["text"], pa.string())).to_pylist()
+    assert all(got == library.encode(text or "") for got, text in zip(ids, docs["text"]))
+
+
+def test_arcs_against_all_paths():
+    """Shortest paths of a unigram machine and the one path of a BPE machine, against all segmentations."""
+    m, rng = sp_fst.Transducer(PIECES), random.Random(14)
+    texts = ["▁" + prose(rng, 1) + rng.choice(["", ",", "%%", "é", "日"]) for _ in range(30)] + ["▁▁▁", "==", "▁x"]
+
+    def paths(text):
+        if not text:
+            yield []
+        for n in range(1, len(text) + 1):
+            piece = m.ids.get(text[:n], m.other if n == 1 else None)
+            if piece is not None:
+                for rest in paths(text[n:]):
+                    yield [(piece, text[:n]), *rest]
+
+    spell = lambda path: [i for p, t in path for i in ([p] if p < m.other else m._fallback(t))]
+    for text, got in zip(texts, m.shortest(pa.array(texts)).to_pylist()):
+        fine = [p for p in paths(text) if all(m.joint(a, b) for (a, _), (b, _) in zip([(m.start, ""), *p], p))]
+        assert [spell(p) for p in fine] == [got]
+    m.kind, m.weight = sp_fst.UNIGRAM, np.array([1 + (i * 7919 % 97) / 10 for i in range(m.other)] + [30.0, 0.0])
+    for text, got in zip(texts, m.shortest(pa.array(texts)).to_pylist()):
+        cost = lambda p: sum(m.weight[i] for i, _ in p)
+        best = min(map(cost, paths(text)))
+        assert any(spell(p) == got for p in paths(text) if cost(p) < best + 1e-9)
+
+
 def naive_best_fit(lengths, capacities, least):
     """Bins as [capacity, contents]; least None: open at the least cost per token, as the pieces left would fill the bin."""
     bins, left = [], sorted(lengths, reverse=True)
