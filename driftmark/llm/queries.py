@@ -42,7 +42,7 @@ def op5_lattice_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"), length=400).drop("starts", "ends")
+    return repeated_spans(table(spark, sf_dir, "documents"), length=400).drop("starts", "ends", "text_hash")
 
 
 def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,26 @@
 """Exact removal of repeated byte strings with a sparse, distributed suffix order.
 
 Every 400-byte string that starts at two places or more is removed wherever it stands. Sorting all suffixes of a
-corpus would shuffle many times its size, so suffixes are first narrowed, without losing one:
+corpus would shuffle many times its size, so what is sorted is first chosen, without losing a repeat:
 
 1. Runs. Each 400-byte window is assigned to its minimiser, the 50-byte gram of least hash in it. Equal windows
    have equal minimisers at equal offsets, so a window can repeat only if its minimiser does. Windows that
-   share one minimiser place form a run. A run whose bytes repeat as a whole is settled.
+   share one minimiser place form a run. A run whose bytes seem to repeat as a whole is chosen.
 2. Blocks. Runs that share a minimiser but differ as a whole are cut into blocks of 16 windows at places counted
-   from the minimiser, hence equally in all copies; a block whose bytes repeat is settled, and one whose
-   common core does not repeat is out.
-3. Suffixes. The windows left are suffixes to sort: splitters sampled by Spark range-partition them by leading
-   tokens, each bucket is sorted by multikey quicksort and neighbours are compared, across buckets too.
-
-Counting is done with map-side combined aggregations; no document, group or bucket gathers all copies of a string.
+   from the minimiser, hence equally in all copies; a block whose bytes seem to repeat is chosen, and one whose
+   common core does not repeat is out. The windows left are chosen one by one.
+
+Choosing is by hashes and map-side combined counts, which may only choose too much. What repeats is told by the
+suffixes alone: each chosen run, block or window is the suffix at its first byte, cut at its last byte. Splitters
+sampled by Spark range-partition the suffixes by their leading tokens (two words of eight bytes), each bucket is sorted
+by multikey quicksort and neighbours are compared byte by byte, across the buckets' boundaries too. Rows of one
+suffix are dealt over buckets by their places, so that no document, group or bucket gathers all copies of a string.
 """
 
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,37 +156,74 @@ def _block_rows(length: int):
     return lambda batches: _gathered(each(batches))
 
 
-def _suffix_rows(length: int):
-    """Windows as suffixes of three tokens: the hash of the leading gram, then two hashes of the whole window."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for k1, k2, text, found in _documents(batches):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            first, n = (np.array([x[c] for x in found], np.int64) for c in ("first", "n"))
-            at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
-            tokens = {"t0": long_spans(raw, at, at + GRAM, 0), "t1": long_spans(raw, at, at + length, 0), "t2": long_spans(raw, at, at + length, 1)}
-            yield _keyed(k1, k2, len(at)) | {"at": at} | tokens
+_UNIT = ["k1", "k2", "first", "n", "t0", "t1", "suffix"]
+_UNITS = "k1 long, k2 long, first long, n long, t0 long, t1 long, suffix binary"
 
-    return lambda batches: _gathered(each(batches))
 
+def leading_tokens(suffixes: np.ndarray, at: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
+    """The eight bytes at `depth` words into each suffix (first byte, length in a byte array) as numbers in the order
+    of the bytes; bytes behind a suffix's end count as 0."""
+    place = at[:, None] + depth * 8 + np.arange(8)
+    inside = depth * 8 + np.arange(8) < size[:, None]
+    found = np.where(inside, suffixes[np.minimum(place, max(len(suffixes) - 1, 0))], 0).astype(np.uint8)
+    return np.ascontiguousarray(found).view(">u8").ravel().astype(U)
 
-def multikey_quicksort(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
-    """The order of rows by token strings (one array per depth).
 
-    Each step parts the rows about a pivot token at one depth; the middle, whose tokens are equal there, goes
-    on at the next depth. Small parts are sorted at once.
+def _suffix_rows(length: int):
+    """(k1, k2, text, times, lists of (first, n)) to the suffixes of those runs of windows, with their two leading tokens."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k1, k2, text, times, *lists in _documents(batches):
+            raw = text.encode()
+            codes = np.frombuffer(raw, np.uint8)
+            rows = sorted({(x["first"], x["n"]) for found in lists for x in found or []})
+            for low in range(0, len(rows), 20_000):
+                part = np.array(rows[low : low + 20_000], np.int64)
+                first, n = part.T
+                size = n + length - 1
+                tokens = [leading_tokens(codes, first, size, d) ^ U(1 << 63) for d in (0, 1)]
+                cut = pa.array([raw[a : a + b] for a, b in zip(first.tolist(), size.tolist(), strict=True)], pa.binary())
+                columns = [np.full(len(part), k1), np.full(len(part), k2), first, n, *(t.view(np.int64) for t in tokens)]
+                for _ in range(times):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), cut], names=_UNIT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in each(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 20_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
+def multikey_quicksort(suffixes: list[bytes], small: int = 4096) -> np.ndarray:
+    """The order of byte strings.
+
+    Each step parts the strings about a pivot token of eight bytes at one depth; the middle, whose tokens are equal
+    there, goes on at the next depth. Small parts are sorted at once.
     """
-    order = np.arange(len(tokens[0]))
+    size = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
+    at = np.cumsum(size) - size
+    joined = np.frombuffer(b"".join(suffixes), np.uint8)
+    order = np.arange(len(suffixes))
     todo = [(0, len(order), 0)]
     while todo:
         low, high, depth = todo.pop()
         rows = order[low:high]
-        if depth == len(tokens) or high - low < 2:
+        if high - low < 2:
             continue
         if high - low <= small:
-            order[low:high] = rows[np.lexsort(tuple(t[rows] for t in reversed(tokens[depth:])))]
+            order[low:high] = sorted(rows.tolist(), key=suffixes.__getitem__)
             continue
-        token = tokens[depth][rows]
+        if depth * 8 >= size[rows].max():  # equal but for zero bytes at the end
+            order[low:high] = rows[np.argsort(size[rows], kind="stable")]
+            continue
+        token = leading_tokens(joined, at[rows], size[rows], depth)
         pivot = np.sort(token[[0, len(rows) // 2, -1]])[1]
         less, more = token < pivot, token > pivot
         a, b = low + int(less.sum()), high - int(more.sum())
@@ -192,32 +232,36 @@ def multikey_quicksort(tokens: list[np.ndarray], small: int = 4096) -> np.ndarra
     return order
 
 
-_SORTED = "bucket int, edge int, hit boolean, k1 long, k2 long, at long, t0 long, t1 long, t2 long"
+_SORTED = "bucket int, edge int, hit boolean, k1 long, k2 long, first long, n long, suffix binary"
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort one bucket; yield the suffixes equal to a neighbour, and both edges for comparison with other buckets."""
+    """Sort one bucket; yield the suffixes equal to a neighbour, and both edges, with their bytes, for comparison with
+    other buckets."""
     found = [b for b in batches if b.num_rows]
     if not found:
         return
     rows = pa.Table.from_batches(found)
-    col = {c: rows.column(c).to_numpy() for c in ("k1", "k2", "at", "t0", "t1", "t2")}
-    order = multikey_quicksort([col["t0"], col["t1"], col["t2"]])
-    col = {k: v[order] for k, v in col.items()}
-    same = (col["t0"][1:] == col["t0"][:-1]) & (col["t1"][1:] == col["t1"][:-1]) & (col["t2"][1:] == col["t2"][:-1])
+    suffixes = rows.column("suffix").to_pylist()
+    order = multikey_quicksort(suffixes)
+    line = [suffixes[i] for i in order.tolist()]
+    same = np.fromiter(map(operator.eq, line, line[1:]), bool, len(line) - 1)
     hit = np.zeros(len(order), bool)
     hit[1:] |= same
     hit[:-1] |= same
     edge = np.zeros(len(order), np.int32)
     edge[0] |= 1
     edge[-1] |= 2
-    keep = hit | (edge > 0)
-    bucket = np.full(int(keep.sum()), TaskContext.get().partitionId(), np.int32)
-    yield _table({"bucket": bucket, "edge": edge[keep], "hit": hit[keep]} | {k: v[keep] for k, v in col.items()})
+    keep = np.flatnonzero(hit | (edge > 0))
+    bucket = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
+    places = [rows.column(c).to_numpy()[order[keep]] for c in ("k1", "k2", "first", "n")]
+    sample = pa.array([line[i] if edge[i] else None for i in keep.tolist()], pa.binary())
+    columns = [*map(pa.array, (bucket, edge[keep], hit[keep], *places)), sample]
+    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SORTED.split(", ")])
 
 
 def _narrow(scratch: Scratch, units: DataFrame, name: str) -> DataFrame:
-    """Units that may hold a repeat, with: full (their bytes repeat as a whole), open (they are to be cut finer).
+    """Units that may hold a repeat, with: full (their bytes seem to repeat as a whole), open (they are to be cut finer).
 
     Where a core is open, one unit stands for all equal full ones, so that others can still match it.
     """
@@ -262,8 +306,8 @@ def _cut(length: int):
     return go
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, per_bucket: int = 400_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, per_bucket: int = 100_000) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends, text_hash.
 
     starts and ends: the maximal removed byte ranges [start, end), empty where nothing goes. Texts count as UTF-8
     bytes, null as empty; texts under `length` bytes keep all. Repeated rows are copies of each other, also when
@@ -282,31 +326,37 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop("runs", "runs-near", "runs-groups")
     here = F.struct("first", "n", "place")
     lists = found.groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("open"), here)).alias("open"), F.collect_list(F.when(F.col("full"), here)).alias("full"))
-    touched = scratch.save(keyed.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "touched")
+    # Rows of one id and text are one row here, whose suffixes are sorted twice.
+    touched = keyed.join(lists, ["k1", "k2"]).groupBy("k1", "k2").agg(
+        F.first("text").alias("text"), F.least(F.count("*"), F.lit(2)).alias("times"), F.first("open").alias("open"), F.first("full").alias("full")
+    )
+    touched = scratch.save(touched, "touched")
 
     level2 = touched.filter(F.size("open") > 0).select("k1", "k2", "text", "open")
     level2 = scratch.save(level2.mapInArrow(_block_rows(length), unit), "blocks")
     found2 = scratch.save(_narrow(scratch, level2, "blocks"), "blocks-found")
     scratch.drop("blocks", "blocks-near", "blocks-groups")
 
-    left = found2.filter("open").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("open2"))
-    level3 = touched.select("k1", "k2", "text").join(left, ["k1", "k2"])
-    level3 = scratch.save(level3.mapInArrow(_suffix_rows(length), "k1 long, k2 long, at long, t0 long, t1 long, t2 long"), "suffixes")
+    # Blocks and single windows; with the runs that seem to repeat they are the suffixes that are sorted.
+    here = F.struct("first", "n")
+    windows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.struct((F.col("first") + i).alias("first"), F.lit(1).cast("long").alias("n")))
+    left = found2.groupBy("k1", "k2").agg(
+        F.collect_list(F.when(F.col("full"), here)).alias("blocks"), F.flatten(F.collect_list(F.when(F.col("open"), windows))).alias("windows")
+    )
+    level3 = touched.select("k1", "k2", "text", "times", "full").join(left, ["k1", "k2"], "left")
+    level3 = scratch.save(level3.mapInArrow(_suffix_rows(length), _UNITS), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), level3.count() // per_bucket + 1)
-    ranged = level3.repartitionByRange(buckets, "t0", "t1", "t2", "k1", "k2", "at")
+    ranged = level3.repartitionByRange(buckets, "t0", "t1", "k1", "k2", "first")
     ordered = scratch.save(ranged.mapInArrow(_sort_bucket, _SORTED), "sorted")
     # Two rows a bucket at most: does a bucket begin with the suffix that the one before ends with?
     edges = ordered.filter("edge > 0").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("side")).filter("edge & side > 0")
     line = Window.orderBy("bucket", "side")
-    same = lambda other: (F.col("t0") == other("t0")) & (F.col("t1") == other("t1")) & (F.col("t2") == other("t2"))
-    near = lambda step: lambda c: F.when(F.lag("side", step).over(line) != F.col("side"), F.lag(c, step).over(line))
-    joined = edges.select("k1", "k2", "at", F.when(F.col("side") == 1, same(near(1))).otherwise(same(near(-1))).alias("hit"))
-    hits = ordered.filter("hit").select("k1", "k2", "at").union(joined.filter("hit").select("k1", "k2", "at"))
-
-    one = F.struct(F.col("at").alias("first"), F.lit(1).cast("long").alias("n"))
-    more = hits.select("k1", "k2", one.alias("x")).union(found2.filter("full").select("k1", "k2", F.struct("first", "n").alias("x")))
-    more = more.groupBy("k1", "k2").agg(F.collect_list("x").alias("more"))
-    cut = touched.join(more, ["k1", "k2"], "left").select("k1", "k2", "text", "full", "more")
+    same = lambda step: F.coalesce((F.lag("side", step).over(line) != F.col("side")) & (F.lag("suffix", step).over(line) == F.col("suffix")), F.lit(False))
+    joined = edges.select("k1", "k2", "first", "n", F.when(F.col("side") == 1, same(1)).otherwise(same(-1)).alias("hit"))
+    hits = ordered.filter("hit").select("k1", "k2", "first", "n").union(joined.filter("hit").select("k1", "k2", "first", "n"))
+
+    more = hits.groupBy("k1", "k2").agg(F.collect_list(here).alias("more"))
+    cut = touched.select("k1", "k2", "text").join(more, ["k1", "k2"], "left").select("k1", "k2", "text", "more")
     cut = scratch.save(cut.mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"), "cut")
     scratch.drop("suffixes", "sorted", "touched")
     whole = picked.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
@@ -316,18 +366,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-        F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"),
+        F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.col("k2").alias("text_hash"),
     )
 
 
 def cut_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with the byte ranges of spans(doc_id, n_removed, starts, ends) cut out of their texts.
+    """docs with the byte ranges of repeated_spans cut out of their texts.
 
     A range may end within a character: bytes of a character that lost a part are dropped with it, so that the text
     stays valid. A column `chars_col`, if there is one, gets the new number of code points. All rows and columns
-    stay; rows that repeat an id, null ids included, must repeat its text: give a key of the rows where they may not.
+    stay. Ranges belong to an id and a text: rows that share an id, a null one included, but not its text keep their own.
     """
-    ranges = spans.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "starts", "ends").dropDuplicates(["_id"])
+    ranges = spans.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts", "ends")
+    ranges = ranges.dropDuplicates(["_id", "_hash"])
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -340,7 +391,8 @@ def cut_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(ranges, docs[id_col].eqNullSafe(ranges["_id"]), "left")
+    mine = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == ranges["_hash"]
+    joined = docs.join(ranges, docs[id_col].cast("long").eqNullSafe(ranges["_id"]) & mine, "left")
     changed = joined.withColumn(text_col, F.when(F.col("starts").isNull(), F.col(text_col)).otherwise(without(text_col, "starts", "ends")))
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
