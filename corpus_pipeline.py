@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from driftmark.llm.common import Scratch, table
 from driftmark.llm.minhash import near_duplicates
-from driftmark.llm.packing import pack_documents, token_lengths
+from driftmark.llm.packing import pack_documents
 from driftmark.llm.quality_rules import quality_rules
 from driftmark.llm.ranker import fit, score
 from driftmark.llm.substring_dedup import cut_text, repeated_spans
 
-#: A path to a tokenizer file; packing counts its tokens.
+#: A path to a tokenizer file; packing writes its tokens.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Bytes of the shortest passage that is cut where it repeats: some forty words of prose, so that a passage of over
+#: fifty words is found whole, between whatever texts it stands.
+PASSAGE = 200
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -55,13 +58,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; n_chars follows. Every document stays, if with an empty text."""
     rows = _numbered(spark, docs)
-    return cut_text(rows, repeated_spans(rows, id_col="_row"), id_col="_row").drop("_row")
+    return cut_text(rows, repeated_spans(rows, id_col="_row", length=PASSAGE), id_col="_row").drop("_row")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text have nothing to pack."""
     texts = docs.filter(F.length("text") > 0)
-    return pack_documents(token_lengths(texts, TOKENIZER))
+    return pack_documents(texts, TOKENIZER)
 
 
 STAGES = [
