@@ -1,5 +1,7 @@
 """Embeddings, pages and the pipeline."""
 
+import random
+
 import numpy as np
 import pyspark.sql.functions as F
 
@@ -99,6 +101,89 @@ def test_tree_matching():
     assert wrapper.simple_tree_matching(a, [(0, "q")]) == {}
 
 
+def random_tree(rng, n):
+    """A tree as (depth, label) in page order."""
+    out = [(0, "r")]
+    while len(out) < n:
+        out.append((rng.randint(1, out[-1][0] + 1), rng.choice("abc")))
+    return out
+
+
+def matched(a, b):
+    """Simple tree matching by plain recursion: the number of matched nodes."""
+    kids = lambda t, i: [k for k in range(i + 1, len(t)) if t[k][0] == t[i][0] + 1 and all(t[x][0] > t[i][0] for x in range(i + 1, k))]
+
+    def go(i, j):
+        if a[i][1] != b[j][1]:
+            return 0
+        x, y = kids(a, i), kids(b, j)
+        grid = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for m in range(len(x)):
+            for n in range(len(y)):
+                grid[m + 1][n + 1] = max(grid[m][n + 1], grid[m + 1][n], grid[m][n] + go(x[m], y[n]))
+        return 1 + grid[-1][-1]
+
+    return go(0, 0)
+
+
+def test_tree_matching_against_plain_recursion(monkeypatch):
+    rng = random.Random(15)
+    whole = wrapper._pairs
+    for most in (1 << 20, 6):
+        monkeypatch.setattr(wrapper, "_pairs", lambda weights, most=most: whole(weights, most))
+        for _ in range(60):
+            a, b = random_tree(rng, rng.randint(1, 30)), random_tree(rng, rng.randint(1, 30))
+            found = wrapper.simple_tree_matching(a, b)
+            assert len(found) == matched(a, b) == len(set(found.values()))
+            for i, j in found.items():  # labels agree, and order and descent are kept
+                assert a[i][1] == b[j][1] and a[i][0] == b[j][0]
+            line = sorted(found.items())
+            assert [j for _, j in line] == sorted(j for _, j in line)
+    deep = [(i, "d") for i in range(5000)]
+    assert len(wrapper.simple_tree_matching(deep, deep[:4000])) == 4000
+    wide = [(0, "r"), *[x for i in range(1500) for x in ((1, "a"), (2, f"b{i % 700}"))]]
+    assert len(wrapper.simple_tree_matching(wide, wide[:-2])) == len(wide) - 2
+
+
+def test_deep_pages_keep_their_text(spark):
+    rows = [(i, f"http://a.example/{i}", "<div>" * 3000 + f"<p>text {i}" + "</div>" * 3000) for i in range(6)]
+    got = wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["text"]) for r in got} == {(i, f"text {i}") for i in range(6)}
+
+
+def test_slots_find_the_article_without_its_tags(spark):
+    """The test pages, whose menus, adverts and footers change from page to page, with their telling elements and names
+    taken away: slots alone must find what stands in the article."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = pages
+    for tag in ("article", "nav", "footer"):
+        plain = plain.withColumn("html", F.expr(f"regexp_replace(html, '<(/?){tag}>', '<$1div>')"))
+    plain = plain.withColumn("html", F.expr("replace(html, '<div class=\"ad\">', '<div>')"))
+    want = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(pages).collect()}
+    bare = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(plain).collect()}
+    off = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(pages, tags=False).collect()}
+    counts = pages.groupBy(F.expr("lower(try_parse_url(url, 'HOST'))").alias("h")).count().filter("count >= 8").select("h")
+    large = {r["page_id"] for r in pages.join(counts, F.expr("lower(try_parse_url(url, 'HOST'))") == F.col("h")).collect()}
+    assert len(large) > 50
+    for got in (bare, off):
+        hit = [sum(len(b) for b in got[i].split("\n\n") if b in want[i].split("\n\n")) for i in large]
+        assert sum(hit) / sum(len(want[i]) for i in large) > 0.98  # recall
+        assert sum(hit) / sum(len(got[i]) for i in large) > 0.98  # precision
+
+
+def test_page_texts_against_the_marked_article(spark):
+    """Every test page marks its article, which a regular expression finds as well."""
+    import html as h
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(h.unescape(re.sub(r"<br>", " ", re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", x))).split()) for x in re.split(r"</?(?:p|h1|ul|li|div|blockquote|table|tr)\b[^>]*>", inner)]
+        assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b), r["page_id"]
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -110,7 +195,7 @@ def test_pipeline(spark):
         assert after.columns == docs.columns and after.dtypes == docs.dtypes
         assert after.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
         if name == "suffix-array dedup":
-            spans = {r["doc_id"]: r for r in substring_dedup.repeated_spans(before).collect()}
+            spans = {r["doc_id"]: r for r in substring_dedup.repeated_spans(before, length=corpus_pipeline.PASSAGE).collect()}
             texts = {r["doc_id"]: r["text"] for r in before.collect()}
             assert after.count() == before.count()
             for r in after.collect():
