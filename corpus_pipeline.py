@@ -19,9 +19,9 @@ from driftmark.llm.substring_dedup import cut_text, repeated_spans
 
 #: A path to a tokenizer file; packing writes its tokens.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Bytes of the shortest passage that is cut where it repeats: some forty words of prose, so that a passage of over
+#: Bytes of the shortest passage that is cut where it repeats: fifty words of four letters and a space, so that a passage of over
 #: fifty words is found whole, between whatever texts it stands.
-PASSAGE = 200
+PASSAGE = 250
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
