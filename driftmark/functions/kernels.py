@@ -81,13 +81,43 @@ def peakiness(x: np.ndarray, longer: bool = False) -> float:
     return float(bend.max()) if len(bend) else float("nan")
 
 
+@lru_cache(maxsize=512)
+def _bends(n: int, window: int, order: int) -> np.ndarray:
+    """The matrix that takes a leg of n points to the second differences of its smoothed form."""
+    return np.diff(savgol_all(np.eye(n), window, order), 2, axis=0)
+
+
+def savgol_all(x: np.ndarray, window: int, order: int) -> np.ndarray:
+    """savgol() of each column."""
+    return np.stack([savgol(c, window, order) for c in x.T], axis=1)
+
+
+def peakiness_all(legs: list, longer: bool = False, most: int = 600) -> np.ndarray:
+    """peakiness() of many legs: those of one length, up to `most` points, in one matrix product."""
+    out = np.full(len(legs), np.nan)
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(legs):
+        if x is not None:
+            by.setdefault(len(x), []).append(i)
+    for n, at in by.items():
+        window = 2 * half_even((n if longer else n - 3) / 8) + 3
+        order = min(half_even(n / 3) - 2, 2)
+        if n < max(window, 3) or order < 0 or order >= window:
+            continue
+        if n > most:
+            out[at] = [peakiness(np.asarray(legs[i], float), longer) for i in at]
+        else:
+            out[at] = np.abs(np.array([legs[i] for i in at], float) @ _bends(n, window, order).T).max(axis=1)
+    return out
+
+
 def weighted_quantile(values: np.ndarray, weights: np.ndarray, q) -> np.ndarray:
-    """Quantiles by midpoints of cumulated weight, over the last midpoint; plain ones where all weights are 0."""
-    if not weights.sum() > 0:
-        return np.quantile(values, q)
+    """Quantiles by midpoints of cumulated weight, over the last midpoint; negative weights count as 0. Plain ones where
+    the last midpoint is 0."""
     order = np.argsort(values, kind="stable")
-    c = np.cumsum(weights[order]) - weights[order] / 2
-    return np.interp(q, c / c[-1] if c[-1] > 0 else c, values[order])
+    weights = np.maximum(weights[order], 0)
+    c = np.cumsum(weights) - weights / 2
+    return np.interp(q, c / c[-1], values[order]) if c[-1] > 0 else np.quantile(values, q)
 
 
 #: Widths of the scoring network's layers (fixed values).

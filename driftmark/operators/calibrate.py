@@ -34,19 +34,28 @@ def descriptors(features: str = "features", point: str = "point") -> Column:
     length = lambda i: F.log1p(F.greatest(f(i), F.lit(0.0)))
     mean, deviation = _array_moments(F.slice(features, 18, 63))
     volume = [F.log1p(F.abs(f(i))) for i in (10, 11, 12, 13)]
-    return F.array(length(14), length(15), length(16), f(0), f(9) / 100, deviation, mean, *volume, signed_log(F.col(point)))
+    return F.array(length(14), f(0), f(9) / 100, length(15), length(16), deviation, mean, *volume, signed_log(F.col(point)))
+
+
+#: Names of the classes of duration, beta and RSI, and their bounds (fixed values).
+DURATIONS = ((7, "very_short_4_7"), (14, "short_8_14"), (28, "medium_15_28"), (None, "long_29_plus"))
+BETAS = ("low_beta", "market_beta", "high_beta")
+STRENGTHS = ("oversold", "neutral", "overbought")
 
 
 def duration_class(d: Column) -> Column:
-    return F.when(d <= 7, "very short").when(d <= 14, "short").when(d <= 28, "medium").otherwise("long")
+    (a, first), (b, second), (c, third), (_, last) = DURATIONS
+    return F.when(d <= a, first).when(d <= b, second).when(d <= c, third).otherwise(last)
 
 
 def beta_class(b: Column) -> Column:
-    return F.when(b < 0.75, "low").when(b <= 1.25, "market").otherwise("high")
+    low, middle, high = BETAS
+    return F.when(b < 0.75, low).when(b <= 1.25, middle).otherwise(high)
 
 
 def rsi_class(r: Column) -> Column:
-    return F.when(r < 30, "oversold").when(r <= 70, "neutral").otherwise("overbought")
+    low, middle, high = STRENGTHS
+    return F.when(r < 30, low).when(r <= 70, middle).otherwise(high)
 
 
 def calibration_set(old: DataFrame, new: DataFrame, new_weight: float = 2.0) -> DataFrame:

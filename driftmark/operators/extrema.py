@@ -11,6 +11,14 @@ from driftmark.functions.kernels import find_peaks
 from driftmark.operators.series import along
 
 SPLITS = (42, 48)
+#: Statuses of a present trough (fixed values).
+CONFIRMED = "confirmed_trough"
+PROVISIONAL = "provisional_recent_low"
+NO_LOW = "no_recent_low_after_latest_peak"
+LATE_LOW = "provisional_trough_has_fewer_than_five_observations"
+SHORT_FALL = "provisional_fall_too_short"
+#: The status where only confirmed troughs count.
+LAST_IS_PEAK = "latest extremum is a peak"
 
 
 def segmented(bars: DataFrame, parts: int) -> DataFrame:
@@ -92,8 +100,9 @@ def mean_spacing(bars: DataFrame, extrema: DataFrame, history: int | None = None
     return n.join(m, "ticker", "left").select("ticker", (F.col("n") / F.greatest(F.coalesce("m", F.lit(0)), F.lit(1))).alias("spacing"))
 
 
-def active_trough(extrema: DataFrame, bars: DataFrame, least: int = 4) -> DataFrame:
-    """Per ticker (trough, before, status): the trough that the present move starts from, or why there is none."""
+def active_trough(extrema: DataFrame, bars: DataFrame, least: int = 4, provisional: bool = True) -> DataFrame:
+    """Per ticker (trough, before, status): the trough that the present move starts from, or why there is none.
+    provisional: a low after the last peak may stand for a trough; else the last extremum must be one."""
     w = Window.partitionBy("ticker").orderBy(F.desc("pos"))
     last = extrema.select("ticker", "pos", "kind", F.lead("pos").over(w).alias("before"), F.row_number().over(w).alias("r")).filter("r = 1").drop("r")
     after = bars.select("ticker", F.col("pos").alias("at"), "price").join(last.withColumnRenamed("pos", "pos"), "ticker").filter("at > pos")
@@ -102,13 +111,14 @@ def active_trough(extrema: DataFrame, bars: DataFrame, least: int = 4) -> DataFr
     behind, fall = F.col("end") - F.col("low"), F.col("low") - F.col("pos")
     status: Column = (
         F.when((F.col("kind") == "trough") & F.col("before").isNull(), "fewer than two extrema")
-        .when(F.col("kind") == "trough", "confirmed_trough")
-        .when(F.coalesce("bars_after", F.lit(0)) < least + 1, "too few bars after the peak")
-        .when(behind < least, "too few bars after the low")
-        .when(fall < least, "fall too short")
-        .otherwise("provisional_recent_low")
+        .when(F.col("kind") == "trough", CONFIRMED)
+        .when(F.lit(not provisional), LAST_IS_PEAK)
+        .when(F.coalesce("bars_after", F.lit(0)) < least + 1, NO_LOW)
+        .when(behind < least, LATE_LOW)
+        .when(fall < least, SHORT_FALL)
+        .otherwise(PROVISIONAL)
     )
     out = found.withColumn("status", status)
-    peak = F.col("status") == "provisional_recent_low"
-    sure = F.col("status") == "confirmed_trough"
+    peak = F.col("status") == PROVISIONAL
+    sure = F.col("status") == CONFIRMED
     return out.select("ticker", F.when(sure, F.col("pos")).when(peak, F.col("low")).alias("trough"), F.when(sure, F.col("before")).when(peak, F.col("pos")).alias("before"), "status")

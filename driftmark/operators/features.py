@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,38 +28,60 @@ def durations(moves: DataFrame, inclusive: bool = False, least: int = 4) -> Data
     return moves.filter(last >= least).withColumn("duration", F.explode(F.sequence(F.lit(least), last))).withColumn("end", F.col("this") + F.col("duration"))
 
 
+def sample_meta(moves: DataFrame, bars: DataFrame, inclusive: bool = False) -> DataFrame:
+    """(ticker, extremum_date, end_date, next_date, duration, fall_duration, target) of every sample."""
+    on = lambda at, name: bars.select("ticker", F.col("pos").alias(at), F.col("date").alias(name))
+    dated = moves.join(on("this", "extremum_date"), ["ticker", "this"]).join(on("next", "next_date"), ["ticker", "next"])
+    rows = durations(dated, inclusive).join(on("end", "end_date"), ["ticker", "end"])
+    return rows.select("ticker", "extremum_date", "end_date", "next_date", "duration", (F.col("this") - F.col("before")).alias("fall_duration"), "target")
+
+
 def beta(bars: DataFrame, length: int = 126) -> DataFrame:
     """(ticker, pos, beta) of price on bench over `length` bars; null before there are so many or where bench is flat."""
     w = along()
     simple = lambda c: F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w))
     r = bars.select("ticker", "pos", simple("price").alias("x"), simple("bench").alias("y"))
+    return r.select("ticker", "pos", _beta(w, length))
+
+
+def _beta(w: WindowSpec, length: int) -> Column:
+    """Of returns x on y."""
     frame = w.rowsBetween(2 - length, 0)
-    both = F.when(F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).over(frame) == length - 1, 1)
+    both = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).over(frame) == length - 1
     value = F.try_divide(F.covar_samp("x", "y").over(frame), F.var_samp("y").over(frame))
-    return r.select("ticker", "pos", F.when(both == 1, value).alias("beta"))
+    return F.when(both, value).alias("beta")
 
 
 def rsi(bars: DataFrame, prices: int = 14) -> DataFrame:
     """(ticker, pos, rsi) from the deltas between `prices` bars; 100 where nothing was lost."""
     w = along()
     d = bars.select("ticker", "pos", (F.col("price") - F.lag("price").over(w)).alias("d"))
+    return d.select("ticker", "pos", _rsi(w, prices))
+
+
+def _rsi(w: WindowSpec, prices: int) -> Column:
+    """Of price deltas d."""
     frame = w.rowsBetween(2 - prices, 0)
     gain, loss = F.sum(F.greatest("d", F.lit(0.0))).over(frame), F.sum(F.greatest(-F.col("d"), F.lit(0.0))).over(frame)
     value = F.when(loss == 0, 100.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(gain, loss)))
-    return d.select("ticker", "pos", F.when(F.count("d").over(frame) == prices - 1, value).alias("rsi"))
+    return F.when(F.count("d").over(frame) == prices - 1, value).alias("rsi")
 
 
 def mean_volume(bars: DataFrame, length: int = 126) -> DataFrame:
-    frame = along().rowsBetween(1 - length, 0)
-    return bars.select("ticker", "pos", F.when(F.count("volume").over(frame) == length, F.avg("volume").over(frame)).alias("mean_volume"))
+    return bars.select("ticker", "pos", _mean_volume(along(), length))
+
+
+def _mean_volume(w: WindowSpec, length: int) -> Column:
+    frame = w.rowsBetween(1 - length, 0)
+    return F.when(F.count("volume").over(frame) == length, F.avg("volume").over(frame)).alias("mean_volume")
 
 
-def day_features(bars: DataFrame) -> DataFrame:
-    """(ticker, pos, date, beta, rsi, mean_volume): three windows over one sort."""
-    out = bars.select("ticker", "pos", "date")
-    for part in (beta(bars), rsi(bars), mean_volume(bars)):
-        out = out.join(part, ["ticker", "pos"])
-    return out
+def day_features(bars: DataFrame, length: int = 126, prices: int = 14) -> DataFrame:
+    """(ticker, pos, date, beta, rsi, mean_volume): all windows over one sort of the bars."""
+    w = along()
+    simple = lambda c: F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w))
+    steps = bars.select("ticker", "pos", "date", "volume", simple("price").alias("x"), simple("bench").alias("y"), (F.col("price") - F.lag("price").over(w)).alias("d"))
+    return steps.select("ticker", "pos", "date", _beta(w, length), _rsi(w, prices), _mean_volume(w, length))
 
 
 def legs(bars: DataFrame, extrema: DataFrame) -> DataFrame:
@@ -87,7 +109,7 @@ def quarter_slopes(prices: Column, steps: Column) -> list[Column]:
 def _bend(longer: bool):
     @F.pandas_udf(T.DoubleType())  # a type object: names need a session
     def value(legs: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else kernels.peakiness(np.asarray(x, float), longer) for x in legs], dtype="float64")
+        return pd.Series(kernels.peakiness_all(legs.tolist(), longer), dtype="float64")
 
     return value
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.operators.clean import finite
-from driftmark.operators.series import rate, savgol_column
+from driftmark.operators.series import rate, smoothed
 
 
 def month_calendar(spark: SparkSession, first: str, last: str, months: int = 1) -> DataFrame:
@@ -71,14 +71,14 @@ def rate_feature(series: DataFrame, first: float, repeat: int = 1, months: int |
     spread = rates.select("series_id", "value", F.explode(F.sequence(F.col("q") * repeat, F.col("q") * repeat + repeat - 1)).alias("idx"))
     if months is not None:
         spread = spread.filter(F.col("idx") < months)
-    return spread.select("series_id", "idx", savgol_column("value", window, order, "series_id", "idx").alias("value"))
+    return smoothed(spread, ["value"], window, order, "series_id", "idx").select("series_id", "idx", "value")
 
 
 def monthly_mean(daily: DataFrame, window: int = 15, order: int = 2) -> DataFrame:
     """(month, idx, value): calendar-month means of a daily index, smoothed."""
     means = daily.groupBy(F.to_date(F.trunc("date", "month")).alias("month")).agg(F.avg("price").alias("value"))
     means = means.select(F.lit("index").alias("series_id"), "month", "value").withColumn("idx", F.row_number().over(_per_series()) - 1)
-    return means.select("month", "idx", savgol_column("value", window, order, "series_id", "idx").alias("value"))
+    return smoothed(means, ["value"], window, order, "series_id", "idx").select("month", "idx", "value")
 
 
 def assembled(series: DataFrame, calendar: DataFrame, names: list[str]) -> DataFrame:

@@ -35,23 +35,32 @@ def moving_average(col: str, width: int, w: WindowSpec) -> Column:
     return F.when(F.count(col).over(frame) == width, F.avg(col).over(frame))
 
 
-def savgol_column(col: str, window: int, order: int, key: str = "ticker", by: str = "pos", first: int = 0) -> Column:
-    """Savitzky-Golay smoothing over whole series; null in series shorter than the window.
+def smoothed(df: DataFrame, cols: list[str], window: int, order: int, key: str = "ticker", by: str = "pos", first: int = 0) -> DataFrame:
+    """df with Savitzky-Golay smoothed columns in place; null in series shorter than the window or where a value is missing.
 
-    Each row takes the window about it, at the ends of a series the first or last full one, and the weights of
-    its place in that window. by must count the rows of a series from `first`.
+    Rows inside are a sum of neighbours times constants. Those within half a window of an end take the first or last
+    full window, which is gathered once per series, with the weights of their place in it; all over one sort. by must
+    count the rows of a series from `first`.
     """
-    h = window // 2
+    h, table = window // 2, savgol_matrix(window, order).tolist()
     w = Window.partitionBy(key).orderBy(by)
-    n = F.count("*").over(Window.partitionBy(key))
-    pos = F.col(by) - first
-    near = F.collect_list(col).over(w.rowsBetween(1 - window, window - 1))
-    start = F.least(F.greatest(pos - h, F.lit(0)), n - window)
-    part = F.slice(near, (start - F.greatest(pos - window + 1, F.lit(0)) + 1).cast("int"), F.lit(window))
-    table = F.array(*(F.array(*map(F.lit, row)) for row in savgol_matrix(window, order).tolist()))
-    weights = F.element_at(table, (pos - start + 1).cast("int"))
-    value = F.aggregate(F.zip_with(part, weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.when((n >= window) & (F.size(near) >= window), value)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pos, n = F.col(by) - first, F.col("_n")
+    rows = df.withColumn("_n", F.count("*").over(every))
+    new = {}
+    for c in cols:
+        middle = F.lit(0.0)
+        for k, weight in enumerate(table[h]):
+            middle = middle + (F.lag(c, h - k) if k < h else F.lead(c, k - h)).over(w) * weight
+        new[f"_mid_{c}"] = middle
+        new[f"_head_{c}"] = F.collect_list(F.when(pos < window, F.col(c))).over(every)
+        new[f"_tail_{c}"] = F.collect_list(F.when(pos >= n - window, F.col(c))).over(every)
+    rows = rows.withColumns(new)
+    weights = F.array(*(F.array(*map(F.lit, x)) for x in table))
+    fit = lambda x, i: F.aggregate(F.zip_with(x, F.element_at(weights, (i + 1).cast("int")), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    full = lambda c: (n >= window) & (F.size(f"_head_{c}") == window) & (F.size(f"_tail_{c}") == window)
+    value = lambda c: F.when(pos < h, fit(F.col(f"_head_{c}"), pos)).when(pos >= n - h, fit(F.col(f"_tail_{c}"), pos - n + window)).otherwise(F.col(f"_mid_{c}"))
+    return rows.withColumns({c: F.when(full(c), value(c)) for c in cols}).drop("_n", *new)
 
 
 def trailing_vectors(pairs: DataFrame, size: int = 63) -> DataFrame:
@@ -61,10 +70,15 @@ def trailing_vectors(pairs: DataFrame, size: int = 63) -> DataFrame:
     return out.filter((F.size("returns") == size) & (F.size("rates") == size))
 
 
-def pair_series(bars: DataFrame, smoothed: bool = True, width: int = 2) -> DataFrame:
+def smoothing(bars: DataFrame) -> DataFrame:
+    """Prices and volumes as the trailing vectors take them."""
+    return smoothed(bars, ["price", "volume"], 21, 3)
+
+
+def pair_series(bars: DataFrame, smooth: bool = True, width: int = 2) -> DataFrame:
     """(ticker, j, price, volume, ret, vrate) of block means of the smoothed or plain series."""
-    if smoothed:
-        bars = bars.select("ticker", "pos", savgol_column("price", 21, 3).alias("price"), savgol_column("volume", 21, 3).alias("volume")).dropna()
+    if smooth:
+        bars = smoothing(bars.select("ticker", "pos", "price", "volume")).dropna()
     pairs = block_means(bars, width, "price", "volume")
     w = along(order="j")
     return pairs.withColumns({"ret": change("price", w), "vrate": change("volume", w)})

@@ -52,10 +52,15 @@ def restored(samples: DataFrame, arrays: DataFrame, features: str = "features")
 # --- sampling, deterministic in its seed ---
 
 
+def hashed(*on: Column | str | int) -> Column:
+    """A number of 48 bits from MD5 of the values as text, which other engines can tell as well."""
+    parts = [F.lit(str(x)) if isinstance(x, int) else (F.col(x) if isinstance(x, str) else x).cast("string") for x in on]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
+
+
 def draw(below: Column, *on: Column | str | int) -> Column:
     """A hashed number from 0 to below - 1."""
-    parts = [F.lit(x) if isinstance(x, int) else x for x in on]
-    return F.pmod(F.xxhash64(*parts), below)
+    return F.pmod(hashed(*on), below)
 
 
 def ranked_rows(df: DataFrame, *order: str) -> DataFrame:
@@ -92,8 +97,8 @@ def hierarchical_sample(moves: DataFrame, size: int, seed: int, least: int = 4)
 
 def shuffled_batches(samples: DataFrame, size: int, seed: int, *keys: str) -> DataFrame:
     """batch: all rows in hashed order, cut into batches; the last one may be short."""
-    hashed = samples.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
-    return ranked_rows(hashed, "_h", *keys).withColumn("batch", F.floor(F.col("row_id") / size)).drop("_h", "row_id")
+    salted = samples.withColumn("_h", hashed(*keys, seed))
+    return ranked_rows(salted, "_h", *keys).withColumn("batch", F.floor(F.col("row_id") / size)).drop("_h", "row_id")
 
 
 # --- evaluation ---
@@ -125,12 +130,13 @@ def spearman(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def metrics(scored: DataFrame, *keys: str) -> DataFrame:
-    """Error, correlation and direction of scored(keys, group, actual, prediction)."""
+    """Error, correlation and direction of scored(keys, group, actual, prediction). Recalls tell above 0 from not above 0,
+    direction compares all three signs."""
     a, p = F.col("actual"), F.col("prediction")
     error = p - a
     same = F.when(F.signum(a) == F.signum(p), 1.0).otherwise(0.0)
     sst = F.var_pop("actual") * F.count("*")
-    up, down = F.avg(F.when(a > 0, same)), F.avg(F.when(a <= 0, same))
+    up, down = F.avg(F.when(a > 0, (p > 0).cast("double"))), F.avg(F.when(a <= 0, (p <= 0).cast("double")))
     balanced = F.when(up.isNull(), down).when(down.isNull(), up).otherwise((up + down) / 2)
     basic = scored.groupBy(*keys).agg(
         F.count("*").alias("samples"), F.countDistinct("group").alias("transitions"),

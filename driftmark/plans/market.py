@@ -71,7 +71,7 @@ moves AS (SELECT m.ticker, k, kind, before, this, next, next - this AS gap, 100
 MONTHLY = """monthly AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) / count(*) AS value FROM orders
  GROUP BY o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE))"""
 SCORED = """scored AS (SELECT l_returnflag AS dataset, CAST(l_linenumber % 3 AS INT) AS checkpoint, l_orderkey AS "group", l_extendedprice / 1000 - 40 AS actual,
- floor(l_extendedprice / 1500) - 20 + l_quantity / 10 AS prediction FROM lineitem)"""
+ floor(l_extendedprice / 1500) - 20 + floor(l_quantity / 10) AS prediction FROM lineitem)"""
 
 
 def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,19 +86,25 @@ def aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.align_benchmark(bars_of(spark, sf_dir), benchmark_of(spark, sf_dir))
 
 
-def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extrema.neighbourhood_extrema(bars_of(spark, sf_dir))
+def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars_of written once, for plans that use it in several places."""
+    return saved(bars_of(spark, sf_dir), "bars")
 
 
-def plain_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extrema.transitions(extrema.spaced(turns_of(spark, sf_dir)), bars_of(spark, sf_dir))
+def turns_of(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    return extrema.neighbourhood_extrema(bars_of(spark, sf_dir) if bars is None else bars)
+
+
+def plain_moves(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    bars = written_bars(spark, sf_dir) if bars is None else bars
+    return extrema.transitions(extrema.spaced(turns_of(spark, sf_dir, bars)), bars)
 
 
 def scored_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice")
     return src.table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("dataset"), (F.col("l_linenumber") % 3).alias("checkpoint"), F.col("l_orderkey").alias("group"),
-        (price / 1000 - 40).alias("actual"), (F.floor(price / 1500) - 20 + F.col("l_quantity") / 10).alias("prediction"),
+        (price / 1000 - 40).alias("actual"), (F.floor(price / 1500) - 20 + F.floor(F.col("l_quantity") / 10)).cast("double").alias("prediction"),
     )
 
 
@@ -142,7 +148,8 @@ def s5_partitioned_write(spark, sf_dir):
 
 @query(f"WITH {MOVES} SELECT (SELECT min(date) FROM bars) AS first_date, (SELECT max(date) FROM bars) AS last_date, (SELECT count(*) FROM bars) AS bar_rows, count(*) AS samples, count(DISTINCT ticker) AS tickers, round(min(target), 6) AS target_min, round(max(target), 6) AS target_max FROM moves")
 def s6_run_summary(spark, sf_dir):
-    out = src.run_summary(plain_moves(spark, sf_dir), bars_of(spark, sf_dir))
+    bars = written_bars(spark, sf_dir)
+    out = src.run_summary(plain_moves(spark, sf_dir, bars), bars)
     return out.withColumns({c: r(c) for c in ("target_min", "target_max")})
 
 
@@ -158,9 +165,9 @@ def c2_good_bars(spark, sf_dir):
     return clean.good_bars(b).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
-@query(f"WITH {BARS} SELECT ticker FROM bars GROUP BY ticker HAVING bool_and(price < 104000)")
+@query(f"WITH {BARS} SELECT ticker FROM bars GROUP BY ticker HAVING bool_and(price < 104900)")
 def c3_usable_tickers(spark, sf_dir):
-    b = bars_of(spark, sf_dir).withColumn("price", F.when(F.col("price") < 104000, F.col("price")).otherwise(float("nan")))
+    b = bars_of(spark, sf_dir).withColumn("price", F.when(F.col("price") < 104900, F.col("price")).otherwise(float("nan")))
     return clean.usable_tickers(b)
 
 
@@ -204,6 +211,19 @@ def c7_freshness_lenient(spark, sf_dir):
     return clean.freshness(bars_of(spark, sf_dir), benchmark_of(spark, sf_dir), most_lag=7)
 
 
+@query(
+    f"""WITH {BARS}, {BENCH}, {MONTHLY}, x AS (SELECT unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT i, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS std FROM x GROUP BY i)
+SELECT 'benchmark covers calendar' AS "check", count(DISTINCT date) AS violations FROM bars WHERE date NOT IN (SELECT date FROM bench WHERE day(date) > 9)
+UNION ALL SELECT 'mean and deviation are finite, deviation above 0', count(*) FROM m WHERE NOT isfinite(mean) OR NOT isfinite(std) OR std <= 0
+UNION ALL SELECT 'macro is finite', count(*) FROM monthly WHERE month(month) = 7 UNION ALL SELECT 'moments are complete', abs(count(*) - 191) FROM m"""
+)
+def c8_contract_violations(spark, sf_dir):
+    gaps = benchmark_of(spark, sf_dir).filter(F.dayofmonth("date") > 9)
+    monthly = src.monthly_series(spark, sf_dir).withColumn("value", F.when(F.month("month") != 7, F.col("value")).otherwise(float("nan")))
+    moments = stats.mean_std(stats.partial_moments(vectors_of(spark, sf_dir)))
+    return clean.contract_violations(bars_of(spark, sf_dir), gaps, moments, monthly, 191)
+
+
 # --- returns, smoothing ---
 
 
@@ -232,7 +252,7 @@ def _savgol_sql(window: int, order: int, col: str, source: str, key: str, by: st
 
 @query(f"WITH {BARS}, v AS ({_savgol_sql(21, 3, 'price', 'bars', 'ticker', 'pos')}) SELECT ticker, pos, round(v, 4) AS smooth FROM v")
 def r4_savgol(spark, sf_dir):
-    return bars_of(spark, sf_dir).select("ticker", "pos", r(series.savgol_column("price", 21, 3), 4).alias("smooth")).dropna()
+    return series.smoothed(bars_of(spark, sf_dir), ["price"], 21, 3).select("ticker", "pos", r("price", 4).alias("smooth")).dropna()
 
 
 @query(f"WITH {BARS} SELECT ticker, pos, round(avg(price) OVER w, 6) AS mean FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 10")
@@ -246,7 +266,7 @@ c AS (SELECT ticker, j, 100 * (price - lag(price) OVER w) / lag(price) OVER w AS
 SELECT ticker, j, round(sum(ret) OVER f, 5) AS sum_returns, round(sum(vr) OVER f, 5) AS sum_rates FROM c WINDOW f AS (PARTITION BY ticker ORDER BY j ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) QUALIFY count(ret) OVER f = 63"""
 )
 def r6_trailing_vectors(spark, sf_dir):
-    v = series.trailing_vectors(series.pair_series(bars_of(spark, sf_dir), smoothed=False))
+    v = series.trailing_vectors(series.pair_series(bars_of(spark, sf_dir), smooth=False))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return v.select("ticker", "j", r(total("returns"), 5).alias("sum_returns"), r(total("rates"), 5).alias("sum_rates"))
 
@@ -262,12 +282,27 @@ def e1_segments(spark, sf_dir):
     return extrema.segmented(bars_of(spark, sf_dir), 42).select("ticker", "pos", "part")
 
 
-@query()
+_SEGMENTS = f"""WITH {BARS}, n AS (SELECT ticker, pos, price, count(*) OVER (PARTITION BY ticker) AS n FROM bars),
+c AS (SELECT *, CASE WHEN pos < (n % split) * (n // split + 1) THEN pos // (n // split + 1) ELSE n % split + (pos - (n % split) * (n // split + 1)) // (n // split) END AS part
+ FROM n CROSS JOIN (SELECT unnest([42, 48]) AS split)),
+g AS (SELECT ticker, split, part, sign, list(pos ORDER BY pos) AS p, list(sign * price ORDER BY pos) AS x, 0.05 * avg(price) AS least, count(*) AS n FROM c CROSS JOIN (SELECT unnest([1, -1]) AS sign) GROUP BY ALL),
+rises AS (SELECT *, list_transform(list_filter(range(2, n), lambda i: x[i - 1] < x[i]), lambda i: {{'i': i, 'j': i + coalesce(list_position(list_transform(x[i + 1 :], lambda v: v <> x[i]), true), n - i + 1)}}) AS r FROM g),
+tops AS (SELECT *, list_transform(list_filter(r, lambda s: s.j <= n AND x[s.j] < x[s.i]), lambda s: (s.i + s.j - 1) // 2) AS t FROM rises),
+ranked AS (SELECT *, list_transform(list_sort(list_transform(t, lambda i: {{'h': -x[i], 'q': -i}})), lambda s: [-s.q]) AS o FROM tops WHERE len(t) > 0),
+apart AS (SELECT *, list_reduce(o, lambda a, b: CASE WHEN list_bool_or(list_transform(a, lambda y: abs(y - b[1]) < 5)) THEN a ELSE list_concat(a, b) END) AS k FROM ranked),
+sides AS (SELECT *, unnest(k) AS q FROM apart),
+ends AS (SELECT *, coalesce(list_max(list_filter(range(1, q), lambda i: x[i] > x[q])), 0) AS a, coalesce(list_min(list_filter(range(q + 1, n + 1), lambda i: x[i] > x[q])), n + 1) AS b FROM sides),
+segment_turns AS (SELECT ticker, split, part, CAST(p[q] AS INT) AS pos, CASE WHEN sign > 0 THEN 'peak' ELSE 'trough' END AS kind FROM ends WHERE x[q] - greatest(list_min(x[a + 1 : q]), list_min(x[q : b - 1])) >= least),
+raw AS (SELECT ticker, pos, CASE WHEN bool_or(kind = 'trough') THEN 'trough' ELSE 'peak' END AS kind FROM segment_turns GROUP BY ticker, pos),
+labelled AS (SELECT ticker, pos, kind FROM (SELECT *, lead(pos) OVER (PARTITION BY ticker ORDER BY pos) AS nx FROM raw WHERE pos > 126) WHERE nx IS NULL OR nx - pos >= 5)"""
+
+
+@query(f"{_SEGMENTS} SELECT * FROM segment_turns")
 def e2_segment_extrema(spark, sf_dir):
     return extrema.segment_extrema(bars_of(spark, sf_dir))
 
 
-@query()
+@query(f"{_SEGMENTS} SELECT * FROM raw")
 def e3_raw_extrema(spark, sf_dir):
     return extrema.raw_extrema(extrema.segment_extrema(bars_of(spark, sf_dir)))
 
@@ -277,7 +312,7 @@ def e4_spaced(spark, sf_dir):
     return extrema.spaced(turns_of(spark, sf_dir)).select("ticker", "pos", "kind")
 
 
-@query()
+@query(f"{_SEGMENTS} SELECT * FROM labelled")
 def e5_labelled(spark, sf_dir):
     return extrema.spaced(extrema.raw_extrema(extrema.segment_extrema(bars_of(spark, sf_dir))))
 
@@ -294,20 +329,34 @@ def e7_transitions(spark, sf_dir):
 
 @query(f"WITH {TURNS} SELECT b.ticker, round(b.n / greatest(coalesce(m, 0), 1), 6) AS spacing FROM (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) b LEFT JOIN (SELECT ticker, count(*) AS m FROM turns GROUP BY ticker) t USING (ticker)")
 def e8_spacing(spark, sf_dir):
-    return extrema.mean_spacing(bars_of(spark, sf_dir), turns_of(spark, sf_dir)).withColumn("spacing", r("spacing"))
+    bars = written_bars(spark, sf_dir)
+    return extrema.mean_spacing(bars, turns_of(spark, sf_dir, bars)).withColumn("spacing", r("spacing"))
 
 
 @query(
     f"""WITH {SPACED}, l AS (SELECT ticker, pos, kind, lag(pos) OVER (PARTITION BY ticker ORDER BY pos) AS before FROM spaced
  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) = 1),
 a AS (SELECT l.ticker, count(*) AS after, arg_min(b.pos, (b.price, b.pos)) AS low, max(b.pos) AS fin FROM l JOIN bars b ON b.ticker = l.ticker AND b.pos > l.pos GROUP BY l.ticker),
-s AS (SELECT l.*, a.low, CASE WHEN kind = 'trough' AND before IS NULL THEN 'fewer than two extrema' WHEN kind = 'trough' THEN 'confirmed_trough' WHEN coalesce(after, 0) < 5 THEN 'too few bars after the peak'
- WHEN fin - low < 4 THEN 'too few bars after the low' WHEN low - pos < 4 THEN 'fall too short' ELSE 'provisional_recent_low' END AS status FROM l LEFT JOIN a USING (ticker))
+s AS (SELECT l.*, a.low, CASE WHEN kind = 'trough' AND before IS NULL THEN 'fewer than two extrema' WHEN kind = 'trough' THEN 'confirmed_trough' WHEN coalesce(after, 0) < 5 THEN 'no_recent_low_after_latest_peak'
+ WHEN fin - low < 4 THEN 'provisional_trough_has_fewer_than_five_observations' WHEN low - pos < 4 THEN 'provisional_fall_too_short' ELSE 'provisional_recent_low' END AS status FROM l LEFT JOIN a USING (ticker))
 SELECT ticker, CASE status WHEN 'confirmed_trough' THEN pos WHEN 'provisional_recent_low' THEN low END AS trough,
  CASE status WHEN 'confirmed_trough' THEN before WHEN 'provisional_recent_low' THEN pos END AS before, status FROM s"""
 )
 def e9_active_trough(spark, sf_dir):
-    return extrema.active_trough(extrema.spaced(turns_of(spark, sf_dir)), bars_of(spark, sf_dir))
+    bars = written_bars(spark, sf_dir)
+    return extrema.active_trough(extrema.spaced(turns_of(spark, sf_dir, bars)), bars)
+
+
+@query(
+    f"""{_SEGMENTS}, m0 AS (SELECT ticker, kind, lag(pos) OVER w AS before, pos AS this, lead(pos) OVER w AS next, row_number() OVER w - 1 AS k FROM labelled WINDOW w AS (PARTITION BY ticker ORDER BY pos))
+SELECT m.ticker, k, kind, before, this, next, next - this AS gap, round(100 * (q.price - p.price) / p.price, 6) AS target FROM m0 m
+ JOIN bars p ON p.ticker = m.ticker AND p.pos = this JOIN bars q ON q.ticker = m.ticker AND q.pos = next WHERE before IS NOT NULL AND next IS NOT NULL"""
+)
+def e7_labelled_transitions(spark, sf_dir):
+    """Moves between the extrema that the jobs use: both segmentations, labelled and spaced."""
+    bars = written_bars(spark, sf_dir)
+    raw = extrema.raw_extrema(extrema.segment_extrema(bars))
+    return extrema.transitions(extrema.spaced(raw), bars).withColumn("target", r("target"))
 
 
 # --- features ---
@@ -349,13 +398,38 @@ def _quarters(start: str, steps: str) -> str:
 
 @query(f"WITH {MOVES}, x AS (SELECT ticker, this, before, this - before AS fall FROM moves) SELECT ticker, this, {_quarters('before', 'fall')} FROM x")
 def f4_fall_quarters(spark, sf_dir):
-    bars = bars_of(spark, sf_dir)
-    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir))).select("ticker", (F.col("leg") + 1).alias("k"), "prices")
-    rows = plain_moves(spark, sf_dir).join(leg, ["ticker", "k"])
+    bars = written_bars(spark, sf_dir)
+    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir, bars))).select("ticker", (F.col("leg") + 1).alias("k"), "prices")
+    rows = plain_moves(spark, sf_dir, bars).join(leg, ["ticker", "k"])
     slopes = features.quarter_slopes(F.col("prices"), F.col("this") - F.col("before"))
     return rows.select("ticker", "this", *(r(c, 8).alias(f"q{i}") for i, c in enumerate(slopes)))
 
 
+@query(f"WITH {MOVES}, x AS (SELECT ticker, this, unnest(range(4, gap)) AS duration FROM moves) SELECT ticker, this, duration, {_quarters('this', 'duration')} FROM x")
+def f4_rise_quarters(spark, sf_dir):
+    bars = written_bars(spark, sf_dir)
+    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir, bars))).select("ticker", F.col("leg").alias("k"), "prices")
+    rows = features.durations(plain_moves(spark, sf_dir, bars)).join(leg, ["ticker", "k"])
+    return rows.select("ticker", "this", "duration", *(r(c, 8).alias(f"q{i}") for i, c in enumerate(features.quarter_slopes(F.col("prices"), F.col("duration")))))
+
+
+@query(f"WITH {MOVES} SELECT m.ticker, this, max(volume) FILTER (pos <= this) AS fall_max, max(volume) FILTER (pos >= this) AS rise_max FROM moves m JOIN bars b ON b.ticker = m.ticker AND pos BETWEEN before AND next GROUP BY ALL")
+def f5_leg_maxima(spark, sf_dir):
+    bars = written_bars(spark, sf_dir)
+    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir, bars)))
+    side = lambda shift, name: leg.select("ticker", (F.col("leg") + shift).alias("k"), F.array_max("volumes").alias(name))
+    return plain_moves(spark, sf_dir, bars).join(side(1, "fall_max"), ["ticker", "k"]).join(side(0, "rise_max"), ["ticker", "k"]).select("ticker", "this", "fall_max", "rise_max")
+
+
+@query(
+    f"""WITH {MOVES}, x AS (SELECT *, unnest(range(4, gap)) AS duration FROM moves) SELECT x.ticker, a.date AS extremum_date, b.date AS end_date, c.date AS next_date, duration, this - before AS fall_duration, round(target, 6) AS target
+FROM x JOIN bars a ON a.ticker = x.ticker AND a.pos = this JOIN bars b ON b.ticker = x.ticker AND b.pos = this + duration JOIN bars c ON c.ticker = x.ticker AND c.pos = next"""
+)
+def f9_sample_meta(spark, sf_dir):
+    bars = written_bars(spark, sf_dir)
+    return features.sample_meta(plain_moves(spark, sf_dir, bars), bars).withColumn("target", r("target"))
+
+
 @query(f"WITH {BARS} SELECT ticker, pos, round(avg(volume) OVER f, 6) AS mean_volume FROM bars WINDOW f AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 125 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER f = 126")
 def f5_mean_volume(spark, sf_dir):
     return features.mean_volume(bars_of(spark, sf_dir)).select("ticker", "pos", r("mean_volume").alias("mean_volume")).dropna()
@@ -387,11 +461,26 @@ def sample_table(spark: SparkSession, sf_dir: str, inclusive: bool = False) -> D
     return features.samples(moves, bars, kept, extrema.mean_spacing(bars, raw), vectors, _macro_windows(spark, sf_dir), BASE_YEAR, inclusive)
 
 
-@query()
+def _bend_sql(of: str) -> str:
+    """The largest second difference of a leg v of n values, smoothed by a polynomial of window w and order o: sums of
+    orthogonal polynomials about each window's middle."""
+    fit = """list_transform(range(n), lambda i: list_avg(y[i + 1]) + CASE WHEN o > 0 THEN t[i + 1] * list_inner_product(y[i + 1], u) / list_inner_product(u, u) ELSE 0 END
+ + CASE WHEN o > 1 THEN (t[i + 1] * t[i + 1] - list_avg(uu)) * list_inner_product(y[i + 1], list_transform(uu, lambda z: z - list_avg(uu))) / list_sum(list_transform(uu, lambda z: (z - list_avg(uu)) ** 2)) ELSE 0 END)"""
+    return f"""(SELECT ticker, leg, CASE WHEN n < w OR o < 0 OR o >= w OR n < 3 THEN 'nan'::DOUBLE ELSE list_max(list_transform(range(2, n), lambda i: abs(s[i - 1] - 2 * s[i] + s[i + 1]))) END AS bend FROM
+ (SELECT *, CASE WHEN n >= w AND o >= 0 THEN {fit} END AS s FROM (SELECT *, list_transform(range(n), lambda i: v[least(greatest(i - h, 0), n - w) + 1 : least(greatest(i - h, 0), n - w) + w]) AS y,
+ list_transform(range(n), lambda i: CAST(i - least(greatest(i - h, 0), n - w) - h AS DOUBLE)) AS t, list_transform(range(w), lambda i: CAST(i - h AS DOUBLE)) AS u, list_transform(range(w), lambda i: CAST((i - h) ** 2 AS DOUBLE)) AS uu FROM
+ (SELECT *, CAST(2 * round_even(({of}) / 8, 0) + 3 AS BIGINT) AS w, CAST(round_even(({of}) / 8, 0) + 1 AS BIGINT) AS h, CAST(least(round_even(n / 3, 0) - 2, 2) AS BIGINT) AS o FROM leg))))"""
+
+
+@query(
+    f"""WITH {SPACED}, l0 AS (SELECT ticker, pos, row_number() OVER (PARTITION BY ticker ORDER BY pos) - 1 AS leg, coalesce(lead(pos) OVER (PARTITION BY ticker ORDER BY pos), 1000000) AS nx FROM spaced),
+leg AS (SELECT b.ticker, leg, list(CAST(volume AS DOUBLE) ORDER BY b.pos) AS v, count(*) AS n FROM l0 JOIN bars b ON b.ticker = l0.ticker AND b.pos BETWEEN l0.pos AND nx GROUP BY ALL)
+SELECT ticker, leg, round(r.bend, 4) AS rise, round(f.bend, 4) AS fall FROM {_bend_sql('n - 3')} r JOIN {_bend_sql('n')} f USING (ticker, leg)"""
+)
 def f6_peakiness(spark, sf_dir):
-    bars = bars_of(spark, sf_dir)
-    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir)))
-    return leg.select("ticker", "leg", r(features.rise_peakiness("volumes")).alias("rise"), r(features.fall_peakiness("volumes")).alias("fall"))
+    bars = written_bars(spark, sf_dir)
+    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir, bars)))
+    return leg.select("ticker", "leg", r(features.rise_peakiness("volumes"), 4).alias("rise"), r(features.fall_peakiness("volumes"), 4).alias("fall"))
 
 
 @query()
@@ -492,8 +581,9 @@ def m9_macro_windows(spark, sf_dir):
 
 @query(f"WITH {MOVES} SELECT m.ticker, this, (year(date) - 1995) * 12 + month(date) - 2 AS idx FROM moves m JOIN bars b ON b.ticker = m.ticker AND b.pos = this")
 def m10_month_key(spark, sf_dir):
-    dates = bars_of(spark, sf_dir).select("ticker", F.col("pos").alias("this"), "date")
-    return plain_moves(spark, sf_dir).join(dates, ["ticker", "this"]).select("ticker", "this", (macro.month_index(F.col("date"), BASE_YEAR) - 1).alias("idx"))
+    bars = written_bars(spark, sf_dir)
+    dates = bars.select("ticker", F.col("pos").alias("this"), "date")
+    return plain_moves(spark, sf_dir, bars).join(dates, ["ticker", "this"]).select("ticker", "this", (macro.month_index(F.col("date"), BASE_YEAR) - 1).alias("idx"))
 
 
 @query(
@@ -535,18 +625,26 @@ def n3_standardised(spark, sf_dir):
     return stats.restored(z, arrays).select("vec_id", "z", r(total("features"), 5).alias("back"))
 
 
-@query()
+def _drawn(below: str, *on: str) -> str:
+    return f"(('0x' || substr(md5({" || '|' || ".join(on)}), 1, 12))::BIGINT % ({below}))"
+
+
+@query(f"SELECT draw, vec_id FROM (SELECT range AS draw, {_drawn('(SELECT count(*) FROM embeddings)', 'range', '1')} AS row_id FROM range(1000)) JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings) USING (row_id)")
 def p1_uniform_sample(spark, sf_dir):
     panel = stats.ranked_rows(vectors_of(spark, sf_dir).select("vec_id"), "vec_id")
     return stats.uniform_sample(panel, 1000, 1).select("draw", "vec_id")
 
 
-@query()
+@query(
+    f"""WITH {MOVES}, g AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY this) - 1 AS m FROM moves WHERE gap >= 4), t AS (SELECT ticker, count(*) AS moves, row_number() OVER (ORDER BY ticker) - 1 AS t FROM g GROUP BY ticker),
+d AS (SELECT range AS draw, {_drawn('(SELECT count(*) FROM t)', 'range', '1')} AS t FROM range(1000)), p AS (SELECT draw, ticker, {_drawn('moves', 'draw', '2')} AS m FROM d JOIN t USING (t))
+SELECT draw, ticker, this, 4 + {_drawn('gap - 3', 'draw', '3')} AS duration FROM p JOIN g USING (ticker, m)"""
+)
 def p2_hierarchical_sample(spark, sf_dir):
     return stats.hierarchical_sample(plain_moves(spark, sf_dir), 1000, 1)
 
 
-@query()
+@query("SELECT vec_id, (row_number() OVER (ORDER BY ('0x' || substr(md5(vec_id || '|1'), 1, 12))::BIGINT, vec_id) - 1) // 100 AS batch FROM embeddings")
 def p3_shuffled_batches(spark, sf_dir):
     return stats.shuffled_batches(vectors_of(spark, sf_dir).select("vec_id"), 100, 1, "vec_id")
 
@@ -554,6 +652,7 @@ def p3_shuffled_batches(spark, sf_dir):
 # --- scoring, training ---
 
 _NET = (64, 8, 1)
+SEARCH_ROWS = 1000
 _W = "list_transform(range({n}), lambda j: sin(c * 0.37 + {layer} * 1.3 + o * 0.71 + j * 0.29) / sqrt({n}))"
 
 
@@ -584,18 +683,19 @@ def t3_gradient(spark, sf_dir):
 
 @query()
 def t4_training(spark, sf_dir):
-    rows = _trainable(spark, sf_dir)
-    batches = stats.shuffled_batches(rows, 200, 3, "vec_id").cache()
+    """An epoch over all rows in eight hashed batches; a hashed fifth is held out."""
+    rows = saved(_trainable(spark, sf_dir).withColumn("fold", stats.draw(F.lit(5), "vec_id", 3)), "training")
+    batches = rows.filter("fold > 0").withColumn("batch", stats.draw(F.lit(8), "vec_id", 4))
     net = model.collected(model.made_weights(spark, 1, _NET))[1]
-    _, log = model.train(batches, rows, net, steps=4, rate=0.01, every=2)
-    batches.unpersist()
+    _, log = model.train(batches, rows.filter("fold = 0"), net, steps=8, rate=0.01, every=2)
     return spark.createDataFrame([(s, round(e, 6)) for s, e in log], "step int, holdout_mse double")
 
 
 @query()
 def t5_rate_search(spark, sf_dir):
-    rows = stats.ranked_rows(_trainable(spark, sf_dir), "vec_id").filter("row_id < 1000")  # the bounded sample of a search
-    sample = rows.select("features", "target", F.when(F.col("row_id") % 4 == 0, "holdout").otherwise("train").alias("part"))
+    """The search runs on a bounded sample: the SEARCH_ROWS rows of smallest hash, a quarter of them held out."""
+    rows = _trainable(spark, sf_dir).orderBy(stats.hashed("vec_id", 5), "vec_id").limit(SEARCH_ROWS)
+    sample = rows.select("features", "target", F.when(stats.draw(F.lit(4), "vec_id", 6) == 0, "holdout").otherwise("train").alias("part"))
     net = model.collected(model.made_weights(spark, 1, _NET))[1]
     return model.rate_search(sample, net, [1e-4, 1e-3, 1e-2]).select("rate", r("score", 4).alias("score"))
 
@@ -603,12 +703,12 @@ def t5_rate_search(spark, sf_dir):
 # --- evaluation ---
 
 _SAME = "CASE WHEN sign(actual) = sign(prediction) THEN 1.0 ELSE 0.0 END"
+_UP, _DOWN = "avg(CAST(prediction > 0 AS INT)) FILTER (actual > 0)", "avg(CAST(prediction <= 0 AS INT)) FILTER (actual <= 0)"
 _RANKED = f"""{SCORED}, ranked AS (SELECT *, rank() OVER (PARTITION BY dataset, checkpoint ORDER BY actual) + (count(*) OVER (PARTITION BY dataset, checkpoint, actual) - 1) / 2.0 AS ra,
  rank() OVER (PARTITION BY dataset, checkpoint ORDER BY prediction) + (count(*) OVER (PARTITION BY dataset, checkpoint, prediction) - 1) / 2.0 AS rb FROM scored)"""
 _METRICS = f"""SELECT dataset, checkpoint, count(*) AS samples, count(DISTINCT "group") AS transitions, round(avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_target_rate,
  round(avg(CASE WHEN prediction > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_prediction_rate, round(corr(actual, prediction), 6) AS pearson, round(avg({_SAME}), 6) AS direction,
- round(avg({_SAME}) FILTER (actual > 0), 6) AS positive_recall, round(avg({_SAME}) FILTER (actual <= 0), 6) AS negative_recall,
- round((avg({_SAME}) FILTER (actual > 0) + avg({_SAME}) FILTER (actual <= 0)) / 2, 6) AS balanced_direction, round(avg((prediction - actual) ** 2), 5) AS mse, round(sqrt(avg((prediction - actual) ** 2)), 5) AS rmse,
+ round({_UP}, 6) AS positive_recall, round({_DOWN}, 6) AS negative_recall, round(({_UP} + {_DOWN}) / 2, 6) AS balanced_direction, round(avg((prediction - actual) ** 2), 5) AS mse, round(sqrt(avg((prediction - actual) ** 2)), 5) AS rmse,
  round(avg(abs(prediction - actual)), 5) AS mae, round(stddev_pop(actual), 5) AS baseline_rmse, round(1 - sum((prediction - actual) ** 2) / (var_pop(actual) * count(*)), 5) AS r_squared,
  round(avg(actual), 5) AS actual_mean, round(avg(prediction), 5) AS prediction_mean, round(corr(ra, rb), 6) AS spearman FROM ranked GROUP BY dataset, checkpoint"""
 _SIX = ("positive_target_rate", "positive_prediction_rate", "pearson", "direction", "positive_recall", "negative_recall", "balanced_direction", "spearman")
@@ -653,7 +753,7 @@ def v6_best_checkpoints(spark, sf_dir):
 
 
 @query(
-    "SELECT CASE WHEN l_quantity <= 7 THEN 'very short' WHEN l_quantity <= 14 THEN 'short' WHEN l_quantity <= 28 THEN 'medium' ELSE 'long' END AS duration_class, CASE WHEN l_quantity / 25 < 0.75 THEN 'low' WHEN l_quantity / 25 <= 1.25 THEN 'market' ELSE 'high' END AS beta_class,"
+    "SELECT CASE WHEN l_quantity <= 7 THEN 'very_short_4_7' WHEN l_quantity <= 14 THEN 'short_8_14' WHEN l_quantity <= 28 THEN 'medium_15_28' ELSE 'long_29_plus' END AS duration_class, CASE WHEN l_quantity / 25 < 0.75 THEN 'low_beta' WHEN l_quantity / 25 <= 1.25 THEN 'market_beta' ELSE 'high_beta' END AS beta_class,"
     " CASE WHEN l_quantity * 2 < 30 THEN 'oversold' WHEN l_quantity * 2 <= 70 THEN 'neutral' ELSE 'overbought' END AS rsi_class, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"
 )
 def k4_classes(spark, sf_dir):
@@ -662,6 +762,47 @@ def k4_classes(spark, sf_dir):
     return src.table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors laid out as samples (twice, by 30) with a point and a result."""
+    f = F.transform(F.concat("features", "features"), lambda x: x * 30)
+    v = vectors_of(spark, sf_dir).select("vec_id", "label", f.alias("features"))
+    return v.withColumns({"point": F.get("features", F.lit(1)) / 3, "actual": F.get("features", F.lit(2)) / 3})
+
+
+_F = "f AS (SELECT vec_id, label, list_transform(list_concat(embedding, embedding)::DOUBLE[], lambda x: x * 30) AS f FROM embeddings)"
+_SLOG = "sign({0}) * ln(1 + abs({0}))"
+_D12 = [
+    "ln(1 + greatest(f[15], 0))", "f[1]", "f[10] / 100", "ln(1 + greatest(f[16], 0))", "ln(1 + greatest(f[17], 0))", "list_stddev_pop(f[18:80])", "list_avg(f[18:80])",
+    *(f"ln(1 + abs(f[{i}]))" for i in (11, 12, 13, 14)), _SLOG.format("(f[2] / 3)"),
+]
+
+
+@query(f"WITH {_F} SELECT vec_id, {', '.join(f'round({d}, 5) AS d{i}' for i, d in enumerate(_D12))} FROM f")
+def k1_descriptors(spark, sf_dir):
+    d = _described(spark, sf_dir).withColumn("d", calibrate.descriptors())
+    return d.select("vec_id", *(r(F.get("d", F.lit(i)), 5).alias(f"d{i}") for i in range(calibrate.DESCRIPTORS)))
+
+
+@query(
+    f"""WITH {_F}, b AS (SELECT CASE WHEN label < 3 THEN 1.0 ELSE 2.0 END AS weight, f[3] / 3 AS actual, f[2] / 3 AS point, f[15] AS d FROM f WHERE label IS NOT NULL)
+SELECT CASE WHEN d <= 7 THEN 'very_short_4_7' WHEN d <= 14 THEN 'short_8_14' WHEN d <= 28 THEN 'medium_15_28' ELSE 'long_29_plus' END AS "group", count(*) AS cases, sum(weight) AS weight, round(avg(actual - point), 5) AS residual FROM b WHERE actual > 0 GROUP BY 1"""
+)
+def k2_calibration_set(spark, sf_dir):
+    both = _described(spark, sf_dir)
+    cases = calibrate.calibration_set(both.filter("label < 3"), both.filter("label >= 3"))
+    return cases.groupBy("group").agg(F.count("*").alias("cases"), F.sum("weight").alias("weight"), r(F.avg("residual"), 5).alias("residual"))
+
+
+@query(
+    f"""WITH {_F}, d AS (SELECT vec_id, unnest(range(12)) AS i, unnest([{', '.join(_D12)}]) AS x FROM f), q AS (SELECT i, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) AS b FROM d GROUP BY i)
+SELECT vec_id, round(sum(i * least(greatest((x - m) / CASE WHEN b > a THEN b - a ELSE 1 END, -8), 8)), 4) AS z FROM d JOIN q USING (i) GROUP BY vec_id"""
+)
+def k3_scaled(spark, sf_dir):
+    d = _described(spark, sf_dir).select("vec_id", calibrate.descriptors().alias("descriptor"))
+    z = calibrate.scaled(d, calibrate.robust_scales(d))
+    return z.select("vec_id", r(F.aggregate(F.transform("descriptor", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x), 4).alias("z"))
+
+
 def _cases_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors_of(spark, sf_dir).filter("label is not null")
     residual = F.get("features", F.lit(0)) * 10

@@ -51,9 +51,9 @@ def bars(spark, prices, ticker="A", volume=None):
 
 def test_smoothing_is_the_kernel(spark):
     p = walk(60)
-    got = [r["v"] for r in bars(spark, p).select("pos", series.savgol_column("price", 21, 3).alias("v")).orderBy("pos").collect()]
+    got = [r["v"] for r in series.smoothed(bars(spark, p), ["price"], 21, 3).select("pos", F.col("price").alias("v")).orderBy("pos").collect()]
     assert np.allclose(got, kernels.savgol(np.array(p), 21, 3))
-    short = bars(spark, p[:20]).select(series.savgol_column("price", 21, 3).alias("v")).collect()
+    short = series.smoothed(bars(spark, p[:20]), ["price"], 21, 3).select(F.col("price").alias("v")).collect()
     assert all(r["v"] is None for r in short)
 
 
