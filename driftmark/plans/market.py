@@ -466,7 +466,7 @@ def _bend_sql(of: str) -> str:
     orthogonal polynomials about each window's middle."""
     fit = """list_transform(range(n), lambda i: list_avg(y[i + 1]) + CASE WHEN o > 0 THEN t[i + 1] * list_inner_product(y[i + 1], u) / list_inner_product(u, u) ELSE 0 END
  + CASE WHEN o > 1 THEN (t[i + 1] * t[i + 1] - list_avg(uu)) * list_inner_product(y[i + 1], list_transform(uu, lambda z: z - list_avg(uu))) / list_sum(list_transform(uu, lambda z: (z - list_avg(uu)) ** 2)) ELSE 0 END)"""
-    return f"""(SELECT ticker, leg, CASE WHEN n < w OR o < 0 OR o >= w OR n < 3 THEN 'nan'::DOUBLE ELSE list_max(list_transform(range(2, n), lambda i: abs(s[i - 1] - 2 * s[i] + s[i + 1]))) END AS bend FROM
+    return f"""(SELECT ticker, leg, CASE WHEN n < w OR o < 0 OR o >= w OR n < 3 THEN NULL ELSE list_max(list_transform(range(2, n), lambda i: abs(s[i - 1] - 2 * s[i] + s[i + 1]))) END AS bend FROM
  (SELECT *, CASE WHEN n >= w AND o >= 0 THEN {fit} END AS s FROM (SELECT *, list_transform(range(n), lambda i: v[least(greatest(i - h, 0), n - w) + 1 : least(greatest(i - h, 0), n - w) + w]) AS y,
  list_transform(range(n), lambda i: CAST(i - least(greatest(i - h, 0), n - w) - h AS DOUBLE)) AS t, list_transform(range(w), lambda i: CAST(i - h AS DOUBLE)) AS u, list_transform(range(w), lambda i: CAST((i - h) ** 2 AS DOUBLE)) AS uu FROM
  (SELECT *, CAST(2 * round_even(({of}) / 8, 0) + 3 AS BIGINT) AS w, CAST(round_even(({of}) / 8, 0) + 1 AS BIGINT) AS h, CAST(least(round_even(n / 3, 0) - 2, 2) AS BIGINT) AS o FROM leg))))"""
@@ -785,7 +785,7 @@ def k1_descriptors(spark, sf_dir):
 
 @query(
     f"""WITH {_F}, b AS (SELECT CASE WHEN label < 3 THEN 1.0 ELSE 2.0 END AS weight, f[3] / 3 AS actual, f[2] / 3 AS point, f[15] AS d FROM f WHERE label IS NOT NULL)
-SELECT CASE WHEN d <= 7 THEN 'very_short_4_7' WHEN d <= 14 THEN 'short_8_14' WHEN d <= 28 THEN 'medium_15_28' ELSE 'long_29_plus' END AS "group", count(*) AS cases, sum(weight) AS weight, round(avg(actual - point), 5) AS residual FROM b WHERE actual > 0 GROUP BY 1"""
+SELECT CASE WHEN d <= 7 THEN 'very_short_4_7' WHEN d <= 14 THEN 'short_8_14' WHEN d <= 28 THEN 'medium_15_28' ELSE 'long_29_plus' END AS "group", count(*) AS cases, CAST(sum(weight) AS DOUBLE) AS weight, round(avg(actual - point), 5) AS residual FROM b WHERE actual > 0 GROUP BY 1"""
 )
 def k2_calibration_set(spark, sf_dir):
     both = _described(spark, sf_dir)

@@ -93,3 +93,18 @@ def test_gradients_by_differences():
             down = ((k.forward(x, layers) - y) ** 2).sum()
             w[at] = old
             assert np.isclose(got[i][0][at], (up - down) / (2 * e), rtol=1e-4, atol=1e-5)
+
+
+def test_bends_by_length_are_those_of_each_leg():
+    rng = np.random.default_rng(3)
+    legs = [rng.standard_normal(n).cumsum() for n in (0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 11, 15, 23, 40, 41, 90, 700)] + [None]
+    for longer in (False, True):
+        got = k.peakiness_all(legs, longer)
+        want = [np.nan if x is None else k.peakiness(x, longer) for x in legs]
+        assert np.allclose(got, want, equal_nan=True)
+
+
+def test_negative_weights_count_as_none():
+    v, w = np.array([3.0, 1.0, 2.0]), np.array([1.0, -5.0, 1.0])
+    assert np.allclose(k.weighted_quantile(v, w, [0.1, 0.5, 0.9]), k.weighted_quantile(v, np.maximum(w, 0), [0.1, 0.5, 0.9]))
+    assert np.allclose(k.weighted_quantile(v, -np.abs(w), [0.5]), [2.0])

@@ -137,6 +137,22 @@ def test_metrics_with_ties_and_constants(spark):
     assert got["b"]["pearson"] is None and got["b"]["r_squared"] is None and got["b"]["spearman"] is None
 
 
+def test_recalls_tell_above_zero_from_not_above_zero(spark):
+    """A prediction of 0 for a fall, or of a fall for 0, is no rise and so a hit."""
+    pairs = [(-1.0, 0.0), (0.0, -1.0), (0.0, 0.0), (-2.0, 3.0), (1.0, 0.0), (2.0, 4.0)]
+    df = spark.createDataFrame([("a", "g", a, p) for a, p in pairs], "dataset string, group string, actual double, prediction double")
+    got = stats.metrics(df, "dataset").first()
+    assert got["negative_recall"] == 0.75 and got["positive_recall"] == 0.5 and got["balanced_direction"] == 0.625
+    assert np.isclose(got["direction"], 2 / 6)
+
+
+def test_last_extremum_must_be_a_trough_in_the_older_version(spark):
+    b = bars(spark, walk(60))
+    turns = spark.createDataFrame([("A", 20, "trough"), ("A", 40, "peak")], "ticker string, pos int, kind string")
+    assert extrema.active_trough(turns, b, provisional=False).first()["status"] == extrema.LAST_IS_PEAK
+    assert extrema.active_trough(turns.limit(1).union(turns.filter("false")), b, provisional=False).first()["status"] == "fewer than two extrema"
+
+
 def test_samples_are_draws_of_the_panel(spark):
     moves = spark.createDataFrame([("A", 10, 9), ("A", 30, 4), ("B", 5, 20), ("B", 40, 3)], "ticker string, this int, gap int")
     got = stats.hierarchical_sample(moves, 500, 1).collect()
