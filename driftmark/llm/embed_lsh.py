@@ -175,7 +175,8 @@ def lattice_duplicates(
     )
     out = picked.select("id").join(found, "id", "left")
     part = F.coalesce("component_id", "id")
-    return out.select(
+    out = out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"),
         F.coalesce(F.col("id") == part, F.lit(True)).alias("kept"),
     )
+    return scratch.last(out)

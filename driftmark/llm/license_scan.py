@@ -134,7 +134,13 @@ class Scanner:
             k: zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(v + b" " * max(0, 8 - len(v)), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for k, v in raw.items()
         }
-        self.find = lru_cache(maxsize=50_000)(self._find)
+        self._short = lru_cache(maxsize=50_000)(self._find)
+        #: Around a cue, more than any template is long.
+        self.reach = max(400, max(map(len, templates.values()), default=0) + 100)
+
+    def find(self, block: str, least: float, share: float) -> tuple[tuple[str, float, int, int, bool], ...]:
+        """_find, remembered for short blocks."""
+        return self._short(block, least, share) if len(block) <= 2000 else self._find(block, least, share)
 
     def _matches(self, name: str, block: str, spans: list[tuple[int, int]], mine: list[str], low: int, high: int, least: float, share: float) -> tuple | None:
         """(bytes saved, license, first word, end word, size reduction, missing, added) of a template in the words low to high of a block."""
@@ -200,7 +206,7 @@ def license_scan(
             out = []
             for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text and CUES.search(text):
-                    for start, block in blocks(text):
+                    for start, block in blocks(text, scanner.reach):
                         out += [(i, start, *x, block) for x in scanner.find(block, least, share)]
             names = ["doc_id", "start", "license", "reduction", "n_missing", "n_added", "exact", "block"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import Scratch, connected_components
+from driftmark.llm.common import Scratch, connected_components, hot_join
 from driftmark.llm.hashing import U, mix, shingles
 
 #: Darts in a cell of area 1, by the upper 16 bits of its hash: Poisson numbers of mean 1.
@@ -240,7 +240,7 @@ def near_duplicates(
     classes = classes.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     out = signed.select("id").join(classes, "id", "left")
     class_id = F.coalesce("class_id", "id")
-    return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
+    return scratch.last(out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept")))
 
 
 def _linked(scratch: Scratch, picked: DataFrame, pairs: DataFrame, width: int, threshold: float, name: str) -> DataFrame:
@@ -249,7 +249,9 @@ def _linked(scratch: Scratch, picked: DataFrame, pairs: DataFrame, width: int, t
     texts = picked.join(scratch.save(wanted, f"{name}-ids"), "id", "left_semi").dropDuplicates(["id"])
     sets = scratch.save(texts.mapInArrow(_multisets(width), "id long, elements binary, counts binary"), f"{name}-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}"), F.col("counts").alias(f"c{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ea", "ca", "eb", "cb")
+    # A star's pairs share their centre: it is copied, so that they are not joined in one task.
+    n = pairs.count()
+    both = hot_join(hot_join(pairs, side("b"), "b", "a", pairs, n), side("a"), "a", "b", pairs, n).select("a", "b", "ea", "ca", "eb", "cb")
     out = scratch.save(both.mapInArrow(_verify(threshold), "a long, b long"), name)
     scratch.drop(f"{name}-sets", f"{name}-ids")
     return out

@@ -165,7 +165,7 @@ def packed_sequences(
         lists = (pa.ListArray.from_arrays(pa.array(count), c) for c in (found["doc_id"].combine_chunks(), found["start"].combine_chunks(), pa.array(sizes)))
         return pa.table([pa.array(part + np.arange(len(final))), pa.array(final, pa.int64()), *lists, pc.binary_join(ids, b"")], names=[x.split()[0] for x in _BINS.split(", ")])
 
-    return scratch.save(pieces.groupBy("part").applyInArrow(run, _BINS), "bins")
+    return scratch.last(pieces.groupBy("part").applyInArrow(run, _BINS), "bins")
 
 
 def packed_pieces(bins: DataFrame, width: int = 2) -> DataFrame:

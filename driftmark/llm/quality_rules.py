@@ -165,18 +165,19 @@ def quality_rules(
     cutoff: float = 10.0,
     floor: float = 4e-4,
     min_group: int = 50,
-    max_steps: int = 8,
+    max_steps: int = 40,
     tolerance: float = 0.01,
     broadcast_groups: int = 50_000,
     min_words: int = 20,
     repeat_percent: int = 30,
 ) -> DataFrame:
-    """One row per document: base counts, base_failed, robust distance, kept.
+    """One row per document: base counts, base_failed, robust distance, kept, settled.
 
     h: share of a group's different vectors that the estimate rests on. cutoff: largest distance kept, in robust
     standard deviations; at 10 only gross outliers go. floor: variance added on every axis. min_group: a language
     and source with fewer different vectors is estimated with the language's other small groups, and if those are
-    too few with all such rows; below that no distance is known and the base rules decide alone.
+    too few with all such rows; below that no distance is known and the base rules decide alone. settled: did the
+    estimate of the document's group stop moving within max_steps (null without an estimate)?
 
     Null language or source is a group of its own; null or wordless text counts 0 words and fails; repeated
     rows and repeated ids each give their row; an empty table gives no rows; other columns are not read.
@@ -219,20 +220,23 @@ def quality_rules(
         was = params.select("g1", "g2", F.col("logdet").alias("old"))
         moved = now.join(was, ["g1", "g2"]).filter(F.coalesce(F.abs(F.col("logdet") - F.col("old")) > tolerance, F.lit(True)))
         params = now
-        if moved.isEmpty():
+        moving = scratch.save(moved.select("g1", "g2", F.lit(False).alias("settled")), f"moving{step}")
+        if moving.isEmpty():
             break
 
     # Scale so that the median squared distance is that of a normal sample.
     scale = stats.join(small(params), ["g1", "g2"]).withColumn("d2", _distance())
     scale = scale.groupBy("g1", "g2").agg(F.percentile_approx("d2", 0.5, 2000).alias("median"), F.count("*").alias("members"))
-    final = scratch.save(params.join(scale, ["g1", "g2"]), "final")
+    final = params.join(scale, ["g1", "g2"]).join(moving, ["g1", "g2"], "left").withColumn("settled", F.coalesce("settled", F.lit(True)))
+    final = scratch.save(final, "final")
     judged = rows.join(small(final), ["g1", "g2"], "left")
     known = F.col("members") >= min_group
     distance = F.when(known, F.sqrt(F.greatest(_distance(), F.lit(0.0)) * CHI2_MEDIAN / F.greatest("median", F.lit(1e-12))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return judged.select(
+    out = judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & F.coalesce(distance <= cutoff, F.lit(True))).alias("kept"),
-        distance.alias("robust_distance"),
+        distance.alias("robust_distance"), "settled",
     )
+    return scratch.last(out)

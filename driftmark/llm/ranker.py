@@ -98,12 +98,14 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 12_000, folds: int = 5) -> Ranker:
     """Fit on at most `max_labelled` labelled rows, those whose hashed id is smallest; rows whose crc32(id as
     text) is divisible by `folds` are never used. The bound makes the id list safe to broadcast and the sample
-    safe on the driver. Null labels and ids are skipped; an id labelled twice counts once, by its larger label."""
+    safe on the driver. Null labels and ids are skipped; an id labelled twice counts once, by its larger label, and
+    rows that repeat an id count once, by their smallest text."""
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     ids = ids.filter("y in (0, 1) and id is not null").filter(F.crc32(F.col("id").cast("string")) % folds != 0)
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(ids), "id").select("y", "text").mapInArrow(_featured, "y int, x array<double>").toPandas()
+    rows = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    rows = rows.select("y", "text").mapInArrow(_featured, "y int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     order = np.lexsort((*x.T, rows["y"].to_numpy())) if len(rows) else []
     return fit_pairs(x[order], rows["y"].to_numpy()[order])

@@ -97,8 +97,11 @@ def _gathered(parts: Iterator[dict[str, np.ndarray]], rows: int = 200_000) -> It
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one, lists of numbers as arrays (null: empty), so that a batch is never held as Python objects."""
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for i in range(batch.num_rows):
+            values = (c[i] for c in batch.columns)
+            yield tuple((v.values.to_numpy() if v.is_valid else np.zeros(0, np.int64)) if isinstance(v, pa.ListScalar) else v.as_py() for v in values)
 
 
 def _keyed(k1: int, k2: int, n: int) -> dict[str, np.ndarray]:
@@ -147,15 +150,15 @@ def long_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, number: int)
 
 def _block_rows(length: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for k1, k2, text, found in _documents(batches):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            three = np.array([(x["first"], x["n"], x["place"]) for x in found], np.int64).reshape(-1, 3)
-            rows = block_rows(raw, *three.T, length)
+        for k1, k2, text, first, n, place in _documents(batches):
+            rows = block_rows(np.frombuffer(text.encode(), np.uint8), first, n, place, length)
             yield _keyed(k1, k2, len(rows["n"])) | rows
 
     return lambda batches: _gathered(each(batches))
 
 
+#: Suffixes in one batch.
+SUFFIXES = 5000
 _UNIT = ["k1", "k2", "first", "n", "t0", "t1", "suffix"]
 _UNITS = "k1 long, k2 long, first long, n long, t0 long, t1 long, suffix binary"
 
@@ -170,15 +173,16 @@ def leading_tokens(suffixes: np.ndarray, at: np.ndarray, size: np.ndarray, depth
 
 
 def _suffix_rows(length: int):
-    """(k1, k2, text, times, lists of (first, n)) to the suffixes of those runs of windows, with their two leading tokens."""
+    """(k1, k2, text, times, lists of first windows, lists of window counts) to the suffixes of those runs of windows, with their two leading tokens."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k1, k2, text, times, *lists in _documents(batches):
             raw = text.encode()
             codes = np.frombuffer(raw, np.uint8)
-            rows = sorted({(x["first"], x["n"]) for found in lists for x in found or []})
-            for low in range(0, len(rows), 20_000):
-                part = np.array(rows[low : low + 20_000], np.int64)
+            half = len(lists) // 2
+            rows = np.unique(np.stack([np.concatenate(lists[:half]), np.concatenate(lists[half:])], 1), axis=0)
+            for low in range(0, len(rows), SUFFIXES):
+                part = rows[low : low + SUFFIXES]
                 first, n = part.T
                 size = n + length - 1
                 tokens = [leading_tokens(codes, first, size, d) ^ U(1 << 63) for d in (0, 1)]
@@ -192,7 +196,7 @@ def _suffix_rows(length: int):
         for batch in each(batches):
             held.append(batch)
             n += batch.num_rows
-            if n >= 20_000:
+            if n >= SUFFIXES:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, n = [], 0
         if held:
@@ -242,7 +246,9 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not found:
         return
     rows = pa.Table.from_batches(found)
-    suffixes = rows.column("suffix").to_pylist()
+    suffixes = [x for b in found for x in b.column(b.schema.get_field_index("suffix")).to_pylist()]
+    rows = rows.drop_columns(["suffix"])
+    found.clear()
     order = multikey_quicksort(suffixes)
     line = [suffixes[i] for i in order.tolist()]
     same = np.fromiter(map(operator.eq, line, line[1:]), bool, len(line) - 1)
@@ -278,18 +284,16 @@ def _narrow(scratch: Scratch, units: DataFrame, name: str) -> DataFrame:
 
 
 def _cut(length: int):
-    """(k1, k2, text, ranges [start, end)) to what is removed and what stays."""
+    """(k1, k2, text, first windows, window counts) to what is removed and what stays."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k1, k2, text, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k1, k2, text, first, n in _documents([batch]):
                 raw = text.encode()
                 edge = np.zeros(len(raw) + 1, np.int64)
-                for found in lists:
-                    for x in found or []:
-                        edge[x["first"]] += 1
-                        edge[x["first"] + x["n"] + length - 1] -= 1
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + n + length - 1, -1)
                 gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
                 turns = np.flatnonzero(gone[1:] != gone[:-1])
                 starts, ends = turns[::2].tolist(), turns[1::2].tolist()
@@ -306,7 +310,7 @@ def _cut(length: int):
     return go
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, per_bucket: int = 100_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, per_bucket: int = 50_000) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends, text_hash.
 
     starts and ends: the maximal removed byte ranges [start, end), empty where nothing goes. Texts count as UTF-8
@@ -332,7 +336,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     touched = scratch.save(touched, "touched")
 
-    level2 = touched.filter(F.size("open") > 0).select("k1", "k2", "text", "open")
+    level2 = touched.filter(F.size("open") > 0).select("k1", "k2", "text", "open.first", "open.n", "open.place")
     level2 = scratch.save(level2.mapInArrow(_block_rows(length), unit), "blocks")
     found2 = scratch.save(_narrow(scratch, level2, "blocks"), "blocks-found")
     scratch.drop("blocks", "blocks-near", "blocks-groups")
@@ -344,6 +348,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.collect_list(F.when(F.col("full"), here)).alias("blocks"), F.flatten(F.collect_list(F.when(F.col("open"), windows))).alias("windows")
     )
     level3 = touched.select("k1", "k2", "text", "times", "full").join(left, ["k1", "k2"], "left")
+    lists = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for c in ("first", "n") for x in ("full", "blocks", "windows")]
+    level3 = level3.select("k1", "k2", "text", "times", *lists)
     level3 = scratch.save(level3.mapInArrow(_suffix_rows(length), _UNITS), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), level3.count() // per_bucket + 1)
     ranged = level3.repartitionByRange(buckets, "t0", "t1", "k1", "k2", "first")
@@ -356,18 +362,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = ordered.filter("hit").select("k1", "k2", "first", "n").union(joined.filter("hit").select("k1", "k2", "first", "n"))
 
     more = hits.groupBy("k1", "k2").agg(F.collect_list(here).alias("more"))
-    cut = touched.select("k1", "k2", "text").join(more, ["k1", "k2"], "left").select("k1", "k2", "text", "more")
+    cut = touched.select("k1", "k2", "text").join(more, ["k1", "k2"], "left").select("k1", "k2", "text", "more.first", "more.n")
     cut = scratch.save(cut.mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"), "cut")
-    scratch.drop("suffixes", "sorted", "touched")
+    scratch.drop("suffixes", "sorted", "touched", "runs-found", "blocks-found")
     whole = picked.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.array().cast("array<long>")
-    return whole.join(cut, ["k1", "k2"], "left").select(
+    out = whole.join(cut, ["k1", "k2"], "left").select(
         F.col("id").alias("doc_id"), "n_bytes",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.col("k2").alias("text_hash"),
     )
+    return scratch.last(out)
 
 
 def cut_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

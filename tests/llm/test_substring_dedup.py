@@ -82,7 +82,7 @@ def test_equal_hashes_alone_remove_nothing(spark, monkeypatch):
     docs = [(i, "".join(rng.choices("abcdefgh ", k=400))) for i in range(6)]
     rows = [(0, i, 0, 321, t) for i, t in docs]
     units = spark.createDataFrame(rows, "k1 long, k2 long, first long, n long, text string")
-    lists = units.selectExpr("k1", "k2", "text", "1 as times", "array(named_struct('first', first, 'n', n)) as a")
+    lists = units.selectExpr("k1", "k2", "text", "1 as times", "array(first)", "array(n)")
     found = lists.mapInArrow(S._suffix_rows(80), S._UNITS).repartition(1).mapInArrow(S._sort_bucket, S._SORTED).collect()
     assert not any(r["hit"] for r in found) and sum(r["edge"] for r in found) == 3
 
