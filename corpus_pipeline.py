@@ -24,9 +24,21 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PASSAGE = 250
 
 
+_NUMBERED: list[Scratch] = []
+
+
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a key of each row's own in _row, written: doc_id may be null or repeated, so it tells no rows apart."""
-    return Scratch(spark, "pipeline-rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    """docs with a key of each row's own in _row, written: doc_id may be null or repeated, so it tells no rows apart.
+
+    Rows that an earlier stage numbered go, once its result is written and docs no longer reads them.
+    """
+    read = docs.inputFiles() if _NUMBERED else []
+    for scratch in [s for s in _NUMBERED if s.spark is spark and not any(s.root.split("/")[-1] in f for f in read)]:
+        scratch.drop_all()
+        _NUMBERED.remove(scratch)
+    scratch = Scratch(spark, "pipeline-rows")
+    _NUMBERED.append(scratch)
+    return scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -85,4 +97,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{number}")
+        scratch.drop(f"stage{number - 1}")
     return docs
