@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.kernels import weighted_quantile
 from driftmark.operators.clean import finite
+from driftmark.operators.stats import value_ranks
 
 DESCRIPTORS = 12
 QUANTILES = (0.1, 0.5, 0.9)
@@ -68,14 +70,23 @@ def calibration_set(old: DataFrame, new: DataFrame, new_weight: float = 2.0) ->
 
 
 def robust_scales(cases: DataFrame) -> DataFrame:
-    """One row: medians and interquartile ranges (1 where 0) of every descriptor, exact."""
-    q = [F.percentile(F.get("descriptor", F.lit(i)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(DESCRIPTORS)]
-    row = cases.agg(*q)
-    spread = lambda i: F.col(f"q{i}")[2] - F.col(f"q{i}")[0]
-    return row.select(
-        F.array(*(F.col(f"q{i}")[1] for i in range(DESCRIPTORS))).alias("medians"),
-        F.array(*(F.when(spread(i) == 0, 1.0).otherwise(spread(i)) for i in range(DESCRIPTORS))).alias("spreads"),
-    )
+    """One row: medians and interquartile ranges (1 where 0) of every descriptor, exact.
+
+    Values are ranked per descriptor by range partitions (stats.value_ranks), since an exact percentile without a key
+    would hold all values in one task; a quantile lies between the two values about its rank.
+    """
+    long = cases.select(F.posexplode("descriptor").alias("i", "x"))
+    n = long.groupBy("i").agg(F.count("*").alias("n"))
+    upto = value_ranks(long, "x", "i").join(F.broadcast(n), "i")  # a row per descriptor
+    at = {q: q * (F.col("n") - 1) for q in (0.25, 0.5, 0.75)}
+    # A value stands at the ranks from `before` to `upto` - 1.
+    on = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col("x")))
+    low, high = ({q: on(f(p)) for q, p in at.items()} for f in (F.floor, F.ceil))
+    part = lambda q: F.first(at[q] - F.floor(at[q]))
+    value = lambda q: low[q] + (high[q] - low[q]) * part(q)
+    row = upto.groupBy("i").agg(value(0.5).alias("m"), (value(0.75) - value(0.25)).alias("s"))
+    row = row.agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("s")))).alias("x"))
+    return row.select(F.col("x.m").alias("medians"), F.col("x.s").alias("spreads"))
 
 
 def scaled(cases: DataFrame, scales: DataFrame, clip: float = 8.0) -> DataFrame:
@@ -90,8 +101,9 @@ _FOUND = "query long, case long, distance double, residual double, weight double
 
 def _closest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, cid: np.ndarray, r: np.ndarray, w: np.ndarray, k: int) -> pd.DataFrame:
     parts = []
-    for at in range(0, len(q), 256):
-        d = np.sqrt(((q[at : at + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, 4_000_000 // max(1, x.size))
+    for at in range(0, len(q), step):
+        d = np.sqrt(((q[at : at + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
         order = np.lexsort((np.broadcast_to(cid, d.shape), d), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(d)), order.shape[1])
         pick = order.ravel()
@@ -99,47 +111,51 @@ def _closest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, cid: np.ndarray, r:
     return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("query", "case", "distance", "residual", "weight")})
 
 
-def nearest_cases(queries: DataFrame, cases: DataFrame, k: int = 800, block: int = 4096, broadcast_rows: int = 100_000) -> DataFrame:
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of each query, ties by the smaller case id."""
+    found = found.sort_values(["query", "distance", "case"], kind="stable")
+    return found[found.groupby("query").cumcount() < k]
+
+
+def nearest_cases(queries: DataFrame, cases: DataFrame, k: int = 800, held: int = 2_000_000) -> DataFrame:
     """(query, case, distance, residual, weight): the k nearest cases of the same group, ties by the smaller case id.
 
-    queries(query, group, descriptor) meet cases(case, group, descriptor, residual, weight). Up to `broadcast_rows`
-    counted cases are broadcast; beyond, groups are cut into blocks, each block finds its own k nearest and these
-    are merged, so that a group of any size is spread over tasks.
+    queries(query, group, descriptor) meet cases(case, group, descriptor, residual, weight). The cases stay where they
+    are: queries are counted and broadcast, a slice of at most `held` / k of them at a time, and every task keeps the k
+    best of its cases for each query as it reads them. What is shuffled is k rows a query and task, whatever the
+    number of cases; no group is gathered.
     """
-    n = cases.count()
-    if n <= broadcast_rows:
-        rows = cases.select("case", "group", "descriptor", "residual", "weight").toPandas()
-        held = {}
-        for g, f in rows.groupby("group"):
-            held[g] = (np.array(f["descriptor"].tolist(), float), f["case"].to_numpy(), f["residual"].to_numpy(), f["weight"].to_numpy())
-        shared = queries.sparkSession.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                frame = batch.to_pandas()
-                for g, f in frame.groupby("group"):
-                    if g in shared.value:
-                        x, c, r, w = shared.value[g]
-                        found = _closest(np.array(f["descriptor"].tolist(), float), f["query"].to_numpy(), x, c, r, w, k)
-                        yield pa.RecordBatch.from_pandas(found.astype({"query": "int64", "case": "int64"}), preserve_index=False)
-
-        return queries.select("query", "group", "descriptor").mapInArrow(run, _FOUND)
-    blocks = -(-n // block)
-    left = queries.select("query", "group", "descriptor", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("query"), F.lit(64)).alias("p"))
-    right = cases.select("case", "group", "descriptor", "residual", "weight", F.pmod(F.xxhash64("case"), F.lit(blocks)).cast("int").alias("b"))
-    right = right.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-
-    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return _closest(np.zeros((0, 1)), *[np.zeros(0)] * 1, np.zeros((0, 1)), *[np.zeros(0)] * 3, k)
-        to = lambda f: np.array(f["descriptor"].tolist(), float)
-        return _closest(to(q), q["query"].to_numpy(), to(c), c["case"].to_numpy(), c["residual"].to_numpy(), c["weight"].to_numpy(), k)
-
-    found = left.groupBy("group", "b", "p").cogroup(right.groupBy("group", "b", "p")).applyInPandas(pair, _FOUND)
+    n, most = queries.count(), max(1, held // k)
+    slices = max(1, -(-n // most))
+    part = F.pmod(F.xxhash64("query"), F.lit(slices))
+    chosen = cases.select("group", "case", "descriptor", "residual", "weight")
+    found = None
+    for s in range(slices):
+        mine = {}
+        for g, f in queries.filter(part == s).select("query", "group", "descriptor").toPandas().groupby("group"):
+            mine[g] = np.array(f["descriptor"].tolist(), float), f["query"].to_numpy()
+        one = chosen.mapInArrow(_streamed(queries.sparkSession.sparkContext.broadcast(mine), k), _FOUND)
+        found = one if found is None else found.union(one)
     w = Window.partitionBy("query").orderBy("distance", "case")
     return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
+def _streamed(shared: Broadcast, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, pd.DataFrame] = {}
+        for batch in batches:
+            for g, f in batch.to_pandas().groupby("group"):
+                if g in shared.value:
+                    q, ids = shared.value[g]
+                    numbers = (f[c].to_numpy() for c in ("case", "residual", "weight"))
+                    now = _closest(q, ids, np.array(f["descriptor"].tolist(), float), *numbers, k)
+                    best[g] = now if g not in best else _best(pd.concat([best[g], now]), k)
+        for found in best.values():
+            yield pa.RecordBatch.from_pandas(found.astype({"query": "int64", "case": "int64"}), preserve_index=False)
+
+    return run
+
+
 _INTERVALS = "query long, q10 double, q50 double, q90 double, lower_coverage double, upper_coverage double, nearest double, neighbours int"
 
 

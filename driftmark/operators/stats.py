@@ -105,8 +105,14 @@ def shuffled_batches(samples: DataFrame, size: int, seed: int, *keys: str) -> Da
 
 
 def average_ranks(df: DataFrame, col: str, *keys: str) -> DataFrame:
-    """(keys, col, rank): ties share their mean rank. Counts per value are summed up over value ranges, each with the
-    size of those before, so that a group of any size is spread over tasks."""
+    """(keys, col, rank): ties share their mean rank."""
+    ranks = value_ranks(df, col, *keys)
+    return ranks.select(*keys, col, (F.col("upto") - (F.col("upto") - F.col("before") - 1) / 2).alias("rank"))
+
+
+def value_ranks(df: DataFrame, col: str, *keys: str) -> DataFrame:
+    """(keys, col, before, upto): rows with smaller values, and with values up to this one. Counts per value are summed
+    up over value ranges, each with the size of those before, so that a group of any size is spread over tasks."""
     counts = df.groupBy(*keys, col).agg(F.count("*").alias("c"))
     parts = saved(counts.repartitionByRange(*keys, col).withColumn("_p", F.spark_partition_id()), "ranges")
     sums = parts.groupBy(*keys, "_p").agg(F.sum("c").alias("s"))
@@ -114,7 +120,7 @@ def average_ranks(df: DataFrame, col: str, *keys: str) -> DataFrame:
     offsets = sums.select(*keys, "_p", before.alias("_b"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "_p").orderBy(col))
     out = parts.withColumn("_u", upto).join(offsets, [*keys, "_p"])
-    return out.select(*keys, col, (F.col("_b") + F.col("_u") - (F.col("c") - 1) / 2).alias("rank"))
+    return out.select(*keys, col, (F.col("_b") + F.col("_u") - F.col("c")).alias("before"), (F.col("_b") + F.col("_u")).alias("upto"))
 
 
 def correlation(x: str, y: str) -> Column:

@@ -674,7 +674,16 @@ def _trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors_of(spark, sf_dir).select("vec_id", "features", F.get("features", F.lit(0)).alias("target"))
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT vec_id, o, embedding::DOUBLE[] AS x, list_inner_product(embedding::DOUBLE[], {_W.format(n=64, layer=0)}) + cos(o * 1.1) * 0.01 AS z FROM embeddings CROSS JOIN (SELECT unnest(range(8)) AS o) CROSS JOIN (SELECT 1 AS c)),
+a AS (SELECT *, CASE WHEN z > 0 THEN z ELSE 0.01 * z END AS a, CASE WHEN z > 0 THEN 1.0 ELSE 0.01 END AS d, sin(0.37 + 1.3 + o * 0.29) / sqrt(8) AS v FROM h),
+p AS (SELECT vec_id, 2 * (sum(a * v) + 0.01 - any_value(x[1])) AS delta FROM a GROUP BY vec_id),
+g AS (SELECT 0 AS layer, o AS out_idx, j, avg(delta * v * d * x[j + 1]) AS g FROM a JOIN p USING (vec_id) CROSS JOIN (SELECT unnest(range(64)) AS j) GROUP BY ALL UNION ALL SELECT 1, 0, o, avg(delta * a) FROM a JOIN p USING (vec_id) GROUP BY o),
+b AS (SELECT 0 AS layer, o AS out_idx, avg(delta * v * d) AS gb FROM a JOIN p USING (vec_id) GROUP BY o UNION ALL SELECT 1, 0, avg(delta) FROM p),
+n AS (SELECT sqrt((SELECT sum(g * g) FROM g) + (SELECT sum(gb * gb) FROM b)) AS norm), f AS (SELECT norm, least(1, 1 / (norm + 1e-12)) AS f FROM n)
+SELECT CAST(layer AS INT) AS layer, CAST(out_idx AS INT) AS out_idx, round(any_value(s) * any_value(f), 6) AS sum, round(any_value(gb) * any_value(f), 6) AS gb, round(any_value(norm), 6) AS norm
+FROM (SELECT layer, out_idx, sum(g) AS s FROM g GROUP BY ALL) JOIN b USING (layer, out_idx) CROSS JOIN f GROUP BY layer, out_idx"""
+)
 def t3_gradient(spark, sf_dir):
     net = model.collected(model.made_weights(spark, 1, _NET))[1]
     rows = model.clipped(model.gradient_rows(_trainable(spark, sf_dir), net), 1.0)
@@ -826,7 +835,7 @@ def k5_nearest(spark, sf_dir):
 
 @query(_SQL["k5_nearest"])
 def k5_nearest_blocks(spark, sf_dir):
-    found = calibrate.nearest_cases(_queries_of(spark, sf_dir), _cases_of(spark, sf_dir), 20, block=512, broadcast_rows=0)
+    found = calibrate.nearest_cases(_queries_of(spark, sf_dir), _cases_of(spark, sf_dir), 20, held=100)
     return found.select("query", "case", r("distance", 5).alias("distance"))
 
 
