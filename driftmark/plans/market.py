@@ -461,15 +461,15 @@ def sample_table(spark: SparkSession, sf_dir: str, inclusive: bool = False) -> D
     return features.samples(moves, bars, kept, extrema.mean_spacing(bars, raw), vectors, _macro_windows(spark, sf_dir), BASE_YEAR, inclusive)
 
 
-def _bend_sql(of: str) -> str:
-    """The largest second difference of a leg v of n values, smoothed by a polynomial of window w and order o: sums of
-    orthogonal polynomials about each window's middle."""
+def _bend_sql(of: str, legs: str = "leg") -> str:
+    """The largest second difference of each leg v of n values in legs(ticker, leg, v, n), smoothed by a polynomial of
+    window w and order o: sums of orthogonal polynomials about each window's middle."""
     fit = """list_transform(range(n), lambda i: list_avg(y[i + 1]) + CASE WHEN o > 0 THEN t[i + 1] * list_inner_product(y[i + 1], u) / list_inner_product(u, u) ELSE 0 END
  + CASE WHEN o > 1 THEN (t[i + 1] * t[i + 1] - list_avg(uu)) * list_inner_product(y[i + 1], list_transform(uu, lambda z: z - list_avg(uu))) / list_sum(list_transform(uu, lambda z: (z - list_avg(uu)) ** 2)) ELSE 0 END)"""
     return f"""(SELECT ticker, leg, CASE WHEN n < w OR o < 0 OR o >= w OR n < 3 THEN NULL ELSE list_max(list_transform(range(2, n), lambda i: abs(s[i - 1] - 2 * s[i] + s[i + 1]))) END AS bend FROM
  (SELECT *, CASE WHEN n >= w AND o >= 0 THEN {fit} END AS s FROM (SELECT *, list_transform(range(n), lambda i: v[least(greatest(i - h, 0), n - w) + 1 : least(greatest(i - h, 0), n - w) + w]) AS y,
  list_transform(range(n), lambda i: CAST(i - least(greatest(i - h, 0), n - w) - h AS DOUBLE)) AS t, list_transform(range(w), lambda i: CAST(i - h AS DOUBLE)) AS u, list_transform(range(w), lambda i: CAST((i - h) ** 2 AS DOUBLE)) AS uu FROM
- (SELECT *, CAST(2 * round_even(({of}) / 8, 0) + 3 AS BIGINT) AS w, CAST(round_even(({of}) / 8, 0) + 1 AS BIGINT) AS h, CAST(least(round_even(n / 3, 0) - 2, 2) AS BIGINT) AS o FROM leg))))"""
+ (SELECT *, CAST(2 * round_even(({of}) / 8, 0) + 3 AS BIGINT) AS w, CAST(round_even(({of}) / 8, 0) + 1 AS BIGINT) AS h, CAST(least(round_even(n / 3, 0) - 2, 2) AS BIGINT) AS o FROM {legs}))))"""
 
 
 @query(
@@ -486,7 +486,7 @@ def f6_peakiness(spark, sf_dir):
 @query()
 def f8_samples(spark, sf_dir):
     s = sample_table(spark, sf_dir)
-    return s.select("ticker", "extremum_date", "end_date", "next_date", "duration", r("target").alias("target"), r(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("sum"))
+    return s.select("ticker", "extremum_date", "end_date", "next_date", "duration", r("target").alias("target"), r(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 3).alias("sum"))
 
 
 @query()
@@ -595,6 +595,54 @@ def m11_month_of_position(spark, sf_dir):
     return macro.month_of_position(bars_of(spark, sf_dir).select("ticker", "pos"), macro.month_starts(calendar, BASE_YEAR))
 
 
+def _slopes_sql(prices: str, steps: str) -> str:
+    """The sum of a leg's quarter slopes."""
+    edge = lambda i: f"(({i}) * ({steps} // 4) + least({i}, {steps} % 4))"
+    one = f"100 * ({prices}[{edge('i + 1')} + 1] - {prices}[{edge('i')} + 1]) / ({prices}[1] * ({edge('i + 1')} - {edge('i')}) * {steps})"
+    return f"list_sum(list_transform(range(4), lambda i: {one}))"
+
+
+# The samples' 191 values, as their sum: what belongs to a bar, the legs, the trailing vectors and the macro windows.
+_SAMPLES = f"""{_SEGMENTS}, {BENCH}, {MONTHLY}, {_CAL},
+m0 AS (SELECT ticker, kind, lag(pos) OVER w AS before, pos AS this, lead(pos) OVER w AS next, row_number() OVER w - 1 AS k FROM labelled WINDOW w AS (PARTITION BY ticker ORDER BY pos)),
+mv AS (SELECT m.*, next - this AS gap, 100 * (q.price - p.price) / p.price AS target, p.date AS extremum_date, q.date AS next_date FROM m0 m
+ JOIN bars p ON p.ticker = m.ticker AND p.pos = this JOIN bars q ON q.ticker = m.ticker AND q.pos = next WHERE before IS NOT NULL AND next IS NOT NULL),
+st AS (SELECT b.ticker, b.pos, b.date, b.volume, b.price / lag(b.price) OVER w - 1 AS x, bench.price / lag(bench.price) OVER w - 1 AS y, b.price - lag(b.price) OVER w AS d
+ FROM bars b JOIN bench USING (date) WINDOW w AS (PARTITION BY b.ticker ORDER BY b.pos)),
+d0 AS (SELECT ticker, pos, date, CASE WHEN count(x) OVER f1 = 125 THEN covar_samp(x, y) OVER f1 / var_samp(y) OVER f1 END AS beta, count(d) OVER f2 AS nd, sum(greatest(d, 0)) OVER f2 AS gain,
+ sum(greatest(-d, 0)) OVER f2 AS loss, CASE WHEN count(volume) OVER f3 = 126 THEN avg(volume) OVER f3 END AS mean_volume FROM st WINDOW f1 AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 124 PRECEDING AND CURRENT ROW),
+ f2 AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), f3 AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)),
+days AS (SELECT ticker, pos, date, beta, mean_volume, CASE WHEN nd = 13 THEN CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END END AS rsi FROM d0),
+sp AS ({_savgol_sql(21, 3, 'price', 'bars', 'ticker', 'pos')}), sv AS ({_savgol_sql(21, 3, 'volume', 'bars', 'ticker', 'pos')}),
+pr AS (SELECT ticker, pos // 2 AS j, avg(sp.v) AS price, avg(sv.v) AS volume FROM sp JOIN sv USING (ticker, pos) GROUP BY ALL HAVING count(*) = 2),
+ch AS (SELECT ticker, j, 100 * (price - lag(price) OVER w) / lag(price) OVER w AS ret, 100 * (volume - lag(volume) OVER w) / lag(volume) OVER w AS vr FROM pr WINDOW w AS (PARTITION BY ticker ORDER BY j)),
+vec AS (SELECT ticker, j, sum(ret) OVER f + sum(vr) OVER f AS total FROM ch WINDOW f AS (PARTITION BY ticker ORDER BY j ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) QUALIFY count(ret) OVER f = 63 AND count(vr) OVER f = 63),
+base AS (SELECT s.series_id, idx.month, idx.idx, last_value(m.value IGNORE NULLS) OVER (PARTITION BY s.series_id ORDER BY idx.month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+ FROM (SELECT DISTINCT series_id FROM monthly) s CROSS JOIN idx LEFT JOIN monthly m ON m.series_id = s.series_id AND m.month = idx.month),
+rt AS (SELECT series_id, row_number() OVER w - 1 AS idx, coalesce(100 * (value - lag(value) OVER w) / value, 0.455) AS value FROM base WINDOW w AS (PARTITION BY series_id ORDER BY month)),
+rv AS ({_savgol_sql(15, 1, 'value', 'rt', 'series_id', 'idx')}),
+bm AS (SELECT 'i' AS k, CAST(date_trunc('month', date) AS DATE) AS month, avg(price) AS value FROM bench GROUP BY 2), bi AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS q FROM bm),
+bv AS ({_savgol_sql(15, 2, 'value', 'bi', 'k', 'q')}),
+wide AS (SELECT idx.idx, a.value + b.value + c.value + r4.v + r5.v + bv.v + 100 * (a.value - y.value) / y.value + idx.idx AS total FROM idx
+ JOIN base a ON a.month = idx.month AND a.series_id = '1-URGENT' JOIN base b ON b.month = idx.month AND b.series_id = '2-HIGH' JOIN base c ON c.month = idx.month AND c.series_id = '3-MEDIUM'
+ JOIN rv r4 ON r4.idx = idx.idx AND r4.series_id = '4-NOT SPECIFIED' JOIN rv r5 ON r5.idx = idx.idx AND r5.series_id = '5-LOW' JOIN bi ON bi.month = idx.month JOIN bv ON bv.q = bi.q
+ JOIN base y ON y.series_id = '1-URGENT' AND idx.month = y.month + INTERVAL 12 MONTH),
+win AS (SELECT idx, sum(total) OVER f AS total FROM wide WINDOW f AS (ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) QUALIFY min(idx) OVER f = idx - 5),
+fl AS (SELECT m.ticker, k AS leg, list(CAST(volume AS DOUBLE) ORDER BY pos) AS v, list(price ORDER BY pos) AS p, count(*) AS n FROM mv m JOIN bars b ON b.ticker = m.ticker AND pos BETWEEN before AND this GROUP BY ALL),
+rl AS (SELECT m.ticker, k AS leg, list(CAST(volume AS DOUBLE) ORDER BY pos) AS v, list(price ORDER BY pos) AS p FROM mv m JOIN bars b ON b.ticker = m.ticker AND pos BETWEEN this AND next GROUP BY ALL),
+sm AS (SELECT mv.*, unnest(range(4, gap + @more)) AS duration, this - before AS fall FROM mv),
+rleg AS (SELECT sm.ticker, k * 100000 + duration AS leg, v[1 : duration + 1] AS v, duration + 1 AS n FROM sm JOIN rl ON rl.ticker = sm.ticker AND rl.leg = k),
+sample AS (SELECT s.ticker, extremum_date, e.date AS end_date, next_date, duration, target, beta + rsi + (list_max(fl.v) + fb.bend + rb.bend + list_max(rl.v[1 : duration + 1])) / mean_volume + duration + fall
+ + (SELECT count(*) FROM bars b WHERE b.ticker = s.ticker) / greatest((SELECT count(*) FROM raw WHERE raw.ticker = s.ticker), 1) + {_slopes_sql('fl.p', 'fall')} + {_slopes_sql('rl.p', 'duration')} + vec.total + win.total AS total
+ FROM sm s JOIN days e ON e.ticker = s.ticker AND e.pos = this + duration JOIN fl ON fl.ticker = s.ticker AND fl.leg = k JOIN {_bend_sql('n', 'fl')} fb ON fb.ticker = s.ticker AND fb.leg = k
+ JOIN rl ON rl.ticker = s.ticker AND rl.leg = k JOIN {_bend_sql('n - 3', 'rleg')} rb ON rb.ticker = s.ticker AND rb.leg = k * 100000 + duration
+ JOIN vec ON vec.ticker = s.ticker AND vec.j = (this + duration) // 2 - 2 JOIN win ON win.idx = (year(extremum_date) - {BASE_YEAR}) * 12 + month(extremum_date) - 2)"""
+_SQL["f8_samples"] = _SAMPLES.replace("@more", "0") + " SELECT ticker, extremum_date, end_date, next_date, duration, round(target, 6) AS target, round(total, 3) AS sum FROM sample WHERE total IS NOT NULL"
+_SQL["f11_training_panel"] = (
+    _SAMPLES.replace("@more", "1") + " SELECT ticker, count(*) AS samples, count(DISTINCT strftime(extremum_date, '%Y%m-%d') || '-' || duration) AS keys, round(avg(target), 6) AS mean_target FROM sample WHERE total IS NOT NULL GROUP BY ticker"
+)
+
+
 # --- normalisation, sampling ---
 
 _X = "x AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
