@@ -12,7 +12,7 @@ corpus would shuffle many times its size, so what is sorted is first chosen, wit
 
 Choosing is by hashes and map-side combined counts, which may only choose too much. What repeats is told by the
 suffixes alone: each chosen run, block or window is the suffix at its first byte, cut at its last byte. Splitters
-sampled by Spark range-partition the suffixes by their leading tokens (two words of eight bytes), each bucket is sorted
+sampled by Spark range-partition the suffixes by their leading sixteen bytes, each bucket is sorted
 by multikey quicksort and neighbours are compared byte by byte, across the buckets' boundaries too. Rows of one
 suffix are dealt over buckets by their places, so that no document, group or bucket gathers all copies of a string.
 """
@@ -159,8 +159,7 @@ def _block_rows(length: int):
 
 #: Suffixes in one batch.
 SUFFIXES = 5000
-_UNIT = ["k1", "k2", "first", "n", "t0", "t1", "suffix"]
-_UNITS = "k1 long, k2 long, first long, n long, t0 long, t1 long, suffix binary"
+_UNITS = "k1 long, k2 long, first long, suffix binary"
 
 
 def leading_tokens(suffixes: np.ndarray, at: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
@@ -173,23 +172,19 @@ def leading_tokens(suffixes: np.ndarray, at: np.ndarray, size: np.ndarray, depth
 
 
 def _suffix_rows(length: int):
-    """(k1, k2, text, times, lists of first windows, lists of window counts) to the suffixes of those runs of windows, with their two leading tokens."""
+    """(k1, k2, text, times, lists of first windows, lists of window counts) to the suffixes of those runs of windows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k1, k2, text, times, *lists in _documents(batches):
             raw = text.encode()
-            codes = np.frombuffer(raw, np.uint8)
             half = len(lists) // 2
             rows = np.unique(np.stack([np.concatenate(lists[:half]), np.concatenate(lists[half:])], 1), axis=0)
             for low in range(0, len(rows), SUFFIXES):
                 part = rows[low : low + SUFFIXES]
-                first, n = part.T
-                size = n + length - 1
-                tokens = [leading_tokens(codes, first, size, d) ^ U(1 << 63) for d in (0, 1)]
-                cut = pa.array([raw[a : a + b] for a, b in zip(first.tolist(), size.tolist(), strict=True)], pa.binary())
-                columns = [np.full(len(part), k1), np.full(len(part), k2), first, n, *(t.view(np.int64) for t in tokens)]
+                cut = pa.array([raw[a : a + n + length - 1] for a, n in part.tolist()], pa.binary())
+                columns = [np.full(len(part), k1), np.full(len(part), k2), part[:, 0]]
                 for _ in range(times):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), cut], names=_UNIT)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), cut], names=["k1", "k2", "first", "suffix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -236,7 +231,7 @@ def multikey_quicksort(suffixes: list[bytes], small: int = 4096) -> np.ndarray:
     return order
 
 
-_SORTED = "bucket int, edge int, hit boolean, k1 long, k2 long, first long, n long, suffix binary"
+_SORTED = "bucket int, edge int, hit boolean, k1 long, k2 long, first long, size long, suffix binary"
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +255,8 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge[-1] |= 2
     keep = np.flatnonzero(hit | (edge > 0))
     bucket = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
-    places = [rows.column(c).to_numpy()[order[keep]] for c in ("k1", "k2", "first", "n")]
+    places = [rows.column(c).to_numpy()[order[keep]] for c in ("k1", "k2", "first")]
+    places.append(np.fromiter((len(line[i]) for i in keep.tolist()), np.int64, len(keep)))
     sample = pa.array([line[i] if edge[i] else None for i in keep.tolist()], pa.binary())
     columns = [*map(pa.array, (bucket, edge[keep], hit[keep], *places)), sample]
     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SORTED.split(", ")])
@@ -352,19 +348,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     level3 = level3.select("k1", "k2", "text", "times", *lists)
     level3 = scratch.save(level3.mapInArrow(_suffix_rows(length), _UNITS), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), level3.count() // per_bucket + 1)
-    ranged = level3.repartitionByRange(buckets, "t0", "t1", "k1", "k2", "first")
+    scratch.drop("runs-found", "blocks-found")
+    ranged = level3.repartitionByRange(buckets, F.substring("suffix", 1, 16), "k1", "k2", "first")
     ordered = scratch.save(ranged.mapInArrow(_sort_bucket, _SORTED), "sorted")
     # Two rows a bucket at most: does a bucket begin with the suffix that the one before ends with?
     edges = ordered.filter("edge > 0").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("side")).filter("edge & side > 0")
     line = Window.orderBy("bucket", "side")
     same = lambda step: F.coalesce((F.lag("side", step).over(line) != F.col("side")) & (F.lag("suffix", step).over(line) == F.col("suffix")), F.lit(False))
-    joined = edges.select("k1", "k2", "first", "n", F.when(F.col("side") == 1, same(1)).otherwise(same(-1)).alias("hit"))
-    hits = ordered.filter("hit").select("k1", "k2", "first", "n").union(joined.filter("hit").select("k1", "k2", "first", "n"))
+    joined = edges.select("k1", "k2", "first", "size", F.when(F.col("side") == 1, same(1)).otherwise(same(-1)).alias("hit"))
+    hits = ordered.filter("hit").select("k1", "k2", "first", "size").union(joined.filter("hit").select("k1", "k2", "first", "size"))
+    hits = hits.withColumn("n", F.col("size") - (length - 1))
 
     more = hits.groupBy("k1", "k2").agg(F.collect_list(here).alias("more"))
     cut = touched.select("k1", "k2", "text").join(more, ["k1", "k2"], "left").select("k1", "k2", "text", "more.first", "more.n")
     cut = scratch.save(cut.mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"), "cut")
-    scratch.drop("suffixes", "sorted", "touched", "runs-found", "blocks-found")
+    scratch.drop("suffixes", "sorted", "touched")
     whole = picked.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.array().cast("array<long>")
     out = whole.join(cut, ["k1", "k2"], "left").select(

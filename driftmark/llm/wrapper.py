@@ -220,13 +220,19 @@ def parse_page(html: str | None) -> tuple[str, list[tuple[int, str, int, tuple[i
 
 
 def main_text(blocks: list[dict], template: set[tuple[int, int]], repeating: set[int], outside: set[int] | None, tags: bool = True) -> str:
-    """The text of the blocks that vary. Nodes in outside go; where that is None, too few pages were compared, and what
-    stands in an article or main element, if there is one, is the text. Link-rich blocks go where their node repeats
+    """The text of the blocks that vary. Nodes in outside go, unless most of the page's text stands in
+    them; there, and where outside is None (too few pages were compared), what stands in an article or main element, if
+    there is one, is the text. Link-rich blocks go where their node repeats
     over pages. If tags, then what is apart goes as well, and marked containers, those with a weak mark if link-rich,
     unless they hold over half of what varies."""
     live = [b for b in blocks if (b["node"], b["said"]) not in template and not (b["rich"] and b["node"] in repeating)]
     if outside is not None:
-        live = [b for b in live if b["node"] not in outside]
+        inner = [b for b in live if b["node"] not in outside]
+        text = lambda rows: sum(len(b["text"]) - b["linked"] for b in rows if not (tags and b["apart"]))
+        if 2 * text(inner) >= text(live):
+            live = inner
+        else:  # a page of another kind than the host's wrapper
+            outside = None
     if tags:
         if outside is None and any(b["main"] and not b["apart"] for b in live):
             live = [b for b in live if b["main"]]

@@ -75,6 +75,42 @@ def test_quality_rules_keep_ordinary_documents_beside_copies(spark):
     assert len(rows) == 501 and {r["doc_id"] for r in rows if not r["kept"]} == {600}
 
 
+def plain_distances(x, h=0.75, floor=4e-4):
+    """Robust distances by concentration steps in plain numpy, for one group of different vectors."""
+    at = lambda v, p: np.percentile(v, 100 * p, axis=0, method="inverted_cdf")
+    low, mid, high = (at(x, p) for p in (0.25, 0.5, 0.75))
+    inverse, centre, before = np.diag(1 / (((high - low) / 1.349) ** 2 + floor)), mid, None
+    while True:
+        d2 = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+        half = x[d2 <= at(d2, h)]
+        centre = half.mean(axis=0)
+        values, vectors = np.linalg.eigh(half.T @ half / len(half) - np.outer(centre, centre))
+        values = np.maximum(values, 0) + floor
+        inverse, now = (vectors / values) @ vectors.T, np.log(values).sum()
+        if before is not None and abs(now - before) <= 0.01:
+            break
+        before = now
+    d2 = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+    return np.sqrt(d2 * quality_rules.CHI2_MEDIAN / at(d2, 0.5))
+
+
+def test_robust_distances_against_plain_steps(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randint(40, 300)).capitalize() + rng.choice([".", ".", "!!", " ###", " A B C"]) * rng.randint(1, 9) for _ in range(120)]
+    rows = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(rows).collect()}
+    want = plain_distances(np.array([quality_rules.statistics(t, quality_rules.base_counts(t)) for t in texts]))
+    assert np.allclose([got[i]["robust_distance"] for i in range(120)], want, rtol=1e-6)
+    assert all(r["settled"] for r in got.values()) and all(got[i]["kept"] == (not got[i]["base_failed"] and want[i] <= 10) for i in range(120))
+
+
+def test_null_language_and_source_are_groups_of_their_own(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 80), lang, source) for i, (lang, source) in enumerate([(None, "a"), ("en", None), (None, None), ("", "")] * 20)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == 80 and all(r["kept"] for r in got)
+
+
 def weighted(text, width=5):
     words = (text or "").split()
     n = min(width, len(words))
@@ -92,6 +128,21 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert len(shingles(b"one two")) == 1 and not len(shingles(b" "))
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    """Recall of the second round's sketches: of pairs of similarity 0.8, none of a few hundred is ruled out."""
+    rng, k = np.random.default_rng(18), 56 * 8
+    worst = 0
+    for _ in range(300):
+        n = int(rng.integers(20, 200))
+        e = rng.integers(0, 2**63, n + n // 4).astype(np.uint64)
+        one = np.ones(len(e))
+        # n of n + n // 4 elements in common.
+        a, b = (minhash.sketch(minhash.dart_minhash(x, one[: len(x)], k)) for x in (e, e[:n]))
+        planes = a.reshape(minhash.SKETCH_BITS, -1) ^ b.reshape(minhash.SKETCH_BITS, -1)
+        worst = max(worst, int(np.unpackbits(np.bitwise_or.reduce(planes).view(np.uint8)).sum()))
+    assert worst <= minhash.most_mismatches(k, 0.8) < 0.5 * k
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(3)
     docs = []
@@ -229,14 +280,15 @@ def test_token_files_round_trip(spark):
 
     tokenizer = Tokenizer.from_file(WORDS)
     rows = list(enumerate(mixed_texts())) + [(None, "no id"), (7, "seven again")]
-    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.token_file_digest(table(spark, rows), WORDS).collect() if r["doc_id"] != 7 and r["doc_id"] is not None)
-    text, start = dict(rows[:-1]), 0
-    for begin, i, n, crc in got:
-        ids = np.array(tokenizer.encode(text[i] or "", add_special_tokens=False).ids + [1], "<u4")
-        assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes()))
-    assert [i for _, i, _, _ in got] == sorted(i for _, i, _, _ in got)
-    every = sorted((r["start"], r["n_tokens"]) for r in token_store.token_file_digest(table(spark, rows), WORDS).collect())
-    for begin, n in every:
+    rows += [(None, None), (7, rows[7][1]), (7, rows[7][1])]
+    every, want, start = token_store.token_file_digest(table(spark, rows), WORDS).collect(), Counter(), 0
+    for i, text in rows:
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in every) == want
+    order = [-1 if i is None else i for _, i in sorted((r["start"], r["doc_id"]) for r in every)]
+    assert order == sorted(order)
+    for begin, n in sorted((r["start"], r["n_tokens"]) for r in every):
         assert begin == start
         start += n
     assert token_store.token_file_digest(table(spark, []), WORDS).count() == 0

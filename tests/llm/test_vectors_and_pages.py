@@ -101,6 +101,23 @@ def test_tree_matching():
     assert wrapper.simple_tree_matching(a, [(0, "q")]) == {}
 
 
+def test_pages_of_another_kind_keep_their_text(spark):
+    """The host's wrapper has little text in its first container; a page of another kind has all of its text there."""
+    words = lambda i, n: " ".join(f"word{i}x{j}" for j in range(n))
+    rows = [(i, f"http://a.example/{i}", f"<body><div><p>{words(i, 3)}</p></div><div><h1>Title {i}</h1><p>{words(i, 80)}</p></div></body>") for i in range(30)]
+    rows.append((99, "http://a.example/99", f"<body><div><p>{words(99, 60)}</p></div></body>"))
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[99] == words(99, 60) and got[3] == f"Title 3\n\n{words(3, 80)}"
+
+
+def test_repeated_pages_repeat_their_text(spark):
+    page = lambda i: f"<body><nav><a href='/'>Home</a></nav><article><h1>Title {i}</h1><p>Words of {i}</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(7)] + [(3, "http://a.example/3", page(3))] * 9 + [(None, None, None)] * 2
+    got = [(r["page_id"], r["text"]) for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    want = [(i, "" if i is None else f"Title {i}\n\nWords of {i}") for i, _, _ in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def random_tree(rng, n):
     """A tree as (depth, label) in page order."""
     out = [(0, "r")]
