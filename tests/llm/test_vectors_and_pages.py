@@ -2,11 +2,24 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyspark.sql.functions as F
+import pytest
 
 import corpus_pipeline
-from driftmark.llm import embed_lsh, substring_dedup, wrapper
+from driftmark.llm import embed_lsh, queries, substring_dedup, wrapper
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twin(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    want = con.sql(f"select {', '.join(got.columns)} from ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_lattice_points_are_nearest():
