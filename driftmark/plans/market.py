@@ -486,7 +486,7 @@ def f6_peakiness(spark, sf_dir):
 @query()
 def f8_samples(spark, sf_dir):
     s = sample_table(spark, sf_dir)
-    return s.select("ticker", "extremum_date", "end_date", "next_date", "duration", r("target").alias("target"), r(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 3).alias("sum"))
+    return s.select("ticker", "extremum_date", "end_date", "next_date", "duration", r("target").alias("target"), r(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 1).alias("sum"))
 
 
 @query()
@@ -638,7 +638,7 @@ sample AS (SELECT s.ticker, extremum_date, e.date AS end_date, next_date, durati
  FROM sm s JOIN days e ON e.ticker = s.ticker AND e.pos = this + duration JOIN fl ON fl.ticker = s.ticker AND fl.leg = k JOIN {_bend_sql('n', 'fl')} fb ON fb.ticker = s.ticker AND fb.leg = k
  JOIN rl ON rl.ticker = s.ticker AND rl.leg = k JOIN {_bend_sql('n - 3', 'rleg')} rb ON rb.ticker = s.ticker AND rb.leg = k * 100000 + duration
  JOIN vec ON vec.ticker = s.ticker AND vec.j = (this + duration) // 2 - 2 JOIN win ON win.idx = (year(extremum_date) - {BASE_YEAR}) * 12 + month(extremum_date) - 2)"""
-_SQL["f8_samples"] = _SAMPLES.replace("@more", "0") + " SELECT ticker, extremum_date, end_date, next_date, duration, round(target, 6) AS target, round(total, 3) AS sum FROM sample WHERE total IS NOT NULL"
+_SQL["f8_samples"] = _SAMPLES.replace("@more", "0") + " SELECT ticker, extremum_date, end_date, next_date, duration, round(target, 6) AS target, round(total, 1) AS sum FROM sample WHERE total IS NOT NULL"
 _SQL["f10_current_rows"] = (
     _SAMPLES.replace("@more", "0")
     + f""", l AS (SELECT ticker, pos, kind, lag(pos) OVER (PARTITION BY ticker ORDER BY pos) AS before, count(*) OVER (PARTITION BY ticker) AS extrema FROM labelled QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) = 1),
