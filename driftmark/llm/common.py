@@ -54,6 +54,19 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+def paths_read(df: DataFrame) -> list[str] | None:
+    """The paths that df's own plan reads, cached or not. None: it has leaves that do not tell."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            out.append(leaf.relation().location().rootPaths().mkString(" "))
+        elif kind not in ("LocalRelation", "OneRowRelation", "Range"):
+            return None
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
