@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import Scratch, table
+from driftmark.llm.common import Scratch, paths_read, table
 from driftmark.llm.minhash import near_duplicates
 from driftmark.llm.packing import pack_documents
 from driftmark.llm.quality_rules import quality_rules
@@ -32,8 +32,8 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows that an earlier stage numbered go, once its result is written and docs no longer reads them.
     """
-    read = docs.inputFiles() if _NUMBERED else []
-    for scratch in [s for s in _NUMBERED if s.spark is spark and not any(s.root.split("/")[-1] in f for f in read)]:
+    read = paths_read(docs) if _NUMBERED else None
+    for scratch in [s for s in _NUMBERED if read is not None and s.spark is spark and not any(s.root.split("/")[-1] in x for x in read)]:
         scratch.drop_all()
         _NUMBERED.remove(scratch)
     scratch = Scratch(spark, "pipeline-rows")
