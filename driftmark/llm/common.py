@@ -71,10 +71,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Narrow rows that one task may join on one key.
+HOT = 100_000
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame, rows: int, least: int = 10_000, ways: int = 64) -> DataFrame:
     """left joined with right, which has one row a key. Keys of `least` rows or more of left are dealt over `ways` copies
     of their right row by a hash of left's column `by`, so that no key is joined in one task. counted: a written table of
     `rows` rows with left's keys, to tell them by; there are at most 500,000 such keys, which are broadcast."""
+    if rows < least:
+        return left.join(right, key)
     least = max(least, rows // 500_000)
     hot = F.broadcast(counted.groupBy(key).agg(F.count("*").alias("_c")).filter(F.col("_c") >= least).select(key, F.lit(True).alias("_hot")))
     way = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(0).cast("int").alias("_way")
@@ -99,12 +105,12 @@ def connected_components(scratch: Scratch, links: DataFrame, max_rounds: int = 6
     n_links, n_nodes = both.count(), labels.count()
     before = None
     for i in range(1, max_rounds + 1):
-        near = hot_join(both, labels.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v", "u", both, n_links)
+        near = hot_join(both, labels.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v", "u", both, n_links, HOT)
         near = near.groupBy("u").agg(F.min("cv").alias("m"))
         low = labels.join(near, "u").select("u", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         # Every label is a node and so has a label itself.
         up = labels.select(F.col("u").alias("c"), F.col("c").alias("top"))
-        now = hot_join(low, up, "c", "u", labels, n_nodes).select("u", "was", F.least("c", "top").alias("c"))
+        now = hot_join(low, up, "c", "u", labels, n_nodes, HOT).select("u", "was", F.least("c", "top").alias("c"))
         saved = scratch.save(now, f"cc-{i}")
         if before is not None:
             scratch.drop(before)
