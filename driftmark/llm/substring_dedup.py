@@ -12,13 +12,16 @@ corpus would shuffle many times its size, so what is sorted is first chosen, wit
 
 Choosing is by hashes and map-side combined counts, which may only choose too much. What repeats is told by the
 suffixes alone: each chosen run, block or window is the suffix at its first byte, cut at its last byte. Splitters
-sampled by Spark range-partition the suffixes by their leading sixteen bytes, each bucket is sorted
-by multikey quicksort and neighbours are compared byte by byte, across the buckets' boundaries too. Rows of one
-suffix are dealt over buckets by their places, so that no document, group or bucket gathers all copies of a string.
+sampled by Spark range-partition the suffixes by their leading sixteen bytes, then by a hash of the whole suffix, so
+that equal suffixes stay neighbours behind any common beginning; each bucket is sorted by multikey quicksort and
+neighbours are compared byte by byte. Only rows of one and the same suffix are dealt over buckets by their places, so
+that no document, group or bucket gathers all copies of a string; the suffixes at a bucket's two ends are compared
+with the ends of all others.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import operator
 from collections.abc import Iterator
@@ -26,8 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm.common import Scratch
@@ -231,12 +233,26 @@ def multikey_quicksort(suffixes: list[bytes], small: int = 4096) -> np.ndarray:
     return order
 
 
-_SORTED = "bucket int, edge int, hit boolean, k1 long, k2 long, first long, size long, suffix binary"
+_SORTED = "edge boolean, hit boolean, k1 long, k2 long, first long, size long, suffix binary"
+LEADING = 16
+
+
+def _edges(line: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """Of suffixes in order: those with the least and with the greatest (leading bytes, hash), the first of equal ones."""
+    out = np.zeros(len(line), bool)
+    for end, pick in ((0, np.min), (-1, np.max)):
+        lead = line[end][:LEADING]
+        # In order, the rows of one beginning are neighbours at this end.
+        low = bisect.bisect_left(line, lead, key=lambda x: x[:LEADING])
+        high = bisect.bisect_right(line, lead, key=lambda x: x[:LEADING])
+        rows = low + np.flatnonzero(hashes[low:high] == pick(hashes[low:high]))
+        out[[i for k, i in enumerate(rows.tolist()) if not k or line[i] != line[rows[k - 1]]]] = True
+    return out
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort one bucket; yield the suffixes equal to a neighbour, and both edges, with their bytes, for comparison with
-    other buckets."""
+    """Sort one bucket; yield the suffixes equal to a neighbour, and those at both ends of the bucket's range, with their
+    bytes, for comparison with other buckets."""
     found = [b for b in batches if b.num_rows]
     if not found:
         return
@@ -250,15 +266,12 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hit = np.zeros(len(order), bool)
     hit[1:] |= same
     hit[:-1] |= same
-    edge = np.zeros(len(order), np.int32)
-    edge[0] |= 1
-    edge[-1] |= 2
-    keep = np.flatnonzero(hit | (edge > 0))
-    bucket = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
+    edge = _edges(line, rows.column("hash").to_numpy()[order])
+    keep = np.flatnonzero(hit | edge)
     places = [rows.column(c).to_numpy()[order[keep]] for c in ("k1", "k2", "first")]
     places.append(np.fromiter((len(line[i]) for i in keep.tolist()), np.int64, len(keep)))
     sample = pa.array([line[i] if edge[i] else None for i in keep.tolist()], pa.binary())
-    columns = [*map(pa.array, (bucket, edge[keep], hit[keep], *places)), sample]
+    columns = [*map(pa.array, (edge[keep], hit[keep], *places)), sample]
     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SORTED.split(", ")])
 
 
@@ -349,14 +362,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     level3 = scratch.save(level3.mapInArrow(_suffix_rows(length), _UNITS), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), level3.count() // per_bucket + 1)
     scratch.drop("runs-found", "blocks-found")
-    ranged = level3.repartitionByRange(buckets, F.substring("suffix", 1, 16), "k1", "k2", "first")
+    hashed = level3.withColumn("hash", F.xxhash64("suffix"))
+    ranged = hashed.repartitionByRange(buckets, F.substring("suffix", 1, LEADING), "hash", "k1", "k2", "first")
     ordered = scratch.save(ranged.mapInArrow(_sort_bucket, _SORTED), "sorted")
-    # Two rows a bucket at most: does a bucket begin with the suffix that the one before ends with?
-    edges = ordered.filter("edge > 0").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("side")).filter("edge & side > 0")
-    line = Window.orderBy("bucket", "side")
-    same = lambda step: F.coalesce((F.lag("side", step).over(line) != F.col("side")) & (F.lag("suffix", step).over(line) == F.col("suffix")), F.lit(False))
-    joined = edges.select("k1", "k2", "first", "size", F.when(F.col("side") == 1, same(1)).otherwise(same(-1)).alias("hit"))
-    hits = ordered.filter("hit").select("k1", "k2", "first", "size").union(joined.filter("hit").select("k1", "k2", "first", "size"))
+    # About two rows a bucket: suffixes that stand at the ends of several buckets.
+    edges = ordered.filter("edge")
+    across = edges.groupBy("suffix").agg(F.count("*").alias("c")).filter("c > 1").select("suffix")
+    places = ["k1", "k2", "first", "size"]
+    hits = ordered.filter("hit").select(*places).union(edges.filter("not hit").join(across, "suffix", "left_semi").select(*places))
     hits = hits.withColumn("n", F.col("size") - (length - 1))
 
     more = hits.groupBy("k1", "k2").agg(F.collect_list(here).alias("more"))
