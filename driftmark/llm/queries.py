@@ -16,6 +16,7 @@ from driftmark.llm.packing import pack_documents
 from driftmark.llm.ranker import fit, score
 from driftmark.llm.sp_fst import encoding_digest
 from driftmark.llm.substring_dedup import repeated_spans
+from driftmark.llm.token_counts import token_counts
 from driftmark.llm.token_store import token_file_digest
 from driftmark.llm.wrapper import extract_main_text
 
@@ -61,6 +62,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}
