@@ -18,6 +18,7 @@ from driftmark.llm.sp_fst import encoding_digest
 from driftmark.llm.substring_dedup import repeated_spans
 from driftmark.llm.token_counts import token_counts
 from driftmark.llm.token_store import token_file_digest
+from driftmark.llm.whitening import whiten
 from driftmark.llm.wrapper import extract_main_text
 
 
@@ -66,6 +67,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), scale=256, components=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}
