@@ -11,6 +11,7 @@ from driftmark.llm.common import table
 from driftmark.llm.embed_lsh import lattice_duplicates
 from driftmark.llm.license_scan import license_scan
 from driftmark.llm.minhash import near_duplicates
+from driftmark.llm.periodic import periodic_runs, planted, run_digest
 from driftmark.llm.quality_rules import quality_rules
 from driftmark.llm.packing import pack_documents
 from driftmark.llm.ranker import fit, score
@@ -71,6 +72,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), scale=256, components=4)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(planted(table(spark, sf_dir, "documents")), least=24, exponent=3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}
