@@ -17,8 +17,9 @@ PROVISIONAL = "provisional_recent_low"
 NO_LOW = "no_recent_low_after_latest_peak"
 LATE_LOW = "provisional_trough_has_fewer_than_five_observations"
 SHORT_FALL = "provisional_fall_too_short"
+TOO_FEW = "too_few_confirmed_extrema"
 #: The status where only confirmed troughs count.
-LAST_IS_PEAK = "latest extremum is a peak"
+LAST_IS_PEAK = "latest_confirmed_extremum_is_peak"
 
 
 def segmented(bars: DataFrame, parts: int) -> DataFrame:
@@ -110,7 +111,7 @@ def active_trough(extrema: DataFrame, bars: DataFrame, least: int = 4, provision
     found = last.join(low, "ticker", "left")
     behind, fall = F.col("end") - F.col("low"), F.col("low") - F.col("pos")
     status: Column = (
-        F.when((F.col("kind") == "trough") & F.col("before").isNull(), "fewer than two extrema")
+        F.when((F.col("kind") == "trough") & F.col("before").isNull(), TOO_FEW)
         .when(F.col("kind") == "trough", CONFIRMED)
         .when(F.lit(not provisional), LAST_IS_PEAK)
         .when(F.coalesce("bars_after", F.lit(0)) < least + 1, NO_LOW)

@@ -15,11 +15,20 @@ from pyspark.sql import types as T
 
 from driftmark.functions import kernels
 from driftmark.operators.clean import finite
+from driftmark.operators.extrema import TOO_FEW
 from driftmark.operators.macro import month_index
 from driftmark.operators.series import along
 
 #: Places in the vector: 17 pattern values, 63 returns, 63 volume rates, 48 macro values.
 WIDTH = 191
+#: Reasons for which a ticker has no current row, beside the trough's statuses (fixed values).
+SHORT_HISTORY = "less_than_three_years_history"
+NEW_TROUGH = "trough_has_fewer_than_five_observations"
+BROKEN_TROUGH = "current_price_has_broken_below_confirmed_trough"
+NO_BENCHMARK = "benchmark_alignment_failed"
+NO_RETURNS = "insufficient_smoothed_return_history"
+NO_MACRO = "macro_window_unavailable"
+NOT_FINITE = "nonfinite_feature"
 
 
 def durations(moves: DataFrame, inclusive: bool = False, least: int = 4) -> DataFrame:
@@ -172,15 +181,15 @@ def current_rows(bars: DataFrame, extrema: DataFrame, trough: DataFrame, spacing
     ]
     vector = F.concat(F.array(*pattern), "returns", "rates", "macro")
     reason = (
-        F.when(F.col("history") < least_bars, "insufficient history")
-        .when(F.coalesce("extrema", F.lit(0)) < 2, "fewer than two extrema")
-        .when(F.col("trough").isNull(), F.coalesce("status", F.lit("no extremum")))
-        .when(F.col("duration") < 4, "fewer than four bars since the trough")
-        .when(F.col("current_price") < F.col("trough_price"), "price below the trough")
-        .when(F.col("beta").isNull(), "benchmark not aligned")
-        .when(F.col("returns").isNull(), "not enough trailing returns")
-        .when(F.col("macro").isNull(), "no macro window")
-        .when(~F.coalesce((F.size(vector) == WIDTH) & F.forall(vector, finite), F.lit(False)), "non-finite feature")
+        F.when(F.col("history") < least_bars, SHORT_HISTORY)
+        .when(F.coalesce("extrema", F.lit(0)) < 2, TOO_FEW)
+        .when(F.col("trough").isNull(), F.coalesce("status", F.lit(TOO_FEW)))
+        .when(F.col("duration") < 4, NEW_TROUGH)
+        .when(F.col("current_price") < F.col("trough_price"), BROKEN_TROUGH)
+        .when(F.col("beta").isNull(), NO_BENCHMARK)
+        .when(F.col("returns").isNull(), NO_RETURNS)
+        .when(F.col("macro").isNull(), NO_MACRO)
+        .when(~F.coalesce((F.size(vector) == WIDTH) & F.forall(vector, finite), F.lit(False)), NOT_FINITE)
     )
     gain = F.try_divide(100 * (F.col("current_price") - F.col("trough_price")), F.col("trough_price"))
     return rows.select(

@@ -53,14 +53,31 @@ def top(rows: DataFrame, n: int = 25, order: str = "score") -> DataFrame:
     return rows.orderBy(*(F.desc(c) for c in ORDERS[order]), "ticker").limit(n)
 
 
+#: The reason of tickers without bars, and what users are told (fixed values).
+NO_BARS = "missing_cache"
+MESSAGES = {
+    "download_failed": "Market Data is lacking",
+    "missing_cache": "Market Data is lacking",
+    "less_than_three_years_history": "Historical Data is lacking",
+    "macro_window_unavailable": "Macro Data is lacking",
+    "benchmark_alignment_failed": "Benchmark Data is lacking",
+    "insufficient_smoothed_return_history": "Return History Data is lacking",
+    "nonfinite_feature": "Usable Feature Data is lacking",
+    "no_recent_low_after_latest_peak": "Recent trough setup is lacking",
+    "provisional_trough_has_fewer_than_five_observations": "Recent trough setup is too new",
+    "provisional_fall_too_short": "Recent trough setup is too shallow in time",
+}
+
+
 def exclusions(universe: DataFrame, candidates: DataFrame) -> DataFrame:
     """(ticker, reason) of every ticker of the universe without a candidate row of its own."""
     why = candidates.filter("reason is not null").select("ticker", "reason")
-    absent = universe.join(candidates, "ticker", "left_anti").select("ticker", F.lit("no bars").alias("reason"))
+    absent = universe.join(candidates, "ticker", "left_anti").select("ticker", F.lit(NO_BARS).alias("reason"))
     return why.union(absent)
 
 
 def exclusion_report(excluded: DataFrame) -> DataFrame:
-    """Per reason: number and names, in order."""
+    """Per reason: number and names, in order, and the message for users, where the reason has one."""
     lists = excluded.groupBy("reason").agg(F.count("*").alias("n"), F.concat_ws(", ", F.array_sort(F.collect_list("ticker"))).alias("tickers"))
-    return lists.withColumn("message", F.concat(F.col("n").cast("string"), F.lit(" excluded: "), "reason"))
+    said = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
+    return lists.withColumn("message", F.try_element_at(said, "reason"))

@@ -337,7 +337,7 @@ def e8_spacing(spark, sf_dir):
     f"""WITH {SPACED}, l AS (SELECT ticker, pos, kind, lag(pos) OVER (PARTITION BY ticker ORDER BY pos) AS before FROM spaced
  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) = 1),
 a AS (SELECT l.ticker, count(*) AS after, arg_min(b.pos, (b.price, b.pos)) AS low, max(b.pos) AS fin FROM l JOIN bars b ON b.ticker = l.ticker AND b.pos > l.pos GROUP BY l.ticker),
-s AS (SELECT l.*, a.low, CASE WHEN kind = 'trough' AND before IS NULL THEN 'fewer than two extrema' WHEN kind = 'trough' THEN 'confirmed_trough' WHEN coalesce(after, 0) < 5 THEN 'no_recent_low_after_latest_peak'
+s AS (SELECT l.*, a.low, CASE WHEN kind = 'trough' AND before IS NULL THEN 'too_few_confirmed_extrema' WHEN kind = 'trough' THEN 'confirmed_trough' WHEN coalesce(after, 0) < 5 THEN 'no_recent_low_after_latest_peak'
  WHEN fin - low < 4 THEN 'provisional_trough_has_fewer_than_five_observations' WHEN low - pos < 4 THEN 'provisional_fall_too_short' ELSE 'provisional_recent_low' END AS status FROM l LEFT JOIN a USING (ticker))
 SELECT ticker, CASE status WHEN 'confirmed_trough' THEN pos WHEN 'provisional_recent_low' THEN low END AS trough,
  CASE status WHEN 'confirmed_trough' THEN before WHEN 'provisional_recent_low' THEN pos END AS before, status FROM s"""
@@ -643,16 +643,16 @@ _SQL["f10_current_rows"] = (
     _SAMPLES.replace("@more", "0")
     + f""", l AS (SELECT ticker, pos, kind, lag(pos) OVER (PARTITION BY ticker ORDER BY pos) AS before, count(*) OVER (PARTITION BY ticker) AS extrema FROM labelled QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) = 1),
 a AS (SELECT l.ticker, count(*) AS after, arg_min(b.pos, (b.price, b.pos)) AS low, max(b.pos) AS fin FROM l JOIN bars b ON b.ticker = l.ticker AND b.pos > l.pos GROUP BY l.ticker),
-u AS (SELECT l.*, low, CASE WHEN kind = 'trough' AND before IS NULL THEN 'fewer than two extrema' WHEN kind = 'trough' THEN 'confirmed_trough' WHEN coalesce(after, 0) < 5 THEN 'no_recent_low_after_latest_peak'
+u AS (SELECT l.*, low, CASE WHEN kind = 'trough' AND before IS NULL THEN 'too_few_confirmed_extrema' WHEN kind = 'trough' THEN 'confirmed_trough' WHEN coalesce(after, 0) < 5 THEN 'no_recent_low_after_latest_peak'
  WHEN fin - low < 4 THEN 'provisional_trough_has_fewer_than_five_observations' WHEN low - pos < 4 THEN 'provisional_fall_too_short' ELSE 'provisional_recent_low' END AS status FROM l LEFT JOIN a USING (ticker)),
 act AS (SELECT ticker, extrema, status, CASE status WHEN 'confirmed_trough' THEN pos WHEN 'provisional_recent_low' THEN low END AS trough FROM u),
 newest AS (SELECT ticker, max(pos) AS fin, count(*) AS history, arg_max(date, pos) AS data_date, arg_max(price, pos) AS current_price FROM bars GROUP BY ticker),
 now AS (SELECT n.*, status, coalesce(extrema, 0) AS extrema, trough, fin - trough AS duration, p.date AS trough_date, p.price AS trough_price, beta, rsi, vec.total AS past, (year(p.date) - {BASE_YEAR}) * 12 + month(p.date) - 2 AS mi
  FROM newest n LEFT JOIN act USING (ticker) LEFT JOIN bars p ON p.ticker = n.ticker AND p.pos = trough LEFT JOIN days d ON d.ticker = n.ticker AND d.pos = fin LEFT JOIN vec ON vec.ticker = n.ticker AND vec.j = fin // 2 - 2)
 SELECT ticker, data_date, trough_date, status AS trough_status, duration, round(beta, 5) AS beta, round(rsi, 5) AS rsi, round(current_price, 6) AS current_price, round(trough_price, 6) AS trough_price,
- round(100 * (current_price - trough_price) / trough_price, 6) AS current_gain, history AS history_days, CASE WHEN history < 400 THEN 'insufficient history' WHEN extrema < 2 THEN 'fewer than two extrema'
- WHEN trough IS NULL THEN status WHEN duration < 4 THEN 'fewer than four bars since the trough' WHEN current_price < trough_price THEN 'price below the trough' WHEN beta IS NULL THEN 'benchmark not aligned'
- WHEN past IS NULL THEN 'not enough trailing returns' WHEN mi NOT IN (SELECT idx FROM win) AND NOT mi BETWEEN (SELECT max(idx) + 1 FROM win) AND 119 THEN 'no macro window' END AS reason FROM now"""
+ round(100 * (current_price - trough_price) / trough_price, 6) AS current_gain, history AS history_days, CASE WHEN history < 400 THEN 'less_than_three_years_history' WHEN extrema < 2 THEN 'too_few_confirmed_extrema'
+ WHEN trough IS NULL THEN status WHEN duration < 4 THEN 'trough_has_fewer_than_five_observations' WHEN current_price < trough_price THEN 'current_price_has_broken_below_confirmed_trough' WHEN beta IS NULL THEN 'benchmark_alignment_failed'
+ WHEN past IS NULL THEN 'insufficient_smoothed_return_history' WHEN mi NOT IN (SELECT idx FROM win) AND NOT mi BETWEEN (SELECT max(idx) + 1 FROM win) AND 119 THEN 'macro_window_unavailable' END AS reason FROM now"""
 )
 _SQL["f11_training_panel"] = (
     _SAMPLES.replace("@more", "1") + " SELECT ticker, count(*) AS samples, count(DISTINCT strftime(extremum_date, '%Y%m-%d') || '-' || duration) AS keys, round(avg(target), 6) AS mean_target FROM sample WHERE total IS NOT NULL GROUP BY ticker"
@@ -984,13 +984,13 @@ def q6_top(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BARS}, h AS (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker), x AS (SELECT n_name AS ticker, CASE WHEN h.n IS NULL THEN 'no bars' WHEN h.n < 1500 THEN 'insufficient history' END AS reason FROM nation LEFT JOIN h ON n_name = h.ticker)
-SELECT reason, count(*) AS n, string_agg(ticker, ', ' ORDER BY ticker) AS tickers, count(*) || ' excluded: ' || reason AS message FROM x WHERE reason IS NOT NULL GROUP BY reason"""
+    f"""WITH {BARS}, h AS (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker), x AS (SELECT n_name AS ticker, CASE WHEN h.n IS NULL THEN 'missing_cache' WHEN h.n < 1500 THEN 'less_than_three_years_history' END AS reason FROM nation LEFT JOIN h ON n_name = h.ticker)
+SELECT reason, count(*) AS n, string_agg(ticker, ', ' ORDER BY ticker) AS tickers, CASE reason WHEN 'missing_cache' THEN 'Market Data is lacking' ELSE 'Historical Data is lacking' END AS message FROM x WHERE reason IS NOT NULL GROUP BY reason"""
 )
 def q7_exclusions(spark, sf_dir):
     universe = src.table(spark, sf_dir, "nation").select(F.col("n_name").alias("ticker"))
     h = bars_of(spark, sf_dir).groupBy("ticker").agg(F.count("*").alias("n"))
-    return rank.exclusion_report(rank.exclusions(universe, h.select("ticker", F.when(F.col("n") < 1500, "insufficient history").alias("reason"))))
+    return rank.exclusion_report(rank.exclusions(universe, h.select("ticker", F.when(F.col("n") < 1500, features.SHORT_HISTORY).alias("reason"))))
 
 
 @query()

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftmark.functions import kernels
 from driftmark.operators import clean, extrema, features, macro, series, stats
@@ -76,7 +77,7 @@ def test_spacing_drops_the_earlier(spark):
     assert sorted(r["pos"] for r in got) == [133, 140]
 
 
-@pytest.mark.parametrize("tail,status", [([9, 8, 7, 6], "too few bars after the peak"), ([9, 8, 7, 8, 6, 7, 8], "too few bars after the low"), ([9, 3, 4, 5, 6, 7, 8, 9], "fall too short"), ([9, 8, 7, 6, 5, 6, 7, 8, 9], "provisional_recent_low")])
+@pytest.mark.parametrize("tail,status", [([9, 8, 7, 6], extrema.NO_LOW), ([9, 8, 7, 8, 6, 7, 8], extrema.LATE_LOW), ([9, 3, 4, 5, 6, 7, 8, 9], extrema.SHORT_FALL), ([9, 8, 7, 6, 5, 6, 7, 8, 9], "provisional_recent_low")])
 def test_active_trough(spark, tail, status):
     b = bars(spark, [5.0] * 3 + [10.0] + tail)
     e = spark.createDataFrame([("A", 1, "trough"), ("A", 3, "peak")], "ticker string, pos int, kind string")
@@ -150,7 +151,7 @@ def test_last_extremum_must_be_a_trough_in_the_older_version(spark):
     b = bars(spark, walk(60))
     turns = spark.createDataFrame([("A", 20, "trough"), ("A", 40, "peak")], "ticker string, pos int, kind string")
     assert extrema.active_trough(turns, b, provisional=False).first()["status"] == extrema.LAST_IS_PEAK
-    assert extrema.active_trough(turns.limit(1).union(turns.filter("false")), b, provisional=False).first()["status"] == "fewer than two extrema"
+    assert extrema.active_trough(turns.limit(1).union(turns.filter("false")), b, provisional=False).first()["status"] == "too_few_confirmed_extrema"
 
 
 def test_samples_are_draws_of_the_panel(spark):
