@@ -15,6 +15,7 @@ from driftmark.functions.kernels import savgol_matrix
 from driftmark.operators import calibrate, clean, extrema, features, macro, model, rank, series, stats
 from driftmark.sources import market as src
 from driftmark.sources.shared import saved, shared_path
+from driftmark.sources.versioned import Versioned
 from driftmark.streaming import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +147,16 @@ def s5_partitioned_write(spark, sf_dir):
     return spark.read.parquet(path).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
+@query(f"WITH {BARS} SELECT ticker, count(*) AS n, round(sum(CASE WHEN ticker < 'J' THEN 2 * volume ELSE volume END), 4) AS volume FROM bars GROUP BY ticker")
+def s5_replaced_tickers(spark, sf_dir):
+    """A table of versions: written whole, then changed for some tickers only."""
+    bars = saved(src.nation_bars(spark, sf_dir), "bars")
+    table = Versioned(spark, shared_path(spark, "versions"), "ticker", bars.schema)
+    table.replace(bars)
+    table.update(bars.filter("ticker < 'J'").withColumn("volume", F.col("volume") * 2))
+    return table.read().groupBy("ticker").agg(F.count("*").alias("n"), r(F.sum("volume"), 4).alias("volume"))
+
+
 @query(f"WITH {MOVES} SELECT (SELECT min(date) FROM bars) AS first_date, (SELECT max(date) FROM bars) AS last_date, (SELECT count(*) FROM bars) AS bar_rows, count(*) AS samples, count(DISTINCT ticker) AS tickers, round(min(target), 6) AS target_min, round(max(target), 6) AS target_max FROM moves")
 def s6_run_summary(spark, sf_dir):
     bars = written_bars(spark, sf_dir)
@@ -509,9 +520,9 @@ def current_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f11_training_panel(spark, sf_dir):
     key = F.concat_ws("-", F.date_format("extremum_date", "yyyyMM"), F.date_format("extremum_date", "dd"), F.col("duration").cast("string"))
     panel = sample_table(spark, sf_dir, inclusive=True).withColumn("sample_key", key)
-    path = shared_path(spark, "training")
-    src.write_partitioned(panel, path, "ticker")
-    return spark.read.parquet(path).groupBy("ticker").agg(F.count("*").alias("samples"), F.countDistinct("sample_key").alias("keys"), r(F.avg("target")).alias("mean_target"))
+    panel_table = Versioned(spark, shared_path(spark, "training"), "ticker", panel.schema)
+    panel_table.replace(panel, most=100_000)
+    return panel_table.read().groupBy("ticker").agg(F.count("*").alias("samples"), F.countDistinct("sample_key").alias("keys"), r(F.avg("target")).alias("mean_target"))
 
 
 # --- macro ---
@@ -1042,6 +1053,27 @@ def st1_daily_bars(spark, sf_dir):
     return spark.read.parquet(path + "/bars").select("key", "date", "open", "high", "low", "close", "ticks", r("price").alias("price"))
 
 
+_OPEN = _TICKS.replace("count(*) AS ticks", "count(*) AS ticks, sum(value) AS volume")
+
+
+@query(
+    f"WITH {_OPEN} SELECT key, date, open, high, low, close, ticks, round(volume, 4) AS volume, round((open + high + low + close) / 4, 6) AS price,"
+    " date + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 1 DAY FROM events) AS provisional FROM t"
+)
+def st1_open_days(spark, sf_dir):
+    """The stream in three pieces, stopped and started again between them: bars of days still open are there, and change."""
+    events = src.table(spark, sf_dir, "events")
+    path = shared_path(spark, "open-days")
+    edges = events.agg(F.percentile_approx("ts", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("x")).first()["x"]
+    piece = F.when(F.col("ts") <= edges[0], 0).when(F.col("ts") <= edges[1], 1).otherwise(2)
+    for k in range(3):
+        events.filter(piece == k).write.mode("append").parquet(path + "/ticks")
+        stream = spark.readStream.schema(events.schema).parquet(path + "/ticks")
+        ticks.keep_open_bars(stream, path + "/bars", path + "/state", key="event_type", tie="event_id").awaitTermination()
+    out = ticks.present_bars(spark, path + "/bars")
+    return out.select("key", "date", "open", "high", "low", "close", "ticks", r("volume", 4).alias("volume"), r("price").alias("price"), "provisional")
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder that a file stream can watch: the table written once more."""
     path = shared_path(spark, name)
