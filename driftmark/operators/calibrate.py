@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.functions.kernels import weighted_quantile
 from driftmark.operators.clean import finite
+from driftmark.operators.neighbours import nearest_cases
 from driftmark.operators.stats import value_ranks
 
 DESCRIPTORS = 12
@@ -96,66 +95,6 @@ def scaled(cases: DataFrame, scales: DataFrame, clip: float = 8.0) -> DataFrame:
     return both.withColumn("descriptor", F.transform(zipped, z)).drop("medians", "spreads")
 
 
-_FOUND = "query long, case long, distance double, residual double, weight double"
-
-
-def _closest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, cid: np.ndarray, r: np.ndarray, w: np.ndarray, k: int) -> pd.DataFrame:
-    parts = []
-    step = max(1, 4_000_000 // max(1, x.size))
-    for at in range(0, len(q), step):
-        d = np.sqrt(((q[at : at + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        order = np.lexsort((np.broadcast_to(cid, d.shape), d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(d)), order.shape[1])
-        pick = order.ravel()
-        parts.append(pd.DataFrame({"query": qid[at + rows], "case": cid[pick], "distance": d[rows, pick], "residual": r[pick], "weight": w[pick]}))
-    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("query", "case", "distance", "residual", "weight")})
-
-
-def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of each query, ties by the smaller case id."""
-    found = found.sort_values(["query", "distance", "case"], kind="stable")
-    return found[found.groupby("query").cumcount() < k]
-
-
-def nearest_cases(queries: DataFrame, cases: DataFrame, k: int = 800, held: int = 2_000_000) -> DataFrame:
-    """(query, case, distance, residual, weight): the k nearest cases of the same group, ties by the smaller case id.
-
-    queries(query, group, descriptor) meet cases(case, group, descriptor, residual, weight). The cases stay where they
-    are: queries are counted and broadcast, a slice of at most `held` / k of them at a time, and every task keeps the k
-    best of its cases for each query as it reads them. What is shuffled is k rows a query and task, whatever the
-    number of cases; no group is gathered.
-    """
-    n, most = queries.count(), max(1, held // k)
-    slices = max(1, -(-n // most))
-    part = F.pmod(F.xxhash64("query"), F.lit(slices))
-    chosen = cases.select("group", "case", "descriptor", "residual", "weight")
-    found = None
-    for s in range(slices):
-        mine = {}
-        for g, f in queries.filter(part == s).select("query", "group", "descriptor").toPandas().groupby("group"):
-            mine[g] = np.array(f["descriptor"].tolist(), float), f["query"].to_numpy()
-        one = chosen.mapInArrow(_streamed(queries.sparkSession.sparkContext.broadcast(mine), k), _FOUND)
-        found = one if found is None else found.union(one)
-    w = Window.partitionBy("query").orderBy("distance", "case")
-    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
-
-
-def _streamed(shared: Broadcast, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, pd.DataFrame] = {}
-        for batch in batches:
-            for g, f in batch.to_pandas().groupby("group"):
-                if g in shared.value:
-                    q, ids = shared.value[g]
-                    numbers = (f[c].to_numpy() for c in ("case", "residual", "weight"))
-                    now = _closest(q, ids, np.array(f["descriptor"].tolist(), float), *numbers, k)
-                    best[g] = now if g not in best else _best(pd.concat([best[g], now]), k)
-        for found in best.values():
-            yield pa.RecordBatch.from_pandas(found.astype({"query": "int64", "case": "int64"}), preserve_index=False)
-
-    return run
-
-
 _INTERVALS = "query long, q10 double, q50 double, q90 double, lower_coverage double, upper_coverage double, nearest double, neighbours int"
 
 

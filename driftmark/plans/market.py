@@ -908,10 +908,21 @@ def k5_nearest(spark, sf_dir):
     return found.select("query", "case", r("distance", 5).alias("distance"))
 
 
-@query(_SQL["k5_nearest"])
-def k5_nearest_blocks(spark, sf_dir):
-    found = calibrate.nearest_cases(_queries_of(spark, sf_dir), _cases_of(spark, sf_dir), 20, held=100)
-    return found.select("query", "case", r("distance", 5).alias("distance"))
+@query(
+    """WITH n0 AS (SELECT q.l_orderkey * 8 + q.l_linenumber AS query, c.l_orderkey * 8 + c.l_linenumber AS "case", sqrt((q.l_quantity - c.l_quantity) ** 2 + (q.l_discount - c.l_discount) ** 2 * 10000 + (q.l_extendedprice - c.l_extendedprice) ** 2 / 1000000) AS d
+ FROM x q JOIN x c ON q.l_returnflag = c.l_returnflag WHERE (q.l_orderkey * 8 + q.l_linenumber) % 997 = 0)
+SELECT query, "case", round(d, 5) AS distance FROM n0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, "case") <= 20""".replace(
+        "WITH ", "WITH x AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_extendedprice) AS l_extendedprice, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL), "
+    )
+)
+def k5_nearest_lines(spark, sf_dir):
+    """Groups of many cases, found over pivots: for every 997th line of an order, the lines most like it."""
+    lines = src.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice", "l_returnflag")))
+    near = F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_extendedprice") / 1000)
+    cases = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("case"), F.col("l_returnflag").alias("group"), near.alias("descriptor"), F.lit(0.0).alias("residual"), F.lit(1.0).alias("weight"))
+    cases = saved(cases, "lines")
+    asked = cases.filter(F.col("case") % 997 == 0).select(F.col("case").alias("query"), "group", "descriptor")
+    return calibrate.nearest_cases(asked, cases, 20).select("query", "case", r("distance", 5).alias("distance"))
 
 
 def _quantile_sql(q: float) -> str:

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own; a
+    cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _LOCAL[0]
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is not set, in the warehouse, which the cluster shares too."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/driftmark-scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver ends: lazy results may read it until then."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    fs.deleteOnExit(at)
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
