@@ -111,6 +111,82 @@ def peakiness_all(legs: list, longer: bool = False, most: int = 600) -> np.ndarr
     return out
 
 
+def _smoother(m: int, longer: bool) -> tuple[int, int]:
+    """Window and order for a leg of m points."""
+    return 2 * half_even((m if longer else m - 3) / 8) + 3, min(half_even(m / 3) - 2, 2)
+
+
+def prefix_bends(x: np.ndarray, longer: bool = False) -> np.ndarray:
+    """peakiness() of the first m points of each row of x, in column m - 1, for all m at once.
+
+    Prefixes of one window and order share their smoothed inner points, and their largest bend so far is a running
+    maximum; each prefix adds only the fit of its last window. All rows are taken together.
+    """
+    n = x.shape[1]
+    out = np.full(x.shape, np.nan)
+    same: dict[tuple[int, int], list[int]] = {}
+    for m in range(3, n + 1):
+        window, order = _smoother(m, longer)
+        if m >= window and 0 <= order < window:
+            same.setdefault((window, order), []).append(m)
+    for (window, order), sizes in same.items():
+        c, h = savgol_matrix(window, order), window // 2
+        top = sizes[-1]
+        windows = np.lib.stride_tricks.sliding_window_view(x[:, :top], window, axis=1)  # (rows, top - window + 1, window)
+        middle = windows @ c[h]
+        inner = np.zeros(middle.shape)  # the largest bend at inner points up to and with each window's middle
+        if middle.shape[1] > 2:
+            inner[:, 1:-1] = np.abs(np.diff(middle, 2, axis=1))
+        inner = np.maximum.accumulate(inner, axis=1)
+        first = windows[:, 0]
+        head = np.abs(first @ np.diff(c[: h + 1], 2, axis=0).T).max(axis=1, initial=0.0)
+        turn = np.abs(first @ c[h - 1] - 2 * middle[:, 0] + middle[:, 1]) if middle.shape[1] > 1 else np.zeros(len(x))
+        rest = np.diff(c[h:], 2, axis=0)
+        for m in sizes:
+            j = m - window
+            if j == 0:
+                out[:, m - 1] = np.abs(first @ np.diff(c, 2, axis=0).T).max(axis=1, initial=0.0)
+                continue
+            last = windows[:, j]
+            tail = np.abs(last @ rest.T).max(axis=1, initial=0.0)
+            join = np.abs(middle[:, j - 1] - 2 * middle[:, j] + last @ c[h + 1])
+            out[:, m - 1] = np.maximum.reduce([head, turn, inner[:, j - 1], tail, join])
+    return out
+
+
+def leg_path(prices: list, volumes: list, least: int, longer: bool = False, cells: int = 1 << 20) -> list[np.ndarray]:
+    """For each leg an array (6, durations): the bend of the volumes so far, their maximum, and the four quarter slopes of
+    the prices so far, at the durations from `least` to the whole leg. Legs of like length are stacked and filled up.
+
+    Quarters and slopes are those of the first `duration` steps of a leg; a price of 0 at its start gives no number.
+    """
+    size = np.array([len(p) for p in prices], np.int64)
+    out: list[np.ndarray] = [np.zeros((6, 0))] * len(size)
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > least]
+    low = 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and size[order[high]] <= 1.5 * size[order[low]] + 8 and (high - low + 1) * size[order[high]] <= cells:
+            high += 1
+        legs = order[low:high]
+        n = int(size[legs[-1]])
+        p, v = np.zeros((len(legs), n)), np.zeros((len(legs), n))
+        for k, i in enumerate(legs):
+            p[k, : size[i]], v[k, : size[i]] = prices[i], volumes[i]
+        d = np.arange(least, n)
+        edge = np.stack([q * (d // 4) + np.minimum(q, d % 4) for q in range(5)])
+        at = p[:, edge]  # (legs, 5, durations)
+        with np.errstate(all="ignore"):
+            slopes = 100 * np.diff(at, axis=1) / (p[:, :1, None] * (np.diff(edge, axis=0) * d)[None])
+        bends, most = prefix_bends(v, longer)[:, least:], np.maximum.accumulate(v, axis=1)[:, least:]
+        every = np.concatenate([bends[:, None], most[:, None], slopes], axis=1)
+        for k, i in enumerate(legs):
+            out[i] = every[k, :, : size[i] - least]
+        low = high
+    return out
+
+
 def weighted_quantile(values: np.ndarray, weights: np.ndarray, q) -> np.ndarray:
     """Quantiles by midpoints of cumulated weight, over the last midpoint; negative weights count as 0. Plain ones where
     the last midpoint is 0."""

@@ -7,8 +7,11 @@ narrow until the vector is put together last.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +126,36 @@ def _bend(longer: bool):
     return value
 
 
+#: What a leg is at each of its durations, beside the duration itself.
+PATH = ("rise_bend", "rise_max", "r0", "r1", "r2", "r3")
+
+
+def paths(moves: DataFrame, prices: str, volumes: str, inclusive: bool = False, least: int = 4) -> DataFrame:
+    """One row per move and duration from `least` to gap - 1 (inclusive: to gap): the move's columns but its arrays,
+    duration, end and PATH, the bend and maximum of the volumes and the quarter slopes of the prices so far.
+
+    moves holds `this` and the leg from it to the next extremum as arrays of gap + 1 values. All durations of a leg come out
+    of one kernel, so that no row carries a piece of the leg.
+    """
+    keep = [f for f in moves.schema.fields if f.name not in (prices, volumes)]
+    schema = T.StructType([*keep, T.StructField("duration", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in PATH)])
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0) for x in batch.column(c)] for c in (prices, volumes)]
+            found = kernels.leg_path(*lists, least)
+            if not inclusive:
+                found = [x[:, :-1] for x in found]
+            count = np.array([x.shape[1] for x in found], np.int64)
+            rows = batch.select(names).take(pa.array(np.repeat(np.arange(len(count)), count)))
+            duration = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + least
+            every = np.concatenate([np.zeros((len(PATH), 0)), *found], axis=1)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(duration.astype(np.int32)), *map(pa.array, every)], names=[*names, "duration", *PATH])
+
+    return moves.mapInArrow(run, schema).withColumn("end", F.col("this") + F.col("duration"))
+
+
 rise_peakiness = _bend(False)
 fall_peakiness = _bend(True)
 
@@ -140,11 +173,8 @@ def samples(moves: DataFrame, bars: DataFrame, extrema: DataFrame, spacing: Data
     dates = bars.select("ticker", F.col("pos").alias("this"), F.col("date").alias("extremum_date"))
     ends = bars.select("ticker", F.col("pos").alias("next"), F.col("date").alias("next_date"))
     per_move = per_move.join(dates, ["ticker", "this"]).join(ends, ["ticker", "next"]).join(spacing, "ticker").join(rise, ["ticker", "k"])
-    # Long gaps make many rows: spread them by move before the arrays are cut.
-    rows = durations(per_move.repartition("ticker", "k"), inclusive)
-    part = lambda c: F.slice(c, 1, F.col("duration") + 1)
-    rows = rows.withColumns({"rise": part("rp"), "rvol": part("rv")})
-    rows = rows.withColumns({"rise_bend": rise_peakiness("rvol"), "rise_max": F.array_max("rvol")} | {f"r{i}": c for i, c in enumerate(quarter_slopes(F.col("rise"), F.col("duration")))}).drop("rp", "rv", "rise", "rvol")
+    # Long gaps make many rows: moves are spread before their durations come out.
+    rows = paths(per_move.repartition("ticker", "k"), "rp", "rv", inclusive)
     rows = rows.join(day.select("ticker", F.col("pos").alias("end"), F.col("date").alias("end_date"), "beta", "rsi", "mean_volume"), ["ticker", "end"])
     rows = rows.withColumn("j", F.floor(F.col("end") / 2) - 2).join(vectors, ["ticker", "j"])
     rows = rows.withColumn("idx", month_index(F.col("extremum_date"), base_year) - 1).join(F.broadcast(macro), "idx")

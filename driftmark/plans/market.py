@@ -83,8 +83,14 @@ def benchmark_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.typical_price(src.benchmark_bars(spark, sf_dir))
 
 
+def bars_and_benchmark(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """bars_of and benchmark_of from one scan of the trades: a day's trades of all tickers are those of each together."""
+    days = saved(src.trading_days(spark, sf_dir), "days")
+    return clean.numbered(clean.typical_price(src.day_bars(days.filter("ticker is not null")))), clean.typical_price(src.day_bars(src.day_totals(days)))
+
+
 def aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.align_benchmark(bars_of(spark, sf_dir), benchmark_of(spark, sf_dir))
+    return clean.align_benchmark(*bars_and_benchmark(spark, sf_dir))
 
 
 def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +199,8 @@ SELECT ticker, date, round(coalesce(last_value(b IGNORE NULLS) OVER (PARTITION B
  first_value(b IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bench FROM j"""
 )
 def c5_align_benchmark(spark, sf_dir):
-    gaps = benchmark_of(spark, sf_dir).filter(F.dayofmonth("date") > 9)
-    return clean.align_benchmark(bars_of(spark, sf_dir), gaps).select("ticker", "date", r("bench").alias("bench"))
+    bars, benchmark = bars_and_benchmark(spark, sf_dir)
+    return clean.align_benchmark(bars, benchmark.filter(F.dayofmonth("date") > 9)).select("ticker", "date", r("bench").alias("bench"))
 
 
 @query(f"WITH {BARS} SELECT ticker, date, pos FROM bars")
@@ -419,9 +425,9 @@ def f4_fall_quarters(spark, sf_dir):
 @query(f"WITH {MOVES}, x AS (SELECT ticker, this, unnest(range(4, gap)) AS duration FROM moves) SELECT ticker, this, duration, {_quarters('this', 'duration')} FROM x")
 def f4_rise_quarters(spark, sf_dir):
     bars = written_bars(spark, sf_dir)
-    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir, bars))).select("ticker", F.col("leg").alias("k"), "prices")
-    rows = features.durations(plain_moves(spark, sf_dir, bars)).join(leg, ["ticker", "k"])
-    return rows.select("ticker", "this", "duration", *(r(c, 8).alias(f"q{i}") for i, c in enumerate(features.quarter_slopes(F.col("prices"), F.col("duration")))))
+    leg = features.legs(bars, extrema.spaced(turns_of(spark, sf_dir, bars))).select("ticker", F.col("leg").alias("k"), "prices", "volumes")
+    rows = features.paths(plain_moves(spark, sf_dir, bars).join(leg, ["ticker", "k"]), "prices", "volumes")
+    return rows.select("ticker", "this", "duration", *(r(f"r{i}", 8).alias(f"q{i}") for i in range(4)))
 
 
 @query(f"WITH {MOVES} SELECT m.ticker, this, max(volume) FILTER (pos <= this) AS fall_max, max(volume) FILTER (pos >= this) AS rise_max FROM moves m JOIN bars b ON b.ticker = m.ticker AND pos BETWEEN before AND next GROUP BY ALL")

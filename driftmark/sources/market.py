@@ -64,13 +64,37 @@ def _ohlc(lines: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uneven bars: one ticker for each suppliers' nation."""
+def _keyed_lines(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """Trades with their ticker, the nation of the supplier."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("ticker"))
-    keyed = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"]).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    return _ohlc(keyed, "ticker")
+    return lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"], how).join(nations, F.col("s_nationkey") == F.col("n_nationkey"), how)
+
+
+def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uneven bars: one ticker for each suppliers' nation."""
+    return _ohlc(_keyed_lines(spark, sf_dir), "ticker")
+
+
+def trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, date, first, last, high, low, volume): a day's trades of each ticker, in a form that merges further; first
+    and last are (order, price). Trades without a ticker count for the whole market alone."""
+    price = F.col("l_extendedprice")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price.alias("price"))
+    return _keyed_lines(spark, sf_dir, "left").groupBy("ticker", F.to_date("l_shipdate").alias("date")).agg(
+        F.min(order).alias("first"), F.max(order).alias("last"), F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").alias("volume")
+    )
+
+
+def day_totals(days: DataFrame) -> DataFrame:
+    """trading_days of all tickers together."""
+    return days.groupBy("date").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+
+
+def day_bars(days: DataFrame) -> DataFrame:
+    keys = [c for c in ("ticker", "date") if c in days.columns]
+    return days.select(*keys, F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "volume")
 
 
 def flag_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

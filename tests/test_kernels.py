@@ -108,3 +108,24 @@ def test_negative_weights_count_as_none():
     v, w = np.array([3.0, 1.0, 2.0]), np.array([1.0, -5.0, 1.0])
     assert np.allclose(k.weighted_quantile(v, w, [0.1, 0.5, 0.9]), k.weighted_quantile(v, np.maximum(w, 0), [0.1, 0.5, 0.9]))
     assert np.allclose(k.weighted_quantile(v, -np.abs(w), [0.5]), [2.0])
+
+
+@pytest.mark.parametrize("longer", [False, True])
+def test_bends_of_all_prefixes(longer):
+    x = np.random.default_rng(8).uniform(0, 5, (5, 90))
+    got = k.prefix_bends(x, longer)
+    want = np.array([[k.peakiness(row[: m + 1], longer) for m in range(90)] for row in x])
+    assert np.allclose(got, want, equal_nan=True)
+
+
+def test_leg_paths_against_each_duration():
+    rng = np.random.default_rng(9)
+    sizes = [0, 3, 4, 5, 6, 7, 11, 12, 30, 31, 33, 120]
+    legs = [(rng.uniform(1, 9, n), rng.uniform(0, 4, n)) for n in sizes]
+    for cells in (1, 1 << 20):
+        got = k.leg_path([p for p, _ in legs], [v for _, v in legs], 4, cells=cells)
+        for (p, v), found in zip(legs, got):
+            assert found.shape == (6, max(0, len(p) - 4))
+            for d in range(4, len(p)):
+                slopes = [q.mean() / d for q in np.array_split(np.diff(p[: d + 1]) / p[0] * 100, 4)]
+                assert np.allclose(found[:, d - 4], [k.peakiness(v[: d + 1]), v[: d + 1].max(), *slopes], equal_nan=True)
