@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftmark.functions.kernels import savgol_matrix
 from driftmark.operators import calibrate, clean, extrema, features, macro, model, rank, series, stats
 from driftmark.sources import market as src
-from driftmark.sources.shared import saved, shared_path
+from driftmark.sources.shared import bucketed, saved, shared_path
 from driftmark.sources.versioned import Versioned
 from driftmark.streaming import ticks
 
@@ -94,8 +94,8 @@ def aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bars_of written once, for plans that use it in several places."""
-    return saved(bars_of(spark, sf_dir), "bars")
+    """bars_of written once, for plans that use it in several places; windows by ticker need no exchange."""
+    return bucketed(bars_of(spark, sf_dir), "bars", "ticker", "pos")
 
 
 def turns_of(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
@@ -129,6 +129,21 @@ def s1_bars_between(spark, sf_dir):
     return src.read_bars(spark, path, "1996-01-01", "1998-01-01").groupBy("ticker").agg(F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+@query(f"WITH {BARS} SELECT ticker, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM bars")
+def s1_wide_download(spark, sf_dir):
+    """Bars spread over one column a field and ticker, written, and made long again."""
+    tickers = [x["n_name"] for x in src.table(spark, sf_dir, "nation").select("n_name").collect()]  # a column each
+    path = shared_path(spark, "wide")
+    src.wide_bars(src.nation_bars(spark, sf_dir), sorted(tickers)).write.parquet(path)
+    return src.long_bars(spark.read.parquet(path)).select("ticker", "date", *(r(c, 4).alias(c) for c in ("open", "high", "low", "close")), "volume")
+
+
+@query(f"WITH {BARS} SELECT ticker, pos, round(100 * (price - lag(price) OVER w) / lag(price) OVER w, 6) AS change FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY pos)")
+def s1_bars_by_ticker(spark, sf_dir):
+    """Changes over the table of bars that is stored by ticker."""
+    return written_bars(spark, sf_dir).select("ticker", "pos", r(series.change("price", series.along())).alias("change"))
+
+
 @query(f"WITH {MONTHLY} SELECT series_id, count(*) AS n, round(sum(value), 4) AS total FROM monthly WHERE month(month) <> 7 GROUP BY series_id")
 def s2_numeric_series(spark, sf_dir):
     m = src.monthly_series(spark, sf_dir)
@@ -455,7 +470,7 @@ def f5_mean_volume(spark, sf_dir):
 def _swing(spark: SparkSession, sf_dir: str, start: int | None = None, inclusive: bool = False):
     """Bars, raw and filtered extrema, moves and everything else that samples are made of, cut from the lineage once."""
     bars = aligned_bars(spark, sf_dir)
-    bars = saved(bars.repartition("ticker"), "bars")
+    bars = bucketed(bars, "bars", "ticker", "pos")
     raw = saved(extrema.raw_extrema(extrema.segment_extrema(bars)), "extrema")
     kept = extrema.spaced(raw)
     moves = extrema.transitions(kept, bars, start)

@@ -14,6 +14,40 @@ def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str
     return between(bars, start, end)
 
 
+#: Fields of a wide download, in the order of BAR_SCHEMA's numbers.
+FIELDS = ("open", "high", "low", "close", "volume")
+
+
+def long_bars(wide: DataFrame, separator: str = "|") -> DataFrame:
+    """Daily bars of a wide table: date, and one column a field and ticker, named like `open|AAA`, in any order.
+
+    Each row becomes one row a ticker by an array of structs, without a shuffle; days on which a ticker has no value at
+    all are left out. A ticker that lacks a field, or a column of another shape, is an error that names it.
+    """
+    found: dict[str, dict[str, str]] = {}
+    for c in wide.columns:
+        if c == "date":
+            continue
+        field, _, ticker = c.partition(separator)
+        if field.lower() not in FIELDS or not ticker:
+            raise ValueError(f"column {c} is not a field and a ticker")
+        found.setdefault(ticker, {})[field.lower()] = c
+    lacking = sorted(f"{t}: {f}" for t, have in found.items() for f in FIELDS if f not in have)
+    if lacking or "date" not in wide.columns:
+        raise ValueError(f"missing columns: {', '.join(lacking or ['date'])}")
+    value = lambda c: F.col("`" + c.replace("`", "``") + "`").cast("double")
+    each = [F.struct(F.lit(t).alias("ticker"), *(value(have[f]).alias(f) for f in FIELDS)) for t, have in sorted(found.items())]
+    rows = wide.select(F.to_date("date").alias("date"), F.explode(F.array(*each)).alias("x")).select("x.ticker", "date", *(f"x.{f}" for f in FIELDS))
+    return rows.filter(F.coalesce(*FIELDS).isNotNull())
+
+
+def wide_bars(bars: DataFrame, tickers: list[str], separator: str = "|") -> DataFrame:
+    """The inverse of long_bars, for the named tickers."""
+    firsts = [F.first(f, True).alias(f) for f in FIELDS]
+    wide = bars.groupBy("date").pivot("ticker", tickers).agg(*firsts)
+    return wide.select("date", *(F.col(f"`{t}_{f}`").alias(f"{f}{separator}{t}") for f in FIELDS for t in tickers))
+
+
 def between(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start:
         bars = bars.filter(F.col("date") >= F.lit(start).cast("date"))

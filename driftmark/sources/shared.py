@@ -38,3 +38,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+    """df written as a table of as many buckets by key as shuffles have partitions, sorted by key and order: windows and
+    groupings by key then read it without an exchange, and with that many tasks however few bytes it has."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    write = df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order)
+    write.format("parquet").option("path", shared_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
