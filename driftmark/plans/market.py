@@ -468,19 +468,20 @@ def f5_mean_volume(spark, sf_dir):
 
 
 def _swing(spark: SparkSession, sf_dir: str, start: int | None = None, inclusive: bool = False):
-    """Bars, raw and filtered extrema, moves and everything else that samples are made of, cut from the lineage once."""
-    bars = aligned_bars(spark, sf_dir)
+    """Bars, raw and filtered extrema, moves and the benchmark: what samples are made of, cut from the lineage once."""
+    plain, benchmark = bars_and_benchmark(spark, sf_dir)
+    bars = clean.align_benchmark(plain, benchmark)
     bars = bucketed(bars, "bars", "ticker", "pos")
     raw = saved(extrema.raw_extrema(extrema.segment_extrema(bars)), "extrema")
     kept = extrema.spaced(raw)
     moves = extrema.transitions(kept, bars, start)
-    return bars, raw, kept, moves
+    return bars, raw, kept, moves, benchmark
 
 
-def _macro_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _macro_windows(spark: SparkSession, sf_dir: str, benchmark: DataFrame) -> DataFrame:
     cal = calendar_of(spark)
     m = macro.reindexed(src.monthly_series(spark, sf_dir), cal)
-    vix = macro.monthly_mean(benchmark_of(spark, sf_dir)).select(F.lit("index").alias("series_id"), "month", "value")
+    vix = macro.monthly_mean(benchmark).select(F.lit("index").alias("series_id"), "month", "value")
     rates = macro.rate_feature(m, 0.455).join(cal.select("idx", "month"), "idx").select(F.concat("series_id", F.lit(" rate")).alias("series_id"), "month", "value")
     yearly = macro.yearly_change(m.filter("series_id like '1%'")).select(F.lit("yearly").alias("series_id"), "month", "value")
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED rate", "5-LOW rate", "index", "yearly"]
@@ -488,9 +489,9 @@ def _macro_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_table(spark: SparkSession, sf_dir: str, inclusive: bool = False) -> DataFrame:
-    bars, raw, kept, moves = _swing(spark, sf_dir)
+    bars, raw, kept, moves, benchmark = _swing(spark, sf_dir)
     vectors = saved(series.trailing_vectors(series.pair_series(bars)), "vectors")
-    return features.samples(moves, bars, kept, extrema.mean_spacing(bars, raw), vectors, _macro_windows(spark, sf_dir), BASE_YEAR, inclusive)
+    return features.samples(moves, bars, kept, extrema.mean_spacing(bars, raw), vectors, _macro_windows(spark, sf_dir, benchmark), BASE_YEAR, inclusive)
 
 
 def _bend_sql(of: str, legs: str = "leg") -> str:
@@ -528,10 +529,10 @@ def f10_current_rows(spark, sf_dir):
 
 
 def current_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, raw, kept, _ = _swing(spark, sf_dir)
+    bars, raw, kept, _, benchmark = _swing(spark, sf_dir)
     vectors = saved(series.trailing_vectors(series.pair_series(bars)), "vectors")
     # The price tables outlast the monthly ones: the newest macro window stands for later months.
-    m = _macro_windows(spark, sf_dir)
+    m = _macro_windows(spark, sf_dir, benchmark)
     newest = m.agg(F.max_by("macro", "idx").alias("macro"), F.max("idx").alias("last"))
     later = spark.range(0, 120).select(F.col("id").cast("int").alias("idx")).crossJoin(F.broadcast(newest)).filter("idx > last").select("idx", "macro")
     return features.current_rows(bars, kept, extrema.active_trough(kept, bars), extrema.mean_spacing(bars, raw), vectors, m.union(later), BASE_YEAR, 400)
