@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, one is made in the warehouse, which the
-    cluster shares as well; never in a folder of the driver's machine alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/driftmark-scratch"
+from driftmark.sources.shared import shared_path
 
 
 class Scratch:
     """Parquet tables of one operator run in the shared folder.
 
     A saved table cuts the lineage: its reader needs neither the shuffle files nor the executors that
-    made it. ``drop`` removes a table that nothing reads any more.
+    made it. ``drop`` removes a table that nothing reads any more; what is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = shared_path(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,19 +47,6 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
-def paths_read(df: DataFrame) -> list[str] | None:
-    """The paths that df's own plan reads, cached or not. None: it has leaves that do not tell."""
-    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
-    for i in range(leaves.length()):
-        leaf = leaves.apply(i)
-        kind = leaf.getClass().getSimpleName()
-        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
-            out.append(leaf.relation().location().rootPaths().mkString(" "))
-        elif kind not in ("LocalRelation", "OneRowRelation", "Range"):
-            return None
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

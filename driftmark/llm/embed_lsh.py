@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import Scratch, connected_components
+from driftmark.llm.common import Scratch, connected_components, hot_join
 from driftmark.llm.hashing import U, mix
 
 
@@ -146,7 +146,8 @@ def lattice_duplicates(
     Two vectors of one label link when their cosine is at least `least`. Vectors of equal direction form one class
     before hashing and are counted, not paired. No bucket is capped. Vectors that are null, empty, zero or hold
     null or non-finite components, and rows with a null label or id, link with nothing; so do vectors of
-    different lengths. Repeated rows are copies and link with each other; their ids' component is shared. Other
+    different lengths. Repeated rows are copies and link with each other. Rows that repeat an id with another vector
+    share a component and the greatest of their numbers of links, and each of their vectors links with others. Other
     columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(vectors.sparkSession, "lattice")
@@ -154,24 +155,30 @@ def lattice_duplicates(
     rows = picked.filter("id is not null and label is not null and v is not null")
     schema = "id long, label long, c1 long, c2 long, unit binary, own array<long>, near array<long>"
     hashed = scratch.save(rows.mapInArrow(_hashed(tables, blocks, width, probes), schema), "hashed")
-    classes = scratch.save(hashed.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    members = hashed.select("id", "c1", "c2").join(classes, ["c1", "c2"]).select("id", "rep", "copies")
-    reps = hashed.join(classes.select(F.col("rep").alias("id"), "c1", "c2", "copies"), ["id", "c1", "c2"]).dropDuplicates(["id"])
-    reps = scratch.save(reps.select("id", "copies", "unit", "own", "near"), "reps")
-
-    stored = reps.select(F.col("id").alias("a"), F.explode("own").alias("key"))
-    asking = reps.select(F.col("id").alias("b"), F.explode(F.concat("own", "near")).alias("key"))
+    classes = scratch.save(hashed.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
+    # Different directions are numbered, since an id may have several.
+    reps = hashed.join(classes, ["id", "c1", "c2"]).dropDuplicates(["id", "c1", "c2"])
+    reps = scratch.save(reps.select(F.monotonically_increasing_id().alias("rep"), F.col("id").alias("least"), "c1", "c2", "copies", "unit", "own", "near"), "reps")
+    members = hashed.select("id", "c1", "c2").join(reps.select("rep", "least", "copies", "c1", "c2"), ["c1", "c2"])
+    members = scratch.save(members.select("id", "rep", "least", "copies"), "members")
+    shared_ids = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
+    by_id = members.select("id", "rep").join(shared_ids, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+    stored = reps.select(F.col("rep").alias("a"), F.explode("own").alias("key"))
+    asking = reps.select(F.col("rep").alias("b"), F.explode(F.concat("own", "near")).alias("key"))
     found = stored.join(asking, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    unit = lambda x: reps.select(F.col("id").alias(x), F.col("unit").alias(f"u{x}"))
+    unit = lambda x: reps.select(F.col("rep").alias(x), F.col("unit").alias(f"u{x}"))
     pairs = found.join(unit("a"), "a").join(unit("b"), "b").select("a", "b", "ua", "ub")
     links = scratch.save(pairs.mapInArrow(_cosine(least), "a long, b long"), "links")
 
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(reps.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    parts = connected_components(scratch, links)
-    found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
+    degree = both.join(reps.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    parts = connected_components(scratch, scratch.save(links.union(by_id), "all-links"))
+    named = parts.join(reps.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = hot_join(parts, named, "component", "node", parts, parts.count()).select(F.col("node").alias("rep"), "component_id")
+    found = members.join(named, "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
     found = found.groupBy("id").agg(
-        F.max(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id")
+        F.max(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.min(F.coalesce("component_id", "least")).alias("component_id")
     )
     out = picked.select("id").join(found, "id", "left")
     part = F.coalesce("component_id", "id")

@@ -105,12 +105,13 @@ def weighted_set(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(width: int, bands: int, rows: int, seed: int):
-    """(id, text) to (id, size, c1, c2, keys, sketch): c1 and c2 are equal for equal multisets; no keys without words."""
+    """(id, hash, text) to (id, hash, size, c1, c2, keys, sketch): c1 and c2 are equal for equal multisets; no keys without
+    words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, c1, c2, keys, drawn = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 elements, counts = weighted_set(text, width)
                 size.append(int(counts.sum()))
                 if not len(elements):
@@ -123,8 +124,8 @@ def _sign(width: int, bands: int, rows: int, seed: int):
                 keys.append(band_keys(signature, rows).view(np.int64))
                 drawn.append(sketch(signature).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in (size, c1, c2)), *(pa.array(c, pa.list_(pa.int64())) for c in (keys, drawn))],
-                names=["id", "size", "c1", "c2", "keys", "sketch"],
+                [*batch.columns[:2], *(pa.array(c, pa.int64()) for c in (size, c1, c2)), *(pa.array(c, pa.list_(pa.int64())) for c in (keys, drawn))],
+                names=["id", "hash", "size", "c1", "c2", "keys", "sketch"],
             )
 
     return run
@@ -185,19 +186,26 @@ def near_duplicates(
     not rule a link out (four standard deviations). No bucket or partner is capped.
 
     Texts shorter than `width` words are one shingle; texts without words, null ones included, and rows with a
-    null id link with nothing and are kept. Repeated rows fall in one class; rows that repeat an id stand or
-    fall together. Other columns are not read. An empty table gives no rows.
+    null id link with nothing and are kept. Repeated rows fall in one class; rows that repeat an id with other text
+    are linked by it, and each of their texts links with others. Other columns are not read. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = picked.mapInArrow(_sign(width, bands, rows, seed), "id long, size long, c1 long, c2 long, keys array<long>, sketch array<long>")
+    picked = picked.select("id", F.xxhash64("text").alias("hash"), "text")
+    signed = picked.mapInArrow(_sign(width, bands, rows, seed), "id long, hash long, size long, c1 long, c2 long, keys array<long>, sketch array<long>")
     signed = scratch.save(signed, "signed")
     usable = signed.filter("id is not null and c1 is not null")
-    copies = scratch.save(usable.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "copies")
-    # Rows of one multiset carry equal keys, so the representative's keys are those of its own row.
-    members = usable.select("id", "c1", "c2").join(copies, ["c1", "c2"]).select("id", "rep")
-    reps = usable.join(copies.select(F.col("rep").alias("id"), "c1", "c2"), ["id", "c1", "c2"])
-    reps = scratch.save(reps.select("id", "size", "keys", "sketch"), "reps")
+    copies = scratch.save(usable.groupBy("c1", "c2").agg(F.min("id").alias("id")), "copies")
+    # Different multisets are numbered, since an id may have several. Rows of one multiset carry equal keys, so those of
+    # any row with its smallest id stand for it.
+    chosen = usable.join(copies, ["id", "c1", "c2"]).dropDuplicates(["id", "c1", "c2"])
+    chosen = scratch.save(chosen.select(F.monotonically_increasing_id().alias("rep"), F.col("id").alias("least"), "hash", "c1", "c2", "size", "keys", "sketch"), "reps")
+    members = usable.select("id", "c1", "c2").join(chosen.select("rep", "least", "c1", "c2"), ["c1", "c2"])
+    members = scratch.save(members.select("id", "rep", "least"), "members")
+    places = chosen.select(F.col("rep"), F.col("least").alias("id"), "hash")
+    reps = chosen.select(F.col("rep").alias("id"), "size", "keys", "sketch")
+    shared_ids = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("id", "a")
+    by_id = scratch.save(members.select("id", "rep").join(shared_ids, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "by-id")
 
     buckets = reps.select("id", "size", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("center"), F.min_by("size", "id").alias("center_size"), F.max("id").alias("last"))
@@ -207,7 +215,7 @@ def near_duplicates(
     stars = inside.filter((F.col("id") != F.col("center")) & fits(F.col("size"), F.col("center_size")))
     stars = stars.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     tried = scratch.save(stars, "stars")
-    links = _linked(scratch, picked, tried, width, threshold, "links1")
+    links = _linked(scratch, picked, places, tried, width, threshold, "links1")
     parts = connected_components(scratch, links)
 
     # Second round: buckets that hold more than one component.
@@ -232,21 +240,25 @@ def near_duplicates(
         & (F.expr("element_at(filter(zip_with(keys1, keys2, (a, b) -> if(a = b, a, null)), k -> k IS NOT NULL), 1)") == F.col("key"))
     )
     met = met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
-    more = _linked(scratch, picked, scratch.save(met, "met"), width, threshold, "links2")
+    more = _linked(scratch, picked, places, scratch.save(met, "met"), width, threshold, "links2")
     scratch.drop("inside", "labelled", "mixed", "shared")
-    parts = connected_components(scratch, scratch.save(links.union(more), "links"))
+    parts = connected_components(scratch, scratch.save(links.union(more).union(by_id), "links"))
 
-    classes = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    classes = classes.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
+    # A class is named by the smallest id of its multisets.
+    n_parts = parts.count()
+    named = parts.join(places.select(F.col("rep").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("class_id"))
+    named = hot_join(parts, named, "component", "node", parts, n_parts).select(F.col("node").alias("rep"), "class_id")
+    classes = members.join(named, "rep", "left").groupBy("id").agg(F.min(F.coalesce("class_id", "least")).alias("class_id"))
     out = signed.select("id").join(classes, "id", "left")
     class_id = F.coalesce("class_id", "id")
     return scratch.last(out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept")))
 
 
-def _linked(scratch: Scratch, picked: DataFrame, pairs: DataFrame, width: int, threshold: float, name: str) -> DataFrame:
-    """The pairs(a, b) whose whole multisets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = picked.join(scratch.save(wanted, f"{name}-ids"), "id", "left_semi").dropDuplicates(["id"])
+def _linked(scratch: Scratch, picked: DataFrame, places: DataFrame, pairs: DataFrame, width: int, threshold: float, name: str) -> DataFrame:
+    """The pairs(a, b) of numbered multisets, whose texts stand at places(rep, id, hash), that reach the threshold."""
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = scratch.save(places.join(wanted, "rep"), f"{name}-ids")
+    texts = picked.join(wanted, ["id", "hash"]).dropDuplicates(["id", "hash"]).select(F.col("rep").alias("id"), "text")
     sets = scratch.save(texts.mapInArrow(_multisets(width), "id long, elements binary, counts binary"), f"{name}-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}"), F.col("counts").alias(f"c{x}"))
     # A star's pairs share their centre: it is copied, so that they are not joined in one task.

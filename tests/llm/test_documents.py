@@ -414,3 +414,15 @@ def test_packing_keeps_every_token(spark):
         assert r["bin_offset"] == held.get(r["bin_id"], 0)
         held[r["bin_id"]] = r["bin_offset"] + r["n_tokens"]
     assert packing.pack_documents(table(spark, []), WORDS).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_ids_on_several_texts_keep_all_links(spark, partitions):
+    """In any order of the rows, each text of an id links with others, and the id joins them."""
+    rng = random.Random(61)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " one"), (8, b + " two"), (9, c), (10, c + " x"), (11, c), (11, b), (12, prose(rng, 90)), (12, prose(rng, 90)), (5, a), (5, a)]
+    want = {5: 5, 7: 5, 8: 5, 9: 5, 10: 5, 11: 5, 12: 12}
+    for order in (rows, rows[::-1], rng.sample(rows, len(rows))):
+        got = minhash.near_duplicates(table(spark, order).repartition(partitions)).collect()
+        assert len(got) == len(rows) and {(r["doc_id"], r["class_id"]) for r in got} == set(want.items())

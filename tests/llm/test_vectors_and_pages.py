@@ -271,3 +271,29 @@ def test_pipeline_on_repeated_and_null_ids(spark):
     assert sorted(cut, key=str) == sorted(((i, t.strip()) for i, t in want), key=str)
     packed = corpus_pipeline.packing_stage(spark, docs, sf).filter("start = 0").collect()
     assert sorted(str(r["doc_id"]) for r in packed) == sorted(str(i) for i, _ in want)
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_ids_on_several_vectors_keep_all_links(spark, partitions):
+    rng = np.random.default_rng(17)
+    a, b = (rng.standard_normal(64) for _ in range(2))
+    rows = [(5, a, 1), (5, b, 1), (7, a + 0.01, 1), (8, b + 0.01, 1), (9, a, 2), (5, a, 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, v.tolist(), z) for i, v, z in order], "vec_id long, embedding array<double>, label int").repartition(partitions)
+        got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embed_lsh.lattice_duplicates(df).collect()}
+        assert got == {(5, 2, 5), (7, 2, 5), (8, 1, 5), (9, 0, 9)}
+
+
+def test_stages_and_pipelines_side_by_side(spark):
+    """Results that are held unread, and two runs at once in one session, do not disturb each other."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = corpus_pipeline.quality_rules_stage(spark, docs, sf)
+    want = corpus_pipeline.quality_rules_stage(spark, docs.limit(0), sf).count(), held.count()
+    corpus_pipeline.quality_rules_stage(spark, docs.filter("doc_id > 50"), sf).count()
+    assert (0, held.count()) == want
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda _: sorted(map(str, corpus_pipeline.run(spark, sf).collect())), range(2)))
+    assert both[0] == both[1]
