@@ -6,11 +6,13 @@ returns the packing of the kept texts.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import Scratch, paths_read, table
+from driftmark.llm.common import Scratch, table
 from driftmark.llm.minhash import near_duplicates
 from driftmark.llm.packing import pack_documents
 from driftmark.llm.quality_rules import quality_rules
@@ -19,25 +21,22 @@ from driftmark.llm.substring_dedup import cut_text, repeated_spans
 
 #: A path to a tokenizer file; packing writes its tokens.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Bytes of the shortest passage that is cut where it repeats: fifty words of four letters and a space, so that a passage of over
-#: fifty words is found whole, between whatever texts it stands.
+#: Bytes of the shortest passage that is cut where it repeats: fifty words of four letters and a space. A passage of over fifty
+#: words is found whole, between whatever texts it stands, unless its words have under four letters on average.
 PASSAGE = 250
 
 
-_NUMBERED: list[Scratch] = []
+#: Where the stages of the present run number their rows.
+_ROWS: ContextVar[Scratch | None] = ContextVar("rows", default=None)
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with a key of each row's own in _row, written: doc_id may be null or repeated, so it tells no rows apart.
 
-    Rows that an earlier stage numbered go, once its result is written and docs no longer reads them.
+    In run() they go when the stage's result is written; those of a stage called by itself, which its lazy result reads,
+    when the driver ends.
     """
-    read = paths_read(docs) if _NUMBERED else None
-    for scratch in [s for s in _NUMBERED if read is not None and s.spark is spark and not any(s.root.split("/")[-1] in x for x in read)]:
-        scratch.drop_all()
-        _NUMBERED.remove(scratch)
-    scratch = Scratch(spark, "pipeline-rows")
-    _NUMBERED.append(scratch)
+    scratch = _ROWS.get() or Scratch(spark, "pipeline-rows")
     return scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
@@ -96,6 +95,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{number}")
+        rows = Scratch(spark, "pipeline-rows")
+        before = _ROWS.set(rows)
+        try:
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage{number}")
+        finally:
+            _ROWS.reset(before)
+            rows.drop_all()
         scratch.drop(f"stage{number - 1}")
     return docs
