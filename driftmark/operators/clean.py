@@ -54,6 +54,25 @@ def append_bars(history: DataFrame, new: DataFrame) -> DataFrame:
     return numbered(history.unionByName(fresh))
 
 
+def last_bars(numbered_bars: DataFrame) -> DataFrame:
+    """(ticker, last_pos, last_date): all that appending needs to know of a history."""
+    return numbered_bars.groupBy("ticker").agg(F.max("pos").alias("last_pos"), F.max("date").alias("last_date"))
+
+
+def later_bars(heads: DataFrame, new: DataFrame) -> DataFrame:
+    """The bars of new behind each ticker's last one, numbered on from it; tickers without a history start at 0. heads is
+    last_bars of the history, which itself is not read. Bars up to the last date are the history's and left out."""
+    fresh = new.join(heads, "ticker", "left").filter("last_date is null or date > last_date")
+    rank = F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
+    return fresh.withColumn("pos", F.coalesce("last_pos", F.lit(-1)) + rank).drop("last_pos", "last_date")
+
+
+def moved_heads(heads: DataFrame, appended: DataFrame) -> DataFrame:
+    """last_bars after later_bars were appended."""
+    both = heads.unionByName(last_bars(appended))
+    return both.groupBy("ticker").agg(F.max("last_pos").alias("last_pos"), F.max("last_date").alias("last_date"))
+
+
 def short_histories(bars: DataFrame, length: int) -> DataFrame:
     return bars.groupBy("ticker").agg(F.count("*").alias("rows")).filter(F.col("rows") != length)
 

@@ -97,13 +97,26 @@ def macro_windows(months: DataFrame, length: int = 6) -> DataFrame:
 
 
 def month_starts(bars: DataFrame, base_year: int) -> DataFrame:
-    """(idx, start, stop): the calendar months of a numbered trading calendar, by position."""
+    """(idx, start, stop): the calendar months of a numbered trading calendar, by position; the last one has no stop."""
     m = bars.groupBy(month_index(F.col("date"), base_year).alias("idx")).agg(F.min("pos").alias("start"))
-    stop = F.lead("start").over(Window.orderBy("idx"))  # a row per month
-    return m.select("idx", "start", F.coalesce(stop, F.lit(2**31 - 1)).alias("stop"))
+    return m.select("idx", "start", F.lead("start").over(Window.orderBy("idx")).alias("stop"))  # a row per month
 
 
-def month_of_position(positions: DataFrame, starts: DataFrame) -> DataFrame:
-    """idx of the month that a position lies in, from the broadcast list of months (at most a few hundred rows)."""
-    m = F.broadcast(starts)
-    return positions.join(m, (positions["pos"] >= m["start"]) & (positions["pos"] < m["stop"])).select(*positions.columns, "idx")
+def month_of_position(positions: DataFrame, starts: DataFrame, width: int = 16) -> DataFrame:
+    """idx of the month that a position lies in; positions before the first month have none and go.
+
+    Positions meet months by equality of coarse bins of `width` positions, each of which lists the few months that reach
+    into it; the list has a few entries a month and is broadcast. Positions behind the last start are its month's.
+    """
+    last = starts.agg(F.max("start").alias("_last"))
+    months = starts.crossJoin(last).withColumn("stop", F.coalesce("stop", F.col("start") + 1))  # one row
+    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
+    listed = F.broadcast(months.select("idx", "start", "stop", F.col("_last"), F.explode(bins).alias("_bin")))
+    at = positions.crossJoin(F.broadcast(last.withColumnRenamed("_last", "_end"))).withColumn("_at", F.least("pos", "_end"))
+    joined = at.withColumn("_bin", F.floor(F.col("_at") / width)).join(listed, "_bin")
+    return joined.filter("_at >= start and _at < stop").select(*positions.columns, "idx")
+
+
+def start_of_month(months: DataFrame, starts: DataFrame) -> DataFrame:
+    """start: the first position of the month in column idx; null for months without trading days."""
+    return months.join(F.broadcast(starts.select("idx", "start")), "idx", "left").select(*months.columns, "start")

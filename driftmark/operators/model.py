@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftmark.functions.kernels import LAYERS, forward, gradients
+from driftmark.sources.versioned import Versioned
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -55,26 +56,47 @@ def score(samples: DataFrame, weights: DataFrame, keep: list[str], features: str
     return chosen.mapInArrow(run, schema)
 
 
-def gradient_rows(samples: DataFrame, layers: Layers, features: str = "features", target: str = "target") -> DataFrame:
-    """(layer, out_idx, g, gb, n): gradient sums, partial per task and then added up; rows are not shuffled."""
-    net = samples.sparkSession.sparkContext.broadcast(layers)
+_SUMS = "net int, layer int, out_idx int, g array<double>, gb double, n long"
+
+
+def network_sums(samples: DataFrame, nets: dict[int, Layers]) -> DataFrame:
+    """(net, layer, out_idx, g, gb, n): sums over samples(features, target, part) for several networks in one pass, partial per
+    task and then added up; rows are not shuffled. Rows of part 'train' give gradients; those of any other part give the
+    network's squared error, as layer -1 with the sum in gb."""
+    shared = samples.sparkSession.sparkContext.broadcast(nets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
+        total: dict[int, list] = {}
+        n, error, m = 0, dict.fromkeys(shared.value, 0.0), 0
         for batch in batches:
-            if batch.num_rows:
-                x, y = np.array(batch.column(0).to_pylist(), float), np.array(batch.column(1).to_pylist(), float)
-                now, n = gradients(x, y, net.value), n + len(x)
-                total = now if total is None else [(a + c, b + d) for (a, b), (c, d) in zip(total, now, strict=True)]
-        if total:
-            rows = [(k, i, w[i].tolist(), float(b[i]), n) for k, (w, b) in enumerate(total) for i in range(len(b))]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["layer", "out_idx", "g", "gb", "n"])
+            if not batch.num_rows:
+                continue
+            x, y = np.array(batch.column(0).to_pylist(), float), np.array(batch.column(1).to_pylist(), float)
+            t = np.array(batch.column(2).to_pylist()) == "train"
+            n, m = n + int(t.sum()), m + int((~t).sum())
+            for net, layers in shared.value.items():
+                if t.any():
+                    now = gradients(x[t], y[t], layers)
+                    total[net] = now if net not in total else [(a + c, b + d) for (a, b), (c, d) in zip(total[net], now, strict=True)]
+                if not t.all():
+                    error[net] += float(((forward(x[~t], layers) - y[~t]) ** 2).sum())
+        rows = [(net, k, i, w[i].tolist(), float(b[i]), n) for net, sums in total.items() for k, (w, b) in enumerate(sums) for i in range(len(b))]
+        rows += [(net, -1, 0, [0.0], e, m) for net, e in error.items() if m]
+        if rows:
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _SUMS.split(", ")])
+
+    parts = samples.select("features", "target", "part").mapInArrow(run, _SUMS)
+    key = ["net", "layer", "out_idx"]
+    sums = parts.select(*key, F.posexplode("g").alias("i", "x"), "gb", "n").groupBy(*key, "i").agg(F.sum("x").alias("x"), F.sum("gb").alias("gb"), F.sum("n").alias("n"))
+    rows = sums.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"), F.first("gb").alias("gb"), F.first("n").alias("n"))
+    return rows.select(*key, F.col("x.x").alias("g"), "gb", "n")
+
 
-    parts = samples.select(features, target).mapInArrow(run, "layer int, out_idx int, g array<double>, gb double, n long")
-    sums = parts.select("layer", "out_idx", F.posexplode("g").alias("i", "x"), "gb", "n").groupBy("layer", "out_idx", "i").agg(F.sum("x").alias("x"), F.sum("gb").alias("gb"), F.sum("n").alias("n"))
-    rows = sums.groupBy("layer", "out_idx").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"), F.first("gb").alias("gb"), F.first("n").alias("n"))
-    return rows.select("layer", "out_idx", F.col("x.x").alias("g"), "gb", "n")
+def gradient_rows(samples: DataFrame, layers: Layers, features: str = "features", target: str = "target") -> DataFrame:
+    """(layer, out_idx, g, gb, n): gradient sums of one network over all samples."""
+    rows = samples.select(F.col(features).alias("features"), F.col(target).cast("double").alias("target"), F.lit("train").alias("part"))
+    return network_sums(rows, {0: layers}).drop("net")
 
 
 def clipped(rows: DataFrame, max_norm: float) -> DataFrame:
@@ -86,12 +108,40 @@ def clipped(rows: DataFrame, max_norm: float) -> DataFrame:
     return both.select("layer", "out_idx", F.transform("g", lambda x: x * factor).alias("g"), (F.col("gb") * factor).alias("gb"), "norm")
 
 
-def train(batches: DataFrame, holdout: DataFrame, layers: Layers, steps: int, rate: float = 1e-4, max_norm: float = 1.0, every: int = 10) -> tuple[Layers, list[tuple[int, float]]]:
+CHECKPOINTS = "step int, layer int, out_idx int, w array<double>, bias double, holdout_error double"
+
+
+def checkpoints(spark: SparkSession, path: str) -> Versioned:
+    """The table of kept weights: a partition a step, complete or not there at all."""
+    return Versioned(spark, path, "step", CHECKPOINTS)
+
+
+def kept_layers(table: DataFrame, step: int) -> Layers:
+    """Weights of one step to the driver: a few hundred rows."""
+    rows = table.filter(F.col("step") == step).withColumn("checkpoint", F.lit(0))
+    return collected(rows)[0]
+
+
+def _layer_rows(spark: SparkSession, step: int, layers: Layers, error: float) -> DataFrame:
+    rows = [(step, k, i, w[i].tolist(), float(b[i]), error) for k, (w, b) in enumerate(layers) for i in range(len(b))]
+    return spark.createDataFrame(rows, CHECKPOINTS)
+
+
+def train(batches: DataFrame, holdout: DataFrame, layers: Layers, steps: int, rate: float = 1e-4, max_norm: float = 1.0, every: int = 10, path: str | None = None) -> tuple[Layers, list[tuple[int, float]]]:
     """Gradient steps over batches(batch, features, target); every `every` steps the holdout's mean squared error.
-    Only per-layer sums reach the driver."""
+
+    path: the place of checkpoints(); every `every` steps the weights are added there with their error, and a run that
+    finds some goes on behind the last of them, as if it had never stopped. Only per-layer sums reach the driver.
+    """
+    spark = batches.sparkSession
     n = batches.agg(F.max("batch")).first()[0] + 1
-    log = []
-    for step in range(steps):
+    log: list[tuple[int, float]] = []
+    table = checkpoints(spark, path) if path else None
+    if table is not None and table.version():
+        log = sorted((r["step"], r["holdout_error"]) for r in table.read().select("step", "holdout_error").distinct().collect())
+        log = [x for x in log if x[0] <= steps]
+        layers = kept_layers(table.read(), log[-1][0]) if log else layers
+    for step in range(log[-1][0] if log else 0, steps):
         rows = clipped(gradient_rows(batches.filter(F.col("batch") == step % n), layers), max_norm).orderBy("layer", "out_idx").collect()
         by: dict[int, list] = {}
         for r in rows:
@@ -99,6 +149,8 @@ def train(batches: DataFrame, holdout: DataFrame, layers: Layers, steps: int, ra
         layers = [(w - rate * np.array([g for g, _ in by[k]]), b - rate * np.array([gb for _, gb in by[k]])) for k, (w, b) in enumerate(layers)]
         if (step + 1) % every == 0 or step + 1 == steps:
             log.append((step + 1, holdout_error(holdout, layers)))
+            if table is not None:
+                table.update(_layer_rows(spark, step + 1, layers, log[-1][1]))
     return layers, log
 
 
@@ -113,23 +165,26 @@ def holdout_error(holdout: DataFrame, layers: Layers) -> float:
     return holdout.agg(F.avg(e * e)).first()[0]
 
 
-def rate_search(sample: DataFrame, layers: Layers, rates: list[float], steps: int = 20, max_norm: float = 1.0) -> DataFrame:
-    """(rate, score) for each candidate, a task each, on a bounded sample(features, target, part: 'train' or 'holdout'):
-    log of the later over the earlier median error, per unit of rate. The most negative is best."""
-    schema = "rate double, score double"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rate, net = float(frame["rate"].iloc[0]), [(w.copy(), b.copy()) for w, b in layers]
-        x, y = np.array(frame["features"].tolist(), float), frame["target"].to_numpy()
-        t, errors = (frame["part"] == "train").to_numpy(), []
-        for _ in range(steps):
-            g = [(a / t.sum(), b / t.sum()) for a, b in gradients(x[t], y[t], net)]
-            norm = math.sqrt(sum(float((a * a).sum() + (b * b).sum()) for a, b in g))
+def rate_search(samples: DataFrame, layers: Layers, rates: list[float], steps: int = 20, max_norm: float = 1.0) -> list[tuple[float, float]]:
+    """(rate, score) for each candidate: log of the later over the earlier median of the holdout's errors, per unit of rate.
+    The most negative is best.
+
+    samples(features, target, part: 'train' or 'holdout') may have any number of rows: one pass a step adds up the gradients
+    of all candidates' networks and the errors of the step before. Sums of weights, not rows, reach the driver.
+    """
+    nets = {i: [(w.copy(), b.copy()) for w, b in layers] for i in range(len(rates))}
+    errors: dict[int, list[float]] = {i: [] for i in nets}
+    for step in range(steps + 1):
+        found: dict[int, dict[int, dict[int, tuple]]] = {}
+        for r in network_sums(samples, nets).collect():
+            found.setdefault(r["net"], {}).setdefault(r["layer"], {})[r["out_idx"]] = (np.array(r["g"]), r["gb"], r["n"])
+        for i, by in found.items():
+            if step:
+                _, e, m = by[-1][0]
+                errors[i].append(e / m)
+            means = [(np.array([by[k][o][0] / by[k][o][2] for o in sorted(by[k])]), np.array([by[k][o][1] / by[k][o][2] for o in sorted(by[k])])) for k in range(len(layers))]
+            norm = math.sqrt(sum(float((g * g).sum() + (b * b).sum()) for g, b in means))
             f = min(1.0, max_norm / (norm + 1e-12))
-            net = [(w - rate * f * a, b - rate * f * c) for (w, b), (a, c) in zip(net, g, strict=True)]
-            errors.append(float(((forward(x[~t], net) - y[~t]) ** 2).mean()))
-        h = steps // 2
-        return pd.DataFrame({"rate": [rate], "score": [math.log(np.median(errors[h:]) / np.median(errors[:h])) / rate]})
-
-    each = sample.select(F.explode(F.array(*map(F.lit, rates))).alias("rate"), "features", "target", "part")
-    return each.groupBy("rate").applyInPandas(run, schema)
+            nets[i] = [(w - rates[i] * f * g, b - rates[i] * f * c) for (w, b), (g, c) in zip(nets[i], means, strict=True)]
+    h = steps // 2
+    return [(rates[i], math.log(np.median(e[h:]) / np.median(e[:h])) / rates[i]) for i, e in errors.items()]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmark.sources.shared import saved
+from driftmark.sources.versioned import Versioned
 
 
 # --- moments ---
@@ -25,6 +26,20 @@ def merged_moments(parts: DataFrame) -> DataFrame:
     return both.groupBy("i").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), m2.alias("m2"))
 
 
+MOMENTS = "batch string, i int, n long, mean double, m2 double"
+
+
+def record_moments(spark: SparkSession, path: str, batch: str, samples: DataFrame, features: str = "features") -> None:
+    """Keep a batch's moments in the table at path; a batch that comes again takes its own place."""
+    rows = partial_moments(samples, features).withColumn("batch", F.lit(batch))
+    Versioned(spark, path, "batch", MOMENTS).update(rows)
+
+
+def recorded_moments(spark: SparkSession, path: str) -> DataFrame:
+    """The moments of all samples whose batches are kept at path."""
+    return merged_moments(Versioned(spark, path, "batch", MOMENTS).read())
+
+
 def mean_std(moments: DataFrame) -> DataFrame:
     """(i, mean, std): population deviation, 1 where it is 0."""
     std = F.sqrt(F.greatest(F.col("m2") / F.col("n"), F.lit(0.0)))
@@ -74,6 +89,17 @@ def ranked_rows(df: DataFrame, *order: str) -> DataFrame:
     return parts.withColumn("_r", local).join(F.broadcast(offsets), "_p").withColumn("row_id", F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")
 
 
+def stored_rows(df: DataFrame) -> DataFrame:
+    """row_id from 0 in the order in which df is written here: a row's number in its partition plus the sizes of those
+    before. No row is sorted or shuffled; only the partitions' sizes are."""
+    low = F.monotonically_increasing_id()
+    parts = saved(df.withColumns({"_p": F.shiftright(low, 33), "_i": low.bitwiseAND(F.lit((1 << 33) - 1))}), "rows")
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_p", before.alias("_before"))  # a row per partition
+    return parts.join(F.broadcast(offsets), "_p").withColumn("row_id", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+
+
 def uniform_sample(panel: DataFrame, size: int, seed: int) -> DataFrame:
     """`size` rows of panel(row_id, ...) with replacement."""
     n = panel.agg(F.count("*").alias("n"))

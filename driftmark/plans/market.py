@@ -151,6 +151,31 @@ def s2_numeric_series(spark, sf_dir):
     return src.numeric_series(text).groupBy("series_id").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
+def _series_files(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files of the monthly series: a line a value, some without a number, some with a broken date or a field too many."""
+    m = src.monthly_series(spark, sf_dir).withColumn("m", F.month("month"))
+    value = F.when(F.col("m") == 7, ".").otherwise(F.col("value").cast("string"))
+    date = F.when(F.col("m") == 3, "1995-02-31").otherwise(F.col("month").cast("string"))
+    line = F.concat_ws(",", "series_id", date, value, F.when((F.col("m") == 11) & F.col("series_id").startswith("5"), "x"))
+    path = shared_path(spark, "series")
+    m.select(line).write.text(path)
+    return path
+
+
+_BROKEN = "month(month) = 3 OR (month(month) = 11 AND series_id LIKE '5%')"
+
+
+@query(f"WITH {MONTHLY} SELECT series_id, month, round(value, 4) AS value FROM monthly WHERE NOT ({_BROKEN}) AND month(month) <> 7")
+def s2_series_from_files(spark, sf_dir):
+    return src.read_series(spark, _series_files(spark, sf_dir), header=False)[0].withColumn("value", r("value", 4))
+
+
+@query(f"WITH {MONTHLY} SELECT series_id, count(*) AS lines FROM monthly WHERE {_BROKEN} GROUP BY series_id")
+def s3_quarantined_lines(spark, sf_dir):
+    bad = src.read_series(spark, _series_files(spark, sf_dir), header=False)[1]
+    return bad.groupBy(F.substring_index("line", ",", 1).alias("series_id")).agg(F.count("*").alias("lines"))
+
+
 @query(f"WITH {MONTHLY} SELECT series_id, month, round(value, 4) AS value FROM monthly")
 def s3_base_series(spark, sf_dir):
     return src.monthly_series(spark, sf_dir).select("series_id", "month", r("value", 4).alias("value"))
@@ -161,6 +186,13 @@ def s4_constituents(spark, sf_dir):
     return src.constituents(src.listed_suppliers(spark, sf_dir))
 
 
+@query("SELECT replace(n_name || '.' || s_suppkey, '.', '-') AS market_symbol, n_name || '.' || s_suppkey AS symbol, s_name AS security, r_name AS sector, n_name AS sub_industry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def s4_constituents_from_file(spark, sf_dir):
+    path = shared_path(spark, "listed")
+    src.listed_suppliers(spark, sf_dir).write.csv(path, header=True)
+    return src.read_constituents(spark, path)[0]
+
+
 @query(f"WITH {BARS} SELECT ticker, count(*) AS n, sum(volume) AS volume FROM bars GROUP BY ticker")
 def s5_partitioned_write(spark, sf_dir):
     path = shared_path(spark, "panel")
@@ -182,7 +214,9 @@ def s5_replaced_tickers(spark, sf_dir):
 def s6_run_summary(spark, sf_dir):
     bars = written_bars(spark, sf_dir)
     out = src.run_summary(plain_moves(spark, sf_dir, bars), bars)
-    return out.withColumns({c: r(c) for c in ("target_min", "target_max")})
+    path = shared_path(spark, "summary")
+    src.write_summary(out, path)
+    return spark.read.schema(out.schema).json(path).withColumns({c: r(c) for c in ("target_min", "target_max")})
 
 
 @query(f"WITH {BARS} SELECT ticker, date, round(price, 6) AS price FROM bars")
@@ -224,6 +258,18 @@ def c6_append_bars(spark, sf_dir):
     return clean.append_bars(src.between(b, None, HISTORY), src.between(b, "1997-06-01", None)).select("ticker", "date", "pos")
 
 
+@query(f"WITH {BARS} SELECT ticker, date, pos FROM bars")
+def c6_later_bars(spark, sf_dir):
+    """New bars numbered on from the stored heads in two steps; what is stored keeps its numbers."""
+    b = saved(src.nation_bars(spark, sf_dir), "bars")
+    store = saved(clean.numbered(src.between(b, None, "1996-01-01")), "numbered")
+    heads = saved(clean.last_bars(store), "heads")
+    for start, end in (("1995-06-01", HISTORY), ("1997-06-01", None)):
+        fresh = saved(clean.later_bars(heads, src.between(b, start, end)), "later")
+        store, heads = store.unionByName(fresh), saved(clean.moved_heads(heads, fresh), "heads")
+    return store.select("ticker", "date", "pos")
+
+
 @query(f"WITH {BARS} SELECT ticker, count(*) AS rows FROM bars GROUP BY ticker HAVING count(*) <> 2000")
 def c6_short_histories(spark, sf_dir):
     return clean.short_histories(bars_of(spark, sf_dir), 2000)
@@ -629,6 +675,15 @@ def m11_month_of_position(spark, sf_dir):
     return macro.month_of_position(bars_of(spark, sf_dir).select("ticker", "pos"), macro.month_starts(calendar, BASE_YEAR))
 
 
+@query(
+    f"""WITH {BENCH}, {_CAL}, c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM bench), st AS (SELECT (year(date) - 1995) * 12 + month(date) - 1 AS idx, min(pos) AS start FROM c GROUP BY 1)
+SELECT idx.month, idx.idx, st.start FROM idx LEFT JOIN st USING (idx)"""
+)
+def m11_start_of_month(spark, sf_dir):
+    calendar = clean.numbered(benchmark_of(spark, sf_dir).select(F.lit("calendar").alias("ticker"), "date"))
+    return macro.start_of_month(calendar_of(spark), macro.month_starts(calendar, BASE_YEAR))
+
+
 def _slopes_sql(prices: str, steps: str) -> str:
     """The sum of a leg's quarter slopes."""
     edge = lambda i: f"(({i}) * ({steps} // 4) + least({i}, {steps} % 4))"
@@ -713,6 +768,18 @@ def n2_merged_moments(spark, sf_dir):
     return stats.mean_std(stats.merged_moments(parts)).select("i", r("mean").alias("mean"), r("std").alias("std"))
 
 
+@query(_SQL["n1_moments"])
+def n2_recorded_moments(spark, sf_dir):
+    """Batches come one by one, the first one wrong and then again: the kept moments are those of all rows."""
+    v = saved(vectors_of(spark, sf_dir), "vectors")
+    path = shared_path(spark, "moments")
+    batch = F.pmod("vec_id", F.lit(3))
+    stats.record_moments(spark, path, "0", v.filter(batch > 0))
+    for k in (1, 0, 2):
+        stats.record_moments(spark, path, str(k), v.filter(batch == k))
+    return stats.mean_std(stats.recorded_moments(spark, path)).select("i", r("mean").alias("mean"), r("std").alias("std"))
+
+
 @query(f"WITH {_X}, m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY i) SELECT vec_id, round(sum((x - m) / s), 5) AS z, round(sum(x), 5) AS back FROM x JOIN m USING (i) GROUP BY vec_id")
 def n3_standardised(spark, sf_dir):
     v = vectors_of(spark, sf_dir)
@@ -728,7 +795,7 @@ def _drawn(below: str, *on: str) -> str:
 
 @query(f"SELECT draw, vec_id FROM (SELECT range AS draw, {_drawn('(SELECT count(*) FROM embeddings)', 'range', '1')} AS row_id FROM range(1000)) JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings) USING (row_id)")
 def p1_uniform_sample(spark, sf_dir):
-    panel = stats.ranked_rows(vectors_of(spark, sf_dir).select("vec_id"), "vec_id")
+    panel = stats.stored_rows(vectors_of(spark, sf_dir).select("vec_id"))  # the table is stored in the order of its ids
     return stats.uniform_sample(panel, 1000, 1).select("draw", "vec_id")
 
 
@@ -749,7 +816,6 @@ def p3_shuffled_batches(spark, sf_dir):
 # --- scoring, training ---
 
 _NET = (64, 8, 1)
-SEARCH_ROWS = 1000
 _W = "list_transform(range({n}), lambda j: sin(c * 0.37 + {layer} * 1.3 + o * 0.71 + j * 0.29) / sqrt({n}))"
 
 
@@ -787,23 +853,54 @@ def t3_gradient(spark, sf_dir):
     return rows.select("layer", "out_idx", r(F.aggregate("g", F.lit(0.0), lambda a, x: a + x)).alias("sum"), r("gb").alias("gb"), r("norm").alias("norm"))
 
 
+def standard_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training panel, standardised by moments merged over its tickers; a hashed fifth of its moves is held out."""
+    panel = saved(sample_table(spark, sf_dir, inclusive=True), "panel")
+    arrays = stats.as_arrays(stats.mean_std(stats.merged_moments(stats.partial_moments(panel, "features", "ticker"))))
+    held = stats.draw(F.lit(5), "ticker", "extremum_date", 3) == 0
+    return saved(stats.standardised(panel, arrays).withColumn("part", F.when(held, "holdout").otherwise("train")), "standard")
+
+
+def _batched(rows: DataFrame, n: int) -> DataFrame:
+    return rows.filter("part = 'train'").withColumn("batch", stats.draw(F.lit(n), "ticker", "extremum_date", "duration", 4))
+
+
 @query()
 def t4_training(spark, sf_dir):
-    """An epoch over all rows in eight hashed batches; a hashed fifth is held out."""
-    rows = saved(_trainable(spark, sf_dir).withColumn("fold", stats.draw(F.lit(5), "vec_id", 3)), "training")
-    batches = rows.filter("fold > 0").withColumn("batch", stats.draw(F.lit(8), "vec_id", 4))
-    net = model.collected(model.made_weights(spark, 1, _NET))[1]
-    _, log = model.train(batches, rows.filter("fold = 0"), net, steps=8, rate=0.01, every=2)
-    return spark.createDataFrame([(s, round(e, 6)) for s, e in log], "step int, holdout_mse double")
+    """An epoch over the panel in eight hashed batches, stopped after four steps and gone on with from the kept weights."""
+    rows = standard_panel(spark, sf_dir)
+    net = model.collected(model.made_weights(spark, 1))[1]
+    path = shared_path(spark, "weights")
+    for steps in (4, 8):
+        model.train(_batched(rows, 8), rows.filter("part = 'holdout'"), net, steps, rate=0.01, every=2, path=path)
+    kept = model.checkpoints(spark, path).read()
+    total = F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x) + F.col("bias"))
+    return kept.groupBy("step").agg(F.count("*").alias("rows"), r(total, 4).alias("sum"), r(F.max("holdout_error"), 4).alias("holdout_mse"))
 
 
 @query()
 def t5_rate_search(spark, sf_dir):
-    """The search runs on a bounded sample: the SEARCH_ROWS rows of smallest hash, a quarter of them held out."""
-    rows = _trainable(spark, sf_dir).orderBy(stats.hashed("vec_id", 5), "vec_id").limit(SEARCH_ROWS)
-    sample = rows.select("features", "target", F.when(stats.draw(F.lit(4), "vec_id", 6) == 0, "holdout").otherwise("train").alias("part"))
+    """Learning rates tried on all rows, a pass a step; a hashed quarter is held out."""
+    rows = _trainable(spark, sf_dir).select("features", "target", F.when(stats.draw(F.lit(4), "vec_id", 6) == 0, "holdout").otherwise("train").alias("part"))
     net = model.collected(model.made_weights(spark, 1, _NET))[1]
-    return model.rate_search(sample, net, [1e-4, 1e-3, 1e-2]).select("rate", r("score", 4).alias("score"))
+    found = model.rate_search(saved(rows, "search"), net, [1e-4, 1e-3, 1e-2])
+    return spark.createDataFrame([(x, round(y, 4)) for x, y in found], "rate double, score double")
+
+
+@query()
+def w3_training(spark, sf_dir):
+    """Panel, moments, search for a rate, training with kept weights; then every kept network on the moves held out."""
+    rows = standard_panel(spark, sf_dir)
+    net = model.collected(model.made_weights(spark, 1))[1]
+    rate, _ = min(model.rate_search(rows.select("features", "target", "part"), net, [1e-3, 1e-2], steps=4), key=lambda x: x[1])
+    path = shared_path(spark, "weights")
+    held = rows.filter("part = 'holdout'")
+    model.train(_batched(rows, 4), held, net, steps=4, rate=rate, every=2, path=path)
+    weights = model.checkpoints(spark, path).read().withColumnRenamed("step", "checkpoint")
+    group = F.concat_ws("|", "ticker", "extremum_date", "next_date").alias("group")
+    scored = model.score(held.select(group, "features", F.col("target").alias("actual")), weights, ["group", "actual"])
+    out = stats.metrics(saved(scored, "scored"), "checkpoint")
+    return out.select("checkpoint", "samples", "transitions", r("direction", 4).alias("direction"), r("rmse", 3).alias("rmse"), r("mae", 3).alias("mae"))
 
 
 # --- evaluation ---

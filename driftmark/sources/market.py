@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmark.sources.shared import saved
+
 BAR_SCHEMA = "ticker string, date date, open double, high double, low double, close double, volume double"
 
 
@@ -61,8 +63,33 @@ def numeric_series(rows: DataFrame, value_col: str = "value") -> DataFrame:
     return rows.withColumn(value_col, F.col(value_col).try_cast("double")).dropna(subset=[value_col])
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    return numeric_series(spark.read.csv(path, header=True, schema="series_id string, observation_date date, value string"))
+SERIES_SCHEMA = "series_id string, observation_date date, value string"
+LISTED_SCHEMA = "symbol string, security string, sector string, sub_industry string"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of CSV files with a fixed schema. A line with too few or too many fields, or one that does not
+    fit its type, goes to quarantine(line) as it stands. Both are written, so that the files are read once and what was
+    set aside stays the same."""
+    lines = spark.read.schema(f"{schema}, _line string").csv(path, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", enforceSchema=True)
+    read = saved(lines, "checked")
+    return read.filter("_line is null").drop("_line"), read.filter("_line is not null").select(F.col("_line").alias("line"))
+
+
+def read_series(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Observations with numeric values, dates as months, and the quarantine."""
+    rows, bad = read_checked(spark, path, SERIES_SCHEMA, header)
+    return numeric_series(rows).withColumnRenamed("observation_date", "month"), bad
+
+
+def read_constituents(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    rows, bad = read_checked(spark, path, LISTED_SCHEMA, header)
+    return constituents(rows), bad
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The one row of run_summary as JSON."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
 
 
 def constituents(rows: DataFrame) -> DataFrame:

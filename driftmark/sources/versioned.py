@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 
 class Versioned:
-    """path/data/w=<write>/<key>=<value>/: files; path/versions/<number>: which folders make up that version.
+    """path/data/written=<write>/<key>=<value>/: files; path/versions/<number>: which folders make up that version.
 
     Versions hold one entry a partition, which pass the driver; rows don't.
     """
@@ -23,6 +23,9 @@ class Versioned:
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str | T.StructType):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        self.tag = "written"
+        while self.tag in self.schema.names:
+            self.tag += "_"
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def _names(self, folder: str) -> list[str]:
@@ -46,7 +49,7 @@ class Versioned:
     def read(self, version: int | None = None, values: list[str] | None = None) -> DataFrame:
         """The table, or its partitions of the given values (as the folders' names have them); extra columns never show."""
         folders = self._listed(self.version() if version is None else version)["folders"]
-        paths = [f"{self.path}/data/w={w}/{name}" for name, w in sorted(folders.items()) if values is None or name in {f"{self.key}={v}" for v in values}]
+        paths = [f"{self.path}/data/{self.tag}={w}/{name}" for name, w in sorted(folders.items()) if values is None or name in {f"{self.key}={v}" for v in values}]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data").parquet(*paths).select(*self.schema.names)
@@ -54,7 +57,7 @@ class Versioned:
     def _write(self, df: DataFrame, most: int) -> dict[str, str]:
         """Rows are dealt by key; adaptive execution joins small keys in one task and splits a large one over several."""
         write = uuid.uuid4().hex
-        target = f"{self.path}/data/w={write}"
+        target = f"{self.path}/data/{self.tag}={write}"
         df.select(*self.schema.names).hint("rebalance", self.key).write.option("maxRecordsPerFile", most).partitionBy(self.key).parquet(target)
         return {n: write for n in self._names(target) if n.startswith(f"{self.key}=")}
 
@@ -90,7 +93,7 @@ class Versioned:
         gone = [f"versions/{v:08d}" for v in old]
         for write in self._names(f"{self.path}/data"):
             names = [n for n in self._names(f"{self.path}/data/{write}") if n.startswith(f"{self.key}=")]
-            gone += [f"data/{write}/{n}" for n in names if (write.removeprefix("w="), n) not in needed]
+            gone += [f"data/{write}/{n}" for n in names if (write.removeprefix(f"{self.tag}="), n) not in needed]
         for name in gone:
             at = path(f"{self.path}/{name}")
             at.getFileSystem(self.conf).delete(at, True)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmark.functions import kernels
-from driftmark.operators import clean, extrema, features, macro, series, stats
+from driftmark.operators import clean, extrema, features, macro, model, series, stats
 from driftmark.plans import market
 
 SF = "/root/testdata/sf0.001"
@@ -169,3 +169,67 @@ def test_month_windows_need_every_month(spark):
     months = spark.createDataFrame([(i, [float(i)]) for i in (0, 1, 2, 3, 4, 5, 6, 8, 9)], "idx int, values array<double>")
     got = {r["idx"]: r["macro"] for r in macro.macro_windows(months).collect()}
     assert set(got) == {5, 6} and got[5] == [x for i in range(6) for x in (float(i), float(i))]
+
+
+def trainable(spark, n=120):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((n, 5))
+    y = np.where(x[:, 0] > 0, 2 * x[:, 0], -x[:, 1]) + 0.1 * rng.standard_normal(n)
+    rows = [(i, i % 3, v.tolist(), float(t), "holdout" if i % 4 == 0 else "train") for i, (v, t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "id int, batch int, features array<double>, target double, part string").repartition(3), x, y
+
+
+def net(spark):
+    return model.collected(model.made_weights(spark, 1, (5, 4, 1)))[1]
+
+
+def test_training_goes_on_from_kept_weights(spark, tmp_path):
+    df, _, _ = trainable(spark)
+    held = df.filter("part = 'holdout'")
+    whole, log = model.train(df, held, net(spark), 7, rate=0.05, every=2)
+    path = f"file://{tmp_path}/weights"
+    model.train(df, held, net(spark), 4, rate=0.05, every=2, path=path)
+    parts, again = model.train(df, held, net(spark), 7, rate=0.05, every=2, path=path)
+    assert [s for s, _ in again] == [s for s, _ in log] == [2, 4, 6, 7] and np.allclose([e for _, e in again], [e for _, e in log])
+    assert all(np.allclose(a, c) and np.allclose(b, d) for (a, b), (c, d) in zip(whole, parts))
+    table = model.checkpoints(spark, path)
+    assert table.read().groupBy("step").count().collect() and {r["count"] for r in table.read().groupBy("step").count().collect()} == {5}
+    version = table.version()
+    model.train(df, held, net(spark), 7, rate=0.05, every=2, path=path)
+    assert table.version() == version  # nothing is left to do
+
+
+def test_rate_search_against_plain_steps(spark):
+    df, x, y = trainable(spark)
+    t = np.arange(len(y)) % 4 > 0
+    want = []
+    for rate in (1e-3, 1e-2):
+        layers, errors = net(spark), []
+        for _ in range(6):
+            g = [(a / t.sum(), b / t.sum()) for a, b in kernels.gradients(x[t], y[t], layers)]
+            f = min(1.0, 1 / (math.sqrt(sum((a * a).sum() + (b * b).sum() for a, b in g)) + 1e-12))
+            layers = [(w - rate * f * a, b - rate * f * c) for (w, b), (a, c) in zip(layers, g)]
+            errors.append(((kernels.forward(x[~t], layers) - y[~t]) ** 2).mean())
+        want.append((rate, math.log(np.median(errors[3:]) / np.median(errors[:3])) / rate))
+    assert np.allclose(model.rate_search(df, net(spark), [1e-3, 1e-2], steps=6), want)
+
+
+def test_stored_rows_and_uniform_draws(spark):
+    panel = stats.stored_rows(spark.range(0, 97, 1, 7).selectExpr("id AS x"))
+    assert sorted(r["row_id"] for r in panel.collect()) == list(range(97))
+    draws = stats.uniform_sample(panel, 9700, 2).groupBy("x").count().collect()
+    counts = np.array([r["count"] for r in draws] + [0] * (97 - len(draws)))
+    assert counts.sum() == 9700 and ((counts - 100) ** 2 / 100).sum() < 97 + 4 * math.sqrt(2 * 97)  # chi-square, four deviations
+    same = lambda: sorted(map(tuple, stats.uniform_sample(panel, 50, 3).collect()))
+    assert same() == same()
+
+
+def test_recorded_moments_replace_a_batch(spark, tmp_path):
+    x = np.random.default_rng(7).standard_normal((60, 2)) * [1, 9] + [5, 0]
+    df = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)], "b int, features array<double>")
+    path = f"file://{tmp_path}/moments"
+    stats.record_moments(spark, path, "a", df.limit(3))
+    for name, b in (("a", 0), ("b", 1), ("c", 2), ("b", 1)):
+        stats.record_moments(spark, path, name, df.filter(f"b = {b}"))
+    got = stats.mean_std(stats.recorded_moments(spark, path)).orderBy("i").collect()
+    assert np.allclose([(r["mean"], r["std"]) for r in got], np.stack([x.mean(axis=0), x.std(axis=0)], 1))
