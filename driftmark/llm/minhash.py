@@ -82,6 +82,8 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+#: Most rows of three numbers that are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Bits of each dart that a sketch keeps.
 SKETCH_BITS = 4
 
@@ -195,12 +197,13 @@ def near_duplicates(
     signed = picked.mapInArrow(_sign(width, bands, rows, seed), "id long, hash long, size long, c1 long, c2 long, keys array<long>, sketch array<long>")
     signed = scratch.save(signed, "signed")
     usable = signed.filter("id is not null and c1 is not null")
-    copies = scratch.save(usable.groupBy("c1", "c2").agg(F.min("id").alias("id")), "copies")
-    # Different multisets are numbered, since an id may have several. Rows of one multiset carry equal keys, so those of
-    # any row with its smallest id stand for it.
+    # Different multisets are numbered, since an id may have several, in the order of their smallest ids.
+    copies = usable.groupBy("c1", "c2").agg(F.min("id").alias("id")).repartitionByRange("id").sortWithinPartitions("id", "c1", "c2")
+    copies = scratch.save(copies.withColumn("rep", F.monotonically_increasing_id()), "copies")
+    # Rows of one multiset carry equal keys, so those of any row with its smallest id stand for it.
     chosen = usable.join(copies, ["id", "c1", "c2"]).dropDuplicates(["id", "c1", "c2"])
-    chosen = scratch.save(chosen.select(F.monotonically_increasing_id().alias("rep"), F.col("id").alias("least"), "hash", "c1", "c2", "size", "keys", "sketch"), "reps")
-    members = usable.select("id", "c1", "c2").join(chosen.select("rep", "least", "c1", "c2"), ["c1", "c2"])
+    chosen = scratch.save(chosen.select("rep", F.col("id").alias("least"), "hash", "c1", "c2", "size", "keys", "sketch"), "reps")
+    members = usable.select("id", "c1", "c2").join(copies.withColumnRenamed("id", "least"), ["c1", "c2"])
     members = scratch.save(members.select("id", "rep", "least"), "members")
     places = chosen.select(F.col("rep"), F.col("least").alias("id"), "hash")
     reps = chosen.select(F.col("rep").alias("id"), "size", "keys", "sketch")
@@ -258,6 +261,8 @@ def _linked(scratch: Scratch, picked: DataFrame, places: DataFrame, pairs: DataF
     """The pairs(a, b) of numbered multisets, whose texts stand at places(rep, id, hash), that reach the threshold."""
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     wanted = scratch.save(places.join(wanted, "rep"), f"{name}-ids")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # so that texts are filtered where they are read
     texts = picked.join(wanted, ["id", "hash"]).dropDuplicates(["id", "hash"]).select(F.col("rep").alias("id"), "text")
     sets = scratch.save(texts.mapInArrow(_multisets(width), "id long, elements binary, counts binary"), f"{name}-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}"), F.col("counts").alias(f"c{x}"))
