@@ -160,9 +160,10 @@ rise_peakiness = _bend(False)
 fall_peakiness = _bend(True)
 
 
-def samples(moves: DataFrame, bars: DataFrame, extrema: DataFrame, spacing: DataFrame, vectors: DataFrame, macro: DataFrame, base_year: int, inclusive: bool = False, later_fall: bool = False) -> DataFrame:
+def samples(moves: DataFrame, bars: DataFrame, extrema: DataFrame, spacing: DataFrame, vectors: DataFrame, macro: DataFrame, base_year: int, inclusive: bool = False, later_fall: bool = False, rough: bool = False) -> DataFrame:
     """(ticker, dates, duration, features, target): complete, finite vectors only. later_fall: the narrower window
-    for falling legs of the later version; the month that counts is the one before the extremum's."""
+    for falling legs of the later version; the month that counts is the one before the extremum's, rough: before the
+    last bar's."""
     day = day_features(bars)
     leg = legs(bars, extrema)
     fall = leg.select("ticker", (F.col("leg") + 1).alias("k"), F.col("prices").alias("fp"), F.col("volumes").alias("fv"))
@@ -177,7 +178,7 @@ def samples(moves: DataFrame, bars: DataFrame, extrema: DataFrame, spacing: Data
     rows = paths(per_move.repartition("ticker", "k"), "rp", "rv", inclusive)
     rows = rows.join(day.select("ticker", F.col("pos").alias("end"), F.col("date").alias("end_date"), "beta", "rsi", "mean_volume"), ["ticker", "end"])
     rows = rows.withColumn("j", F.floor(F.col("end") / 2) - 2).join(vectors, ["ticker", "j"])
-    rows = rows.withColumn("idx", month_index(F.col("extremum_date"), base_year) - 1).join(F.broadcast(macro), "idx")
+    rows = rows.withColumn("idx", month_index(F.col("end_date" if rough else "extremum_date"), base_year) - 1).join(F.broadcast(macro), "idx")
     over = lambda c: F.try_divide(c, "mean_volume")
     pattern = [
         F.col("beta"), *(F.col(f"r{i}") for i in range(4)), *(F.col(f"f{i}") for i in range(4)), F.col("rsi"), over("fall_max"), over("fall_bend"),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions.kernels import savgol_matrix
+from driftmark.functions.kernels import LAYERS, savgol_matrix
 from driftmark.operators import calibrate, clean, extrema, features, macro, model, rank, series, stats
 from driftmark.sources import market as src
 from driftmark.sources.shared import bucketed, saved, shared_path
@@ -425,6 +425,17 @@ def e9_active_trough(spark, sf_dir):
     return extrema.active_trough(extrema.spaced(turns_of(spark, sf_dir, bars)), bars)
 
 
+@query(
+    f"""WITH {SPACED}, l AS (SELECT ticker, pos, kind, lag(pos) OVER (PARTITION BY ticker ORDER BY pos) AS before FROM spaced QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) = 1)
+SELECT ticker, CASE WHEN kind = 'trough' AND before IS NOT NULL THEN pos END AS trough, CASE WHEN kind = 'trough' THEN before END AS before,
+ CASE WHEN kind <> 'trough' THEN 'latest_confirmed_extremum_is_peak' WHEN before IS NULL THEN 'too_few_confirmed_extrema' ELSE 'confirmed_trough' END AS status FROM l"""
+)
+def e9_confirmed_trough(spark, sf_dir):
+    """The older rule: the last extremum must be a trough."""
+    bars = written_bars(spark, sf_dir)
+    return extrema.active_trough(extrema.spaced(turns_of(spark, sf_dir, bars)), bars, provisional=False)
+
+
 @query(
     f"""{_SEGMENTS}, m0 AS (SELECT ticker, kind, lag(pos) OVER w AS before, pos AS this, lead(pos) OVER w AS next, row_number() OVER w - 1 AS k FROM labelled WINDOW w AS (PARTITION BY ticker ORDER BY pos))
 SELECT m.ticker, k, kind, before, this, next, next - this AS gap, round(100 * (q.price - p.price) / p.price, 6) AS target FROM m0 m
@@ -534,10 +545,10 @@ def _macro_windows(spark: SparkSession, sf_dir: str, benchmark: DataFrame) -> Da
     return saved(macro.macro_windows(macro.assembled(m.unionByName(rates).unionByName(vix).unionByName(yearly), cal, names)), "macro")
 
 
-def sample_table(spark: SparkSession, sf_dir: str, inclusive: bool = False) -> DataFrame:
+def sample_table(spark: SparkSession, sf_dir: str, inclusive: bool = False, rough: bool = False) -> DataFrame:
     bars, raw, kept, moves, benchmark = _swing(spark, sf_dir)
-    vectors = saved(series.trailing_vectors(series.pair_series(bars)), "vectors")
-    return features.samples(moves, bars, kept, extrema.mean_spacing(bars, raw), vectors, _macro_windows(spark, sf_dir, benchmark), BASE_YEAR, inclusive)
+    vectors = saved(series.trailing_vectors(series.pair_series(bars, smooth=not rough)), "vectors")
+    return features.samples(moves, bars, kept, extrema.mean_spacing(bars, raw), vectors, _macro_windows(spark, sf_dir, benchmark), BASE_YEAR, inclusive, rough=rough)
 
 
 def _bend_sql(of: str, legs: str = "leg") -> str:
@@ -562,6 +573,13 @@ def f6_peakiness(spark, sf_dir):
     return leg.select("ticker", "leg", r(features.rise_peakiness("volumes"), 4).alias("rise"), r(features.fall_peakiness("volumes"), 4).alias("fall"))
 
 
+@query()
+def f8_rough_samples(spark, sf_dir):
+    """Samples of unsmoothed pairs, with the macro window of the month of the sample's last bar."""
+    s = sample_table(spark, sf_dir, rough=True)
+    return s.select("ticker", "extremum_date", "end_date", r("target").alias("target"), r(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 1).alias("sum"))
+
+
 @query()
 def f8_samples(spark, sf_dir):
     s = sample_table(spark, sf_dir)
@@ -685,10 +703,10 @@ def m11_start_of_month(spark, sf_dir):
 
 
 def _slopes_sql(prices: str, steps: str) -> str:
-    """The sum of a leg's quarter slopes."""
+    """A leg's four quarter slopes, as a list."""
     edge = lambda i: f"(({i}) * ({steps} // 4) + least({i}, {steps} % 4))"
     one = f"100 * ({prices}[{edge('i + 1')} + 1] - {prices}[{edge('i')} + 1]) / ({prices}[1] * ({edge('i + 1')} - {edge('i')}) * {steps})"
-    return f"list_sum(list_transform(range(4), lambda i: {one}))"
+    return f"list_transform(range(4), lambda i: {one})"
 
 
 # The samples' 191 values, as their sum: what belongs to a bar, the legs, the trailing vectors and the macro windows.
@@ -705,27 +723,49 @@ days AS (SELECT ticker, pos, date, beta, mean_volume, CASE WHEN nd = 13 THEN CAS
 sp AS ({_savgol_sql(21, 3, 'price', 'bars', 'ticker', 'pos')}), sv AS ({_savgol_sql(21, 3, 'volume', 'bars', 'ticker', 'pos')}),
 pr AS (SELECT ticker, pos // 2 AS j, avg(sp.v) AS price, avg(sv.v) AS volume FROM sp JOIN sv USING (ticker, pos) GROUP BY ALL HAVING count(*) = 2),
 ch AS (SELECT ticker, j, 100 * (price - lag(price) OVER w) / lag(price) OVER w AS ret, 100 * (volume - lag(volume) OVER w) / lag(volume) OVER w AS vr FROM pr WINDOW w AS (PARTITION BY ticker ORDER BY j)),
-vec AS (SELECT ticker, j, sum(ret) OVER f + sum(vr) OVER f AS total FROM ch WINDOW f AS (PARTITION BY ticker ORDER BY j ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) QUALIFY count(ret) OVER f = 63 AND count(vr) OVER f = 63),
+vec AS (SELECT ticker, j, list(ret) OVER f AS rets, list(vr) OVER f AS vrs, sum(ret) OVER f + sum(vr) OVER f AS total FROM ch WINDOW f AS (PARTITION BY ticker ORDER BY j ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) QUALIFY count(ret) OVER f = 63 AND count(vr) OVER f = 63),
 base AS (SELECT s.series_id, idx.month, idx.idx, last_value(m.value IGNORE NULLS) OVER (PARTITION BY s.series_id ORDER BY idx.month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
  FROM (SELECT DISTINCT series_id FROM monthly) s CROSS JOIN idx LEFT JOIN monthly m ON m.series_id = s.series_id AND m.month = idx.month),
 rt AS (SELECT series_id, row_number() OVER w - 1 AS idx, coalesce(100 * (value - lag(value) OVER w) / value, 0.455) AS value FROM base WINDOW w AS (PARTITION BY series_id ORDER BY month)),
 rv AS ({_savgol_sql(15, 1, 'value', 'rt', 'series_id', 'idx')}),
 bm AS (SELECT 'i' AS k, CAST(date_trunc('month', date) AS DATE) AS month, avg(price) AS value FROM bench GROUP BY 2), bi AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS q FROM bm),
 bv AS ({_savgol_sql(15, 2, 'value', 'bi', 'k', 'q')}),
-wide AS (SELECT idx.idx, a.value + b.value + c.value + r4.v + r5.v + bv.v + 100 * (a.value - y.value) / y.value + idx.idx AS total FROM idx
+wide AS (SELECT idx.idx, [a.value, b.value, c.value, r4.v, r5.v, bv.v, 100 * (a.value - y.value) / y.value, idx.idx] AS vals, a.value + b.value + c.value + r4.v + r5.v + bv.v + 100 * (a.value - y.value) / y.value + idx.idx AS total FROM idx
  JOIN base a ON a.month = idx.month AND a.series_id = '1-URGENT' JOIN base b ON b.month = idx.month AND b.series_id = '2-HIGH' JOIN base c ON c.month = idx.month AND c.series_id = '3-MEDIUM'
  JOIN rv r4 ON r4.idx = idx.idx AND r4.series_id = '4-NOT SPECIFIED' JOIN rv r5 ON r5.idx = idx.idx AND r5.series_id = '5-LOW' JOIN bi ON bi.month = idx.month JOIN bv ON bv.q = bi.q
  JOIN base y ON y.series_id = '1-URGENT' AND idx.month = y.month + INTERVAL 12 MONTH),
-win AS (SELECT idx, sum(total) OVER f AS total FROM wide WINDOW f AS (ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) QUALIFY min(idx) OVER f = idx - 5),
+win AS (SELECT idx, flatten(list(vals) OVER f) AS macro, sum(total) OVER f AS total FROM wide WINDOW f AS (ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) QUALIFY min(idx) OVER f = idx - 5),
 fl AS (SELECT m.ticker, k AS leg, list(CAST(volume AS DOUBLE) ORDER BY pos) AS v, list(price ORDER BY pos) AS p, count(*) AS n FROM mv m JOIN bars b ON b.ticker = m.ticker AND pos BETWEEN before AND this GROUP BY ALL),
 rl AS (SELECT m.ticker, k AS leg, list(CAST(volume AS DOUBLE) ORDER BY pos) AS v, list(price ORDER BY pos) AS p FROM mv m JOIN bars b ON b.ticker = m.ticker AND pos BETWEEN this AND next GROUP BY ALL),
 sm AS (SELECT mv.*, unnest(range(4, gap + @more)) AS duration, this - before AS fall FROM mv),
 rleg AS (SELECT sm.ticker, k * 100000 + duration AS leg, v[1 : duration + 1] AS v, duration + 1 AS n FROM sm JOIN rl ON rl.ticker = sm.ticker AND rl.leg = k),
 sample AS (SELECT s.ticker, extremum_date, e.date AS end_date, next_date, duration, target, beta + rsi + (list_max(fl.v) + fb.bend + rb.bend + list_max(rl.v[1 : duration + 1])) / mean_volume + duration + fall
- + (SELECT count(*) FROM bars b WHERE b.ticker = s.ticker) / greatest((SELECT count(*) FROM raw WHERE raw.ticker = s.ticker), 1) + {_slopes_sql('fl.p', 'fall')} + {_slopes_sql('rl.p', 'duration')} + vec.total + win.total AS total
+ + (SELECT count(*) FROM bars b WHERE b.ticker = s.ticker) / greatest((SELECT count(*) FROM raw WHERE raw.ticker = s.ticker), 1) + list_sum({_slopes_sql('fl.p', 'fall')}) + list_sum({_slopes_sql('rl.p', 'duration')}) + vec.total + win.total AS total,
+ list_concat([beta], {_slopes_sql('rl.p', 'duration')}, {_slopes_sql('fl.p', 'fall')}, [rsi, list_max(fl.v) / mean_volume, fb.bend / mean_volume, rb.bend / mean_volume, list_max(rl.v[1 : duration + 1]) / mean_volume, duration, fall,
+ (SELECT count(*) FROM bars b WHERE b.ticker = s.ticker) / greatest((SELECT count(*) FROM raw WHERE raw.ticker = s.ticker), 1)], vec.rets, vec.vrs, win.macro) AS features
  FROM sm s JOIN days e ON e.ticker = s.ticker AND e.pos = this + duration JOIN fl ON fl.ticker = s.ticker AND fl.leg = k JOIN {_bend_sql('n', 'fl')} fb ON fb.ticker = s.ticker AND fb.leg = k
  JOIN rl ON rl.ticker = s.ticker AND rl.leg = k JOIN {_bend_sql('n - 3', 'rleg')} rb ON rb.ticker = s.ticker AND rb.leg = k * 100000 + duration
- JOIN vec ON vec.ticker = s.ticker AND vec.j = (this + duration) // 2 - 2 JOIN win ON win.idx = (year(extremum_date) - {BASE_YEAR}) * 12 + month(extremum_date) - 2)"""
+ JOIN vec ON vec.ticker = s.ticker AND vec.j = (this + duration) // 2 - 2 JOIN win ON win.idx = (year(@keyed) - {BASE_YEAR}) * 12 + month(@keyed) - 2)""".replace("@keyed", "extremum_date")
+_PAIRS = "avg(sp.v) AS price, avg(sv.v) AS volume FROM sp JOIN sv USING (ticker, pos)"
+_SQL["f8_rough_samples"] = (
+    _SAMPLES.replace("@more", "0").replace(_PAIRS, "avg(price) AS price, avg(volume) AS volume FROM bars").replace("(year(extremum_date)", "(year(e.date)").replace("month(extremum_date) - 2", "month(e.date) - 2")
+    + " SELECT ticker, extremum_date, end_date, round(target, 6) AS target, round(total, 1) AS sum FROM sample WHERE total IS NOT NULL"
+)
+
+
+_W = "list_transform(range({n}), lambda j: sin(c * 0.37 + {layer} * 1.3 + o * 0.71 + j * 0.29) / sqrt({n}))"
+
+
+def _network_sql(samples: str, checkpoints: int, widths: tuple[int, ...]) -> str:
+    """Common tables net0, net1, ... of samples(key, features) under made_weights: net<last>(key, c, x), x[1] the prediction."""
+    out = [f"net0 AS (SELECT key, CAST(c AS INT) AS c, features AS x FROM {samples} CROSS JOIN (SELECT unnest(range(1, {checkpoints + 1})) AS c))"]
+    for layer, (n, m) in enumerate(zip(widths, widths[1:])):
+        z = "z" if layer == len(widths) - 2 else "CASE WHEN z > 0 THEN z ELSE 0.01 * z END"
+        out.append(f"w{layer} AS MATERIALIZED (SELECT c, o, {_W.format(n=n, layer=layer)} AS w, cos(o * 1.1) * 0.01 AS b FROM (SELECT unnest(range(1, {checkpoints + 1})) AS c) CROSS JOIN (SELECT unnest(range({m})) AS o))")
+        out.append(f"net{layer + 1} AS MATERIALIZED (SELECT key, c, list({z} ORDER BY o) AS x FROM (SELECT key, h.c, o, list_inner_product(x, w) + b AS z FROM net{layer} h JOIN w{layer} w ON w.c = h.c) GROUP BY key, c)")
+    return ", ".join(out)
+
+
 _SQL["f8_samples"] = _SAMPLES.replace("@more", "0") + " SELECT ticker, extremum_date, end_date, next_date, duration, round(target, 6) AS target, round(total, 1) AS sum FROM sample WHERE total IS NOT NULL"
 _SQL["f10_current_rows"] = (
     _SAMPLES.replace("@more", "0")
@@ -816,7 +856,6 @@ def p3_shuffled_batches(spark, sf_dir):
 # --- scoring, training ---
 
 _NET = (64, 8, 1)
-_W = "list_transform(range({n}), lambda j: sin(c * 0.37 + {layer} * 1.3 + o * 0.71 + j * 0.29) / sqrt({n}))"
 
 
 @query(
@@ -828,9 +867,14 @@ def t2_scores(spark, sf_dir):
     return model.score(vectors_of(spark, sf_dir), model.made_weights(spark, 3, _NET), ["vec_id"]).withColumn("prediction", r("prediction", 5))
 
 
-@query()
+@query(
+    f"""{_SAMPLES.replace("@more", "0")}, keyed AS MATERIALIZED (SELECT *, row_number() OVER () AS key FROM sample WHERE total IS NOT NULL), {_network_sql("keyed", 1, LAYERS)}
+SELECT ticker, extremum_date, duration, round(target, 6) AS target, c AS checkpoint, round(x[1], 1) AS prediction FROM net{len(LAYERS) - 1} JOIN keyed USING (key)"""
+)
 def t1_wide_scores(spark, sf_dir):
-    return model.score(sample_table(spark, sf_dir), model.made_weights(spark, 1), ["ticker", "extremum_date", "duration", "target"]).withColumn("prediction", r("prediction", 4))
+    """Raw samples: predictions of tens of thousands, given to one digit."""
+    out = model.score(sample_table(spark, sf_dir), model.made_weights(spark, 1), ["ticker", "extremum_date", "duration", "target"])
+    return out.withColumns({"prediction": r("prediction", 1), "target": r("target")})
 
 
 def _trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1155,7 +1199,16 @@ def w2_ranking(spark, sf_dir):
     return rank.ranked(rows).select("rank", "ticker", "trough_status", "duration", r("lower", 4).alias("lower"), r("expected", 4).alias("expected"), r("upper", 4).alias("upper"), "reliability", r("rank_score", 4).alias("rank_score"))
 
 
-@query()
+@query(
+    f"""{_SAMPLES.replace("@more", "0")}, keyed0 AS MATERIALIZED (SELECT *, row_number() OVER () AS key FROM sample WHERE total IS NOT NULL),
+ft AS MATERIALIZED (SELECT key, unnest(range({LAYERS[0]})) AS i, unnest(features) AS v FROM keyed0), fm AS (SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM ft GROUP BY i),
+zs AS MATERIALIZED (SELECT key, list((v - m) / s ORDER BY i) AS features FROM ft JOIN fm USING (i) GROUP BY key), {_network_sql("zs", 7, LAYERS)},
+scored AS MATERIALIZED (SELECT CASE WHEN extremum_date < DATE '{HISTORY}' THEN 'original' ELSE 'holdout' END AS dataset, c AS checkpoint, concat_ws('|', ticker, extremum_date, next_date) AS "group", target AS actual, x[1] AS prediction
+ FROM net{len(LAYERS) - 1} JOIN keyed0 USING (key)), {_RANKED.removeprefix(SCORED + ", ").replace("ranked", "placed")}, basic AS ({_METRICS.replace("FROM ranked", "FROM placed")}),
+w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY dataset, checkpoint, "group") AS w FROM scored), wm AS (SELECT dataset, checkpoint, round(sqrt(sum(w * (prediction - actual) ** 2) / sum(w)), 4) AS weighted_rmse,
+ round(sum(w * {_SAME}) / sum(w), 4) AS weighted_direction FROM w GROUP BY dataset, checkpoint)
+SELECT dataset, checkpoint, samples, transitions, {", ".join(f"round({c}, 4) AS {c}" for c in ("pearson", "spearman", "direction"))}, {", ".join(f"round({c}, 3) AS {c}" for c in ("rmse", "mae", "r_squared"))}, weighted_rmse, weighted_direction FROM basic JOIN wm USING (dataset, checkpoint)"""
+)
 def w1_checkpoints(spark, sf_dir):
     """Holdout samples under seven checkpoints, all metrics, by dataset."""
     s = saved(sample_table(spark, sf_dir), "samples").withColumn("dataset", F.when(F.col("extremum_date") < HISTORY, "original").otherwise("holdout"))
@@ -1164,7 +1217,7 @@ def w1_checkpoints(spark, sf_dir):
     scored = model.score(z, model.made_weights(spark, 7), ["dataset", "group", "target"]).withColumnRenamed("target", "actual")
     scored = saved(scored, "scored")
     out = stats.metrics(scored, "dataset", "checkpoint").join(stats.weighted_metrics(scored, "dataset", "checkpoint"), ["dataset", "checkpoint"])
-    return out.select("dataset", "checkpoint", "samples", "transitions", *(r(c, 4).alias(c) for c in ("pearson", "spearman", "direction", "rmse", "mae", "r_squared", "weighted_rmse", "weighted_direction")))
+    return out.select("dataset", "checkpoint", "samples", "transitions", *(r(r(c), 4).alias(c) for c in ("pearson", "spearman", "direction")), *(r(r(c, 5), 3).alias(c) for c in ("rmse", "mae", "r_squared")), *(r(c, 4).alias(c) for c in ("weighted_rmse", "weighted_direction")))
 
 
 # --- streaming ---
