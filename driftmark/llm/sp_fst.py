@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled to arcs of three transducers: the normaliser (escaped spaces, dummy prefix), the pieces as a
-tree of character arcs whose final states write a piece, and byte fallback for characters without a piece. Each text is
-composed with them: a state is a place in the text and the piece written last, an arc leads over the characters of
+The model file is compiled to arcs of two transducers: the pieces as a tree of character arcs whose final states write a
+piece, and byte fallback for characters without a piece. The normaliser (escaped spaces, dummy prefix) is not compiled: it
+is applied to the text before, and models with a table of normalisation rules are refused. Each text is composed with them: a state is a place in the text and the piece written last, an arc leads over the characters of
 one piece. Arcs are relaxed in the order of the text by (min, +), and the best path is the shortest.
 
 A unigram model puts its negated scores on the arcs of pieces. The merges of a BPE model are no sum of piece weights, so

@@ -29,7 +29,7 @@ from driftmark.llm.common import Scratch
 #: Elements without an end tag, elements whose text is never shown or never content, elements that part blocks
 #: and words in class, id and role that mark what is not the article (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video textarea select button title".split())
+UNSEEN = frozenset("head script style noscript template iframe object svg canvas audio video textarea select button title".split())
 #: Elements that may stand in a head; any other one ends a head that has no end tag.
 IN_HEAD = frozenset("head base basefont bgsound link meta script style template title noscript".split())
 APART = frozenset("nav footer aside form dialog menu".split())

@@ -297,3 +297,9 @@ def test_stages_and_pipelines_side_by_side(spark):
     with ThreadPoolExecutor(2) as pool:
         both = list(pool.map(lambda _: sorted(map(str, corpus_pipeline.run(spark, sf).collect())), range(2)))
     assert both[0] == both[1]
+
+
+def test_formulas_stay(spark):
+    html = page("Energy", "<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p>")
+    df = spark.createDataFrame([(1, "http://a.example/1", html)], "page_id long, url string, html string")
+    assert "Energy E = m holds." in wrapper.extract_main_text(df).first()["text"].replace("E=m", "E = m")
