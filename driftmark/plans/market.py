@@ -23,6 +23,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 HISTORY = "1998-01-01"
 BASE_YEAR = 1995
+QUARTERS = tuple(f"{y}-{d}" for y in (1999, 2000, 2001) for d in ("03-31", "06-30", "09-30", "12-31"))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -524,14 +525,18 @@ def f5_mean_volume(spark, sf_dir):
     return features.mean_volume(bars_of(spark, sf_dir)).select("ticker", "pos", r("mean_volume").alias("mean_volume")).dropna()
 
 
-def _swing(spark: SparkSession, sf_dir: str, start: int | None = None, inclusive: bool = False):
-    """Bars, raw and filtered extrema, moves and the benchmark: what samples are made of, cut from the lineage once."""
+def _swing(spark: SparkSession, sf_dir: str, days: tuple[str, ...] = ()):
+    """Bars, raw and filtered extrema, moves and the benchmark: what samples are made of, cut from the lineage once. days: every
+    ticker as it stood on each of them, as a ticker of its own."""
     plain, benchmark = bars_and_benchmark(spark, sf_dir)
     bars = clean.align_benchmark(plain, benchmark)
+    if days:
+        bars = bars.withColumn("day", F.explode(F.array(*map(F.lit, days)))).filter("date <= cast(day AS date)")
+        bars = bars.withColumn("ticker", F.concat_ws("@", "ticker", "day")).drop("day")
     bars = bucketed(bars, "bars", "ticker", "pos")
     raw = saved(extrema.raw_extrema(extrema.segment_extrema(bars)), "extrema")
     kept = extrema.spaced(raw)
-    moves = extrema.transitions(kept, bars, start)
+    moves = extrema.transitions(kept, bars)
     return bars, raw, kept, moves, benchmark
 
 
@@ -592,8 +597,8 @@ def f10_current_rows(spark, sf_dir):
     return current_of(spark, sf_dir).drop("features").withColumns({c: r(c, n) for c, n in digits.items()})
 
 
-def current_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars, raw, kept, _, benchmark = _swing(spark, sf_dir)
+def current_of(spark: SparkSession, sf_dir: str, days: tuple[str, ...] = ()) -> DataFrame:
+    bars, raw, kept, _, benchmark = _swing(spark, sf_dir, days)
     vectors = saved(series.trailing_vectors(series.pair_series(bars)), "vectors")
     # The price tables outlast the monthly ones: the newest macro window stands for later months.
     m = _macro_windows(spark, sf_dir, benchmark)
@@ -1180,9 +1185,9 @@ def q7_exclusions(spark, sf_dir):
 
 @query()
 def w2_ranking(spark, sf_dir):
-    """Current rows, scored, bounded by their nearest past cases, ranked."""
+    """Current rows as of each quarter's end, scored, bounded by their nearest past cases, ranked over all quarters."""
     past = predicted_samples(spark, sf_dir)
-    now = saved(current_of(spark, sf_dir).filter("reason is null"), "current")
+    now = saved(current_of(spark, sf_dir, QUARTERS).filter("reason is null"), "current")
     arrays = stats.as_arrays(stats.mean_std(stats.partial_moments(past)))
     point = model.score(stats.standardised(now, arrays), model.made_weights(spark, 1), ["ticker"]).select("ticker", (F.col("prediction") * 10 + 10).alias("point"))
     now = now.join(point, "ticker").withColumn("query", F.xxhash64("ticker"))
