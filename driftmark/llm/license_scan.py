@@ -1,19 +1,20 @@
 """License scan by conditional compression.
 
-In a block that speaks of licensing, windows of a few template lengths are confirmed by their exact differences in
-wording, so that one license is not taken for another that differs in a version or a clause. The matched wording is
-compressed by itself and with its template as a raw Zstandard dictionary; where matches overlap, the one that saves
-most bytes wins. What stands around a notice has no part in it.
+In a block that speaks of licensing, windows of a few template lengths are compressed by themselves and with every template
+as a raw Zstandard dictionary. A template is a candidate of a window where the bytes it saves come near those it saves
+on its own text, so that short notices count in long lines. Candidates are ranked by bytes saved; going down the ranks,
+a winner is confirmed by its exact differences in wording, so that one license is not taken for another that differs
+in a version or a clause, and what it covers is closed to the candidates behind it.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -123,17 +124,17 @@ def blocks(text: str | None, reach: int = 400) -> Iterator[tuple[int, str]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], level: int = 9):
+    def __init__(self, templates: dict[str, str], level: int = 3):
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         parameters = zstandard.ZstdCompressionParameters.from_level(level, **options)
         self.plain = zstandard.ZstdCompressor(compression_params=parameters)
-        self.templates = templates
         self.words = {k: words(t) for k, t in templates.items()}
-        raw = {k: t.encode() for k, t in templates.items()}
-        self.given = {
-            k: zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(v + b" " * max(0, 8 - len(v)), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for k, v in raw.items()
-        }
+        # Texts are compressed as their words, so that case, marks and line ends don't matter.
+        raw = {k: " ".join(w).encode() for k, w in self.words.items()}
+        dictionary = lambda v: zstandard.ZstdCompressionDict(v + b" " * max(0, 8 - len(v)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.given = {k: zstandard.ZstdCompressor(compression_params=parameters, dict_data=dictionary(v)) for k, v in raw.items()}
+        #: Bytes that a template saves on its own text.
+        self.own = {k: max(1, len(self.plain.compress(v)) - len(self.given[k].compress(v))) for k, v in raw.items()}
         self._short = lru_cache(maxsize=50_000)(self._find)
         #: Around a cue, more than any template is long.
         self.reach = max(400, max(map(len, templates.values()), default=0) + 100)
@@ -142,8 +143,26 @@ class Scanner:
         """_find, remembered for short blocks."""
         return self._short(block, least, share) if len(block) <= 2000 else self._find(block, least, share)
 
-    def _matches(self, name: str, block: str, spans: list[tuple[int, int]], mine: list[str], low: int, high: int, least: float, share: float) -> tuple | None:
-        """(bytes saved, license, first word, end word, size reduction, missing, added) of a template in the words low to high of a block."""
+    def candidates(self, mine: list[str], least: float) -> list[tuple[int, float, str, int, int]]:
+        """(bytes saved, size reduction, license, first word, end word) of the windows of a block's words in which a template
+        saves `least` of its own saving or more. Windows are two templates long and begin every half template, so that one
+        holds a notice with little beside it; the block as a whole is a window, too."""
+        edges = np.cumsum([0] + [len(w.encode()) + 1 for w in mine])
+        raw, alone, out = " ".join(mine).encode(), {}, []
+        for name, want in self.words.items():
+            n = max(1, len(want))
+            step = -(-n // 2)
+            for low, high in {(low, min(len(mine), low + 2 * n)) for low in range(0, max(1, len(mine) - n + step), step)} | {(0, len(mine))}:
+                part = raw[edges[low] : edges[high] - 1]
+                if (low, high) not in alone:
+                    alone[low, high] = len(self.plain.compress(part))
+                given = len(self.given[name].compress(part))
+                if alone[low, high] - given >= least * self.own[name]:
+                    out.append((alone[low, high] - given, 1 - given / alone[low, high], name, low, high))
+        return out
+
+    def confirmed(self, name: str, block: str, spans: list[tuple[int, int]], mine: list[str], low: int, high: int, share: float) -> tuple | None:
+        """(first word, end word, missing, added) of a template's wording in the words low to high of a block."""
         want = self.words[name]
         same = [m for m in SequenceMatcher(None, want, mine[low:high], autojunk=False).get_matching_blocks() if m.size]
         matched = sum(m.size for m in same)
@@ -151,37 +170,24 @@ class Scanner:
             return None
         low, high = low + same[0].b, low + same[-1].b + same[-1].size
         # Words inside the match, and what hangs on its end, tell the license as well.
-        inside, wanted = _telling(mine[low:high]), _telling(want)
-        if inside != wanted or BEHIND.match(block, spans[high - 1][1]):
-            return None
-        raw = block[spans[low][0] : spans[high - 1][1]].encode()
-        alone, given = len(self.plain.compress(raw)), len(self.given[name].compress(raw))
-        if alone - given < least * alone:
+        if _telling(mine[low:high]) != _telling(want) or BEHIND.match(block, spans[high - 1][1]):
             return None
-        return alone - given, name, low, high, 1 - given / alone, len(want) - matched, high - low - matched
+        return low, high, len(want) - matched, high - low - matched
 
     def _find(self, block: str, least: float, share: float) -> tuple[tuple[str, float, int, int, bool], ...]:
-        """(license, size reduction, missing words, changed or added words, exact) of the confirmed templates, by bytes saved."""
-        at = [m.span() for m in _WORD.finditer(block)]
-        mine = [block[a:b].lower() for a, b in at]
-        every, matches = Counter(mine), set()
-        for name, want in self.words.items():
-            n, need = len(want), Counter(want)
-            # A window that lacks the words cannot match; windows overlap so that each span of 2 n words is in one.
-            enough = lambda have: sum((need & have).values()) >= share * n
-            if not enough(every):
-                continue
-            found = []
-            for low in range(0, max(1, len(mine) - n + 1), n):
-                if enough(Counter(mine[low : low + 3 * n])):
-                    found.append(self._matches(name, block, at, mine, low, low + 3 * n, least, share))
-            # Wording that is spread wider than that.
-            matches |= set(filter(None, found)) or set(filter(None, [self._matches(name, block, at, mine, 0, len(mine), least, share)]))
+        """(license, size reduction, missing words, changed or added words, exact) of the winners, by bytes saved; of equal
+        savings the longer template first, then the shorter window."""
+        spans = [m.span() for m in _WORD.finditer(block)]
+        mine = [block[a:b].lower() for a, b in spans]
+        if not mine:
+            return ()
+        ranks = sorted(self.candidates(mine, least), key=lambda c: (-c[0], -len(self.words[c[2]]), c[4] - c[3], c[2:]))
         found, taken = [], set()
-        for _, name, low, high, gain, missing, added in sorted(matches, key=lambda x: (-x[0], x[6], x[1:])):
-            if taken.isdisjoint(range(low, high)):
-                taken |= set(range(low, high))
-                found.append((name, gain, missing, added, not missing and not added))
+        for _, gain, name, low, high in ranks:
+            hit = self.confirmed(name, block, spans, mine, low, high, share)
+            if hit and taken.isdisjoint(range(hit[0], hit[1])):
+                taken |= set(range(hit[0], hit[1]))
+                found.append((name, gain, hit[2], hit[3], not hit[2] and not hit[3]))
         return tuple(found)
 
 
@@ -189,12 +195,12 @@ _SCANNERS: dict[tuple, Scanner] = {}
 
 
 def license_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.1, share: float = 0.9
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.35, share: float = 0.9
 ) -> DataFrame:
     """One row per finding: doc_id, start (code point offset of the block), license, reduction, n_missing, n_added, exact, block.
 
-    least: smallest size reduction of the matched wording; share: part of a template's words that must stand in it in
-    order. A notice that stands in a block twice gives two rows. Null and empty texts have no findings; repeated rows repeat theirs; a null id stays null; other
+    reduction: of the window in which the template won. least: smallest part of what a template saves on its own text that
+    it must save in a window; share: part of its words that must then stand there in order. A notice that stands in a block twice gives two rows. Null and empty texts have no findings; repeated rows repeat theirs; a null id stays null; other
     columns are not read; an empty table gives no rows.
     """
     templates = dict(TEMPLATES if templates is None else templates)

@@ -223,6 +223,49 @@ def test_license_scan_within_natural_lines(spark):
     assert {(r["doc_id"], r["license"]) for r in got} == want and all(r["exact"] for r in got)
 
 
+def changed(rng, words):
+    """Wording with a word lost, changed or put in here and there."""
+    out = []
+    for w in words:
+        roll = rng.random()
+        out += [] if roll < 0.03 else [w, "so"] if roll < 0.05 else ["other"] if roll < 0.08 else [w]
+    return out
+
+
+def license_blocks():
+    rng, names = random.Random(41), list(license_scan.TEMPLATES)
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            parts += prose(rng, rng.randint(0, 25)).split() + changed(rng, license_scan.TEMPLATES[rng.choice(names)].split())
+        yield " ".join(parts + prose(rng, rng.randint(0, 25)).split())
+
+
+def test_compression_loses_no_wording():
+    """With every template a candidate of every window, the wording finds the same exact notices, and hardly more changed ones;
+    compression leaves most candidates out."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    texts = list(license_blocks()) + [t for t in license_scan.TEMPLATES.values()]
+    ranked = [scanner._find(t, 0.35, 0.9) for t in texts]
+    tried = [len(scanner.candidates(license_scan.words(t), 0.35)) for t in texts]
+    every = [len(scanner.candidates(license_scan.words(t), -1e9)) for t in texts]
+    plain = [scanner._find(t, -1e9, 0.9) for t in texts]
+    exact = lambda found: [{x[0] for x in f if x[4]} for f in found]
+    assert exact(ranked) == exact(plain)
+    # A changed notice may save nothing beside text that is much like it.
+    assert all({x[0] for x in a} <= {x[0] for x in b} for a, b in zip(ranked, plain)) and sum(map(len, ranked)) >= 0.99 * sum(map(len, plain))
+    assert sum(map(len, ranked)) > 150 and sum(tried) < 0.2 * sum(every)
+
+
+def test_ranking_chooses_among_templates():
+    """Every template that is near is a candidate; the one that saves most is tried first and wins."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name in ("GPL-3.0", "LGPL-2.1", "CC-BY-NC-SA-4.0", "AGPL-3.0-header"):
+        mine = license_scan.words(license_scan.TEMPLATES[name])
+        best = sorted(scanner.candidates(mine, 0.35), reverse=True)
+        assert best[0][2] == name and len({c[2] for c in best}) > 1
+
+
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
