@@ -24,13 +24,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends: lazy results may read it until then."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """A new path in a folder of its own in the shared one, deleted when the driver ends: lazy results may read it until then."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at.getParent())
-    fs.deleteOnExit(at)
-    return path
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # marks only what is there
+    return f"{folder}/table"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
