@@ -392,15 +392,17 @@ def test_arcs_against_all_paths():
 
 
 def naive_best_fit(lengths, capacities, least):
-    """Bins as [capacity, contents]; least None: open at the least cost per token, as the pieces left would fill the bin."""
-    bins, left = [], sorted(lengths, reverse=True)
+    """Contents of bins [capacity, contents, turn]; of equal room the bin filled last takes a piece. least None: open at the
+    least cost per token, as the pieces left would fill the bin."""
+    bins, left, turn = [], sorted(lengths, reverse=True), 0
     while left:
-        n = left.pop(0)
+        n, turn = left.pop(0), turn + 1
         fits = [b for b in bins if b[0] - b[1] >= n]
         if fits:
-            min(fits, key=lambda b: b[0] - b[1])[1] += n
+            b = min(fits, key=lambda b: (b[0] - b[1], -b[2]))
+            b[1], b[2] = b[1] + n, turn
         elif least:
-            bins.append([next(c for c in capacities if c >= max(n, least)), n])
+            bins.append([next(c for c in capacities if c >= max(n, least)), n, turn])
         else:
             prices = []
             for c in capacities:
@@ -409,7 +411,7 @@ def naive_best_fit(lengths, capacities, least):
                     for x in left:
                         used += x if used + x <= c else 0
                     prices.append((packing.training_cost(next(d for d in capacities if d >= used)) / used, c))
-            bins.append([min(prices)[1], n])
+            bins.append([min(prices)[1], n, turn])
     return sorted(b[1] for b in bins)
 
 
@@ -420,8 +422,7 @@ def test_best_fit_against_a_plain_version():
         for least in (None, 16, 32, 64):
             bins, offsets, used = packing.best_fit(lengths, (16, 32, 64), least)
             assert sum(used) == sum(lengths) and max(used) <= 64
-            assert sum(used) == sum(naive_best_fit(lengths, (16, 32, 64), least))
-            assert abs(len(used) - len(naive_best_fit(lengths, (16, 32, 64), least))) <= 1
+            assert sorted(used) == naive_best_fit(lengths, (16, 32, 64), least)
     # Lengths that fill small bins wholly and large ones badly: opening by cost finds what no one least length does.
     mixed = [500] * 40 + [2040, 2040] * 10 + [3000, 1090] * 20
     cost = lambda bins: sum(map(packing.training_cost, bins))
