@@ -40,20 +40,27 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a hash of all that a stage judges a row by in _row. Rows that share it share the verdict, so that nothing
+    need be numbered and written; unlike rows share one by chance only (64 bits)."""
+    read = ("doc_id", "lang", "source", "text")
+    return docs.withColumn("_row", F.xxhash64(*read, *(F.col(c).isNull() for c in read)))
+
+
 def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The numbered rows whose _row is in kept(id), without that column."""
     return rows.join(kept, rows["_row"] == kept["id"], "left_semi").drop("_row")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(spark, docs)
+    rows = _keyed(docs)
     return _keep(rows, quality_rules(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("id")))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model is fitted on labelled rows of the whole table: the rules before have removed most of label 0."""
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    rows = _numbered(spark, docs)
+    rows = _keyed(docs)
     return _keep(rows, score(rows, model, id_col="_row").filter("predicted = 1").select(F.col("doc_id").alias("id")))
 
 
@@ -67,9 +74,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; n_chars follows. Every document stays, if with an empty text."""
-    rows = _numbered(spark, docs)
-    return cut_text(rows, repeated_spans(rows, id_col="_row", length=PASSAGE), id_col="_row").drop("_row")
+    """Repeated passages are cut out of the texts; n_chars follows. Every document stays, if with an empty text. What is cut
+    belongs to an id and a text, so rows without an id or with another's keep their own."""
+    return cut_text(docs, repeated_spans(docs, length=PASSAGE))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
