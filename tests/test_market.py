@@ -224,6 +224,19 @@ def test_stored_rows_and_uniform_draws(spark):
     assert same() == same()
 
 
+def test_uniform_sample_of_a_table_out_of_order(spark, tmp_path):
+    """Files of unequal size, none in the order of the ids, a repeated id and one that is null: rows are those of SQL."""
+    at = tmp_path / "embeddings.parquet"
+    ids = np.random.default_rng(8).permutation(300).tolist()
+    for part in (ids[:20] + [None], ids[20:220] + [7], ids[220:]):
+        rows = [(i, [0.5], 1) for i in part]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.mode("append").parquet(str(at))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{at}/*.parquet'")
+    got = market.p1_uniform_sample(spark, str(tmp_path)).select("draw", "vec_id").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"select draw, vec_id from ({SQL['p1_uniform_sample']})").fetchall())
+
+
 def test_recorded_moments_replace_a_batch(spark, tmp_path):
     x = np.random.default_rng(7).standard_normal((60, 2)) * [1, 9] + [5, 0]
     df = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)], "b int, features array<double>")
