@@ -1,6 +1,7 @@
 """Market operators: SQL twins over the driver's tables, and awkward bars."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -138,6 +139,25 @@ def test_metrics_with_ties_and_constants(spark):
     assert got["b"]["pearson"] is None and got["b"]["r_squared"] is None and got["b"]["spearman"] is None
 
 
+def test_metrics_by_group_shuffle_keys_alone_and_keep_null_ones(spark, sql):
+    """Rows of each group carry no sums through a shuffle, ranks are not joined to actual values, and null keys, nulls and
+    ties are ranked as SQL ranks them."""
+    rng = np.random.default_rng(9)
+    rows = [((None, "a", "b")[i % 3], i % 2, int(rng.integers(0, 40)), float(rng.integers(0, 60)), float(rng.integers(-9, 9))) for i in range(900)]
+    rows += [("b", 0, 1, None, 3.0), ("b", 0, 2, 4.0, None), ("b", 0, 2, None, None)]
+    df = spark.createDataFrame(rows, "dataset string, checkpoint int, group int, actual double, prediction double").repartition(5)
+    out = stats.metrics(df, "dataset", "checkpoint")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    aggregates = re.findall(r"HashAggregate\(keys=\[([^\]]*)\], functions=\[([^\]]*)\]", plan)
+    assert any("group#" in k for k, _ in aggregates) and not any("group#" in k and f for k, f in aggregates)
+    ranked = market._RANKED.split(", ranked AS ")[1]
+    data = ", ".join(str(tuple("NULL" if x is None else x for x in r)).replace("'NULL'", "NULL") for r in rows)
+    want = sql.sql(f"""WITH scored(dataset, checkpoint, "group", actual, prediction) AS (VALUES {data}), ranked AS {ranked}
+        SELECT dataset, checkpoint, count(DISTINCT "group"), round(corr(ra, rb), 9) FROM ranked GROUP BY dataset, checkpoint""").fetchall()
+    got = [(r["dataset"], r["checkpoint"], r["transitions"], round(r["spearman"], 9)) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 6
+
+
 def test_recalls_tell_above_zero_from_not_above_zero(spark):
     """A prediction of 0 for a fall, or of a fall for 0, is no rise and so a hit."""
     pairs = [(-1.0, 0.0), (0.0, -1.0), (0.0, 0.0), (-2.0, 3.0), (1.0, 0.0), (2.0, 4.0)]
